@@ -153,7 +153,7 @@ def nxdn_lich(lich: Column) -> Column:
         first.alias("half1_type"),
         second.alias("half2_type"),
         ((first == "VCH") | (second == "VCH")).alias("voice_present"),
-        ~channel.isin("CAC_RESERVED", "USC_RESERVED").alias("supported"),
+        (~channel.isin("CAC_RESERVED", "USC_RESERVED")).alias("supported"),
         (rf == 3).alias("ambiguous_type_d"),
     )
 

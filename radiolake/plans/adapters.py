@@ -32,7 +32,7 @@ VIEWS: dict[str, str] = {
             ELSE '' END AS flco,
           CASE WHEN k % 5 = 0 THEN '' ELSE 'StandardizedFID' END AS fid,
           k % 16 AS color_code, event_id * 480 AS fs_start,
-          CASE WHEN k % 7 = 0 THEN NULL ELSE k * 700.0 END AS fo_hz, k, value
+          CASE WHEN k % 7 = 0 THEN NULL ELSE k * 700e0 END AS fo_hz, k, value
         FROM {_E}""",
     # P25 frames
     "v_pdus_p25": f"""
@@ -67,8 +67,8 @@ VIEWS: dict[str, str] = {
             WHEN 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'DM-RELEASE' ELSE 'DM-TX CEASED' END
             ELSE 'DMAC-SYNC' END AS flco,
           CAST(floor(k / 50) AS BIGINT) AS src_num, k % 2 AS dst_num,
-          CASE WHEN k % 31 = 0 THEN NULL ELSE {{us}} / 1000000.0 END AS start_time_s,
-          CASE WHEN k % 37 = 0 THEN NULL ELSE {{us}} / 1000000.0 + 0.014 END AS end_time_s,
+          CASE WHEN k % 31 = 0 THEN NULL ELSE {{us}} / 1000000e0 END AS start_time_s,
+          CASE WHEN k % 37 = 0 THEN NULL ELSE {{us}} / 1000000e0 + 0.014e0 END AS end_time_s,
           1 + k % 18 AS frame_number, 1 + k % 4 AS slot_number,
           CASE WHEN k % 5 = 0 THEN NULL ELSE event_id * 510 + 1 END AS slot_start_bit,
           event_id * 510 + 510 AS slot_end_bit, event_id * 510 + 2 AS start_bit,
@@ -103,20 +103,20 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS seq, CAST(floor(event_id / 4096) AS BIGINT) AS channel_id,
           event_id AS sequence_number,
           event_id * 4800 + CASE WHEN k % 23 = 1 THEN 100 ELSE 0 END AS start_sample,
-          event_id * 4800 + 4800 AS end_sample, 48000.0 AS sample_rate_hz,
+          event_id * 4800 + 4800 AS end_sample, 48000e0 AS sample_rate_hz,
           10 * log10(value + 1e-12) AS power_db, k = 50 AS discontinuity,
           CASE WHEN k = 0 THEN 4800 ELSE 0 END AS dropped_samples, value, k
         FROM {_E}""",
     # one 64-bin spectrum per vector
     "v_psd": """
-        SELECT vec_id AS capture_id, label, pos AS bin, (pos - 32) * 100.0 AS freq_hz,
+        SELECT vec_id AS capture_id, label, pos AS bin, (pos - 32) * 100e0 AS freq_hz,
           CAST(e AS DOUBLE) * CAST(e AS DOUBLE) AS power
         FROM {psd_bins}""",
     "v_detections": f"""
         SELECT event_id AS seq, CAST(floor(event_id / 16) AS BIGINT) AS batch,
-          value * 100 AS frequency_offset_hz, 400000000.0 + value * 100 AS center_frequency_hz,
+          value * 100 AS frequency_offset_hz, 400000000e0 + value * 100 AS center_frequency_hz,
           CAST(floor(value / 10) AS BIGINT) AS coarse_bin, floor(value / 10) * 1000 AS coarse_center_offset_hz,
-          CAST(k AS DOUBLE) AS snr_db, k - 90.0 AS power_db, -90.0 AS noise_floor_db, k
+          CAST(k AS DOUBLE) AS snr_db, k - 90e0 AS power_db, -90e0 AS noise_floor_db, k
         FROM {_E}""",
     "v_frame_quality": """
         SELECT l_suppkey % 8 AS channel_id, l_orderkey, l_linenumber, l_returnflag <> 'R' AS frame_valid,
@@ -129,9 +129,9 @@ VIEWS: dict[str, str] = {
           CASE WHEN o_orderstatus = 'F' AND o_totalprice > 300000 THEN 'confirmed'
             WHEN o_orderstatus = 'O' THEN 'rejected'
             WHEN o_totalprice < 40000 THEN 'error' ELSE 'candidate' END AS status,
-          CASE WHEN o_totalprice > 400000 THEN 0.99 ELSE 0.9 END AS confidence,
+          CASE WHEN o_totalprice > 400000 THEN 0.99e0 ELSE 0.9e0 END AS confidence,
           CAST(floor(o_totalprice / 1000) AS BIGINT) AS window_samples, o_orderkey * 100 AS window_end_sample,
-          o_totalprice / 1000000.0 AS elapsed_sec
+          o_totalprice / 1000000e0 AS elapsed_sec
         FROM {orders}""",
     "v_payload": f"""
         SELECT event_id AS seq, user_id % 8 AS channel_id, upper(md5(CAST(event_id AS STRING))) AS hex,
@@ -194,9 +194,3 @@ class Views:
         if f"v_{name}" in VIEWS:
             return self.view(f"v_{name}")
         raise AttributeError(name)
-
-    def pdus(self, view: str, extra: list[str], keep: list[str] | None = None) -> DataFrame:
-        """``view`` in PDU shape: the listed columns move into the ``extra`` struct."""
-        df = self.view(view)
-        keep = [c for c in df.columns if c not in extra] if keep is None else keep
-        return df.select(*keep, F.struct(*extra).alias("extra"))

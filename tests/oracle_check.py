@@ -100,7 +100,7 @@ def main(argv):
         try:
             ok, msg = compare(spark, con, sf_dir, name, fn, sqls.get(name))
         except Exception as exc:  # report and go on
-            ok, msg = False, f"{type(exc).__name__}: {str(exc)[:1500]}"
+            ok, msg = False, f"{type(exc).__name__}: {str(exc).split("JVM stacktrace")[0][:600]}"
         print(("ok   " if ok else "FAIL ") + name + "  " + msg, flush=True)
         if not ok:
             bad.append(name)
