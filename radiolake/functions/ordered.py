@@ -8,6 +8,9 @@ of a block is joined back.  With an integer order column that is unique per key
 holds at most ``width`` rows, whatever share of the data the key has.
 
 Keys must be non-null and the order columns unique per key.
+
+A scan reads its input twice (rows and block summaries).  Where one scan feeds another,
+the rows in between are written once with ``settle`` so the reads do not double each time.
 """
 
 from __future__ import annotations
@@ -18,10 +21,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from radiolake.session import persist_table
+
 WIDTH = 1 << 16  # order units per block
 _BLK = "_blk"
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write the rows between two scans to the shared folder and go on from there."""
+    return persist_table(df, "scan")
+
+
 @dataclass(frozen=True)
 class Scan:
     """One running value: ``kind`` is sum, max, min or last (last non-null)."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from radiolake.functions.fields import field, round_half_up
 from radiolake.functions.keys import dedup_key, is_persistent, stream_key
-from radiolake.functions.ordered import WIDTH, before, first_rows, scan, upto
+from radiolake.functions.ordered import before, first_rows, scan, settle, upto
 
 
 def first_by_key(df: DataFrame, key: Column, scope: list[str], order: list[str]) -> DataFrame:
@@ -90,7 +90,10 @@ def chain_merge(df: DataFrame, scope: list[str], window: float) -> DataFrame:
     """
     ordered = scan(df, scope, ["fs_start", "seq"], [before("_prev", "max", F.col("fs_start"))])
     starts = F.col("_prev").isNull() | (F.col("fs_start") - F.col("_prev") >= window)
-    chained = scan(ordered, scope, ["fs_start", "seq"], [upto("_chain", "max", F.when(starts, F.col("fs_start")))])
+    ordered = settle(ordered.select(*scope, "fs_start", "seq", "errors", "resid", "ncc", starts.alias("_starts")))
+    chained = scan(
+        ordered, scope, ["fs_start", "seq"], [upto("_chain", "max", F.when(F.col("_starts"), F.col("fs_start")))]
+    )
     item = F.struct(
         F.col("fs_start").alias("p"), F.col("errors").alias("e"), F.col("resid").alias("r"),
         (-F.col("ncc")).alias("n"), F.col("seq").alias("s"),
@@ -124,7 +127,8 @@ def merge_detections(df: DataFrame, scope: list[str], tolerance_hz: float = 2500
     f = "frequency_offset_hz"
     gaps = scan(df, scope, [f, "seq"], [before("_prev", "max", F.col(f))], width)
     starts = F.col("_prev").isNull() | (F.col(f) - F.col("_prev") > tolerance_hz)
-    clustered = scan(gaps, scope, [f, "seq"], [upto("_cluster", "max", F.when(starts, F.col(f)))], width)
+    gaps = settle(gaps.withColumn("_starts", starts))
+    clustered = settle(scan(gaps, scope, [f, "seq"], [upto("_cluster", "max", F.when(F.col("_starts"), F.col(f)))], width))
     rest = [c for c in df.columns if c not in scope]
     # weights are relative to the cluster peak; dB offsets cancel in the ratio
     top = clustered.groupBy(*scope, "_cluster").agg(

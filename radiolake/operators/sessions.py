@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from radiolake.functions.blockstate import run_blocks
 from radiolake.functions.fields import field, has_path, nonempty
 from radiolake.functions.lookups import dmr_call_type, dpmr_air_id
-from radiolake.functions.ordered import WIDTH, before, first_rows, scan, upto, with_lags
+from radiolake.functions.ordered import WIDTH, before, scan, settle, upto, with_lags
 
 SYMBOL_RATE = 4800.0
 SAMPLE_RATE = 48000.0
@@ -74,7 +74,7 @@ def dmr_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float =
     updates = lc | closes | ((typ == "CSBK") & starter & ~is_open)
     flagged = seen.withColumns({"_closes": closes, "_updates": updates, "_starter": starter}).drop("_start", "_term")
     grouped = scan(
-        flagged, scope, "seq",
+        settle(flagged), scope, "seq",
         [
             before("_sid", "max", F.when(F.col("_closes"), F.col("seq"))),
             upto("_flco", "last", F.when(F.col("_updates") & F.col("flco").isNotNull(), F.struct("seq", "flco"))),
@@ -323,7 +323,7 @@ def tetra_sessions(df: DataFrame, scope: list[str] = ("channel_id",), width_sec:
     order = ["_t", "seq"]
     rows = scan(rows, scope, order, [before("_who", "last", F.when(starts, who))], width_sec)
     opens = starts & (F.col("_who").isNull() | (F.col("_who") != who))
-    rows = scan(rows.withColumn("_opens", opens), scope, order, [upto("_sid", "last", F.when(F.col("_opens"), at))], width_sec)
+    rows = scan(settle(rows.withColumn("_opens", opens)), scope, order, [upto("_sid", "last", F.when(F.col("_opens"), at))], width_sec)
     rows = rows.where(F.col("_sid").isNotNull())
 
     def first(col: str) -> Column:
@@ -713,7 +713,7 @@ def infer_timing(df: DataFrame, scope: list[str], slot_bits: int = 510, width: f
     usable = F.col("sch_s_ok") & F.col("frame_number").isNotNull() & F.col("slot_number").isNotNull()
     order = ["slot_start_bit", "seq"]
     rows = scan(df, scope, order, [before("_prev", "last", F.when(usable, ref))], width)
-    rows = scan(rows, scope, order, [before("_next", "last", F.when(usable, ref))], width, reverse=True)
+    rows = scan(settle(rows), scope, order, [before("_next", "last", F.when(usable, ref))], width, reverse=True)
 
     def delta(r: str) -> Column:
         return F.round((F.col("slot_start_bit") - F.col(f"{r}.bit")) / slot_bits).cast("bigint")
