@@ -21,7 +21,8 @@ def decode_windows(
 
     ``windows`` has scope, window_id, start_sample and end_sample (exclusive), and any
     columns the decoder wants to see.  Only chunks a window touches travel, and a task
-    holds one window's samples, whose length the window split bounds.
+    holds one window's samples, whose length the window split bounds.  ``bin_samples`` is at
+    least the length of the longest chunk.
     """
     scope = list(scope)
     spans = windows.withColumns({"_w0": F.col("start_sample"), "_w1": F.col("end_sample"), "_w": F.struct(*windows.columns)})

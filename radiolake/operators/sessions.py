@@ -107,6 +107,7 @@ def dmr_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float =
             F.count_if(F.col("type") == "LATE_ENTRY").alias("late_entry_count"),
             F.count_if(F.col("type") == "CSBK").alias("csbk_count"),
             F.max("_closes").alias("_closed"),
+            F.max(F.when(F.col("_closes"), F.col("seq"))).alias("close_seq"),
             F.max_by("data_type_name", F.when(F.col("_closes"), F.col("seq"))).alias("last_data_type_name"),
             F.max_by("sync_type", F.when(F.col("_closes"), F.col("seq"))).alias("last_sync_type"),
         )
@@ -131,6 +132,7 @@ def dmr_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float =
         "late_entry_count",
         "csbk_count",
         F.when(F.col("_closed"), "terminator").otherwise("end_of_scan").alias("closed_by"),
+        "close_seq",
         F.coalesce("last_data_type_name", empty).alias("last_data_type_name"),
         F.coalesce("last_sync_type", empty).alias("last_sync_type"),
     )
@@ -164,6 +166,7 @@ def p25_calls(
             F.min(F.when(starter, seq)).alias("start_seq"),
             F.min_by(F.struct("nac", "fs_start"), F.when(starter, seq)).alias("_first"),
             F.max(F.when(term, F.col("fs_start"))).alias("_end"),
+            F.max(F.when(term, seq)).alias("close_seq"),
             F.max("fs_start").alias("_last"),
             F.max_by(F.struct(seq.alias("seq"), F.col("lc").alias("lc")), F.when(has_lc, seq)).alias("_lc"),
             F.count_if(duid.isin(*P25_VOICE)).alias("ldu_count"),
@@ -186,6 +189,7 @@ def p25_calls(
         F.round((end - F.col("_first.fs_start")) / F.lit(10 * SYMBOL_RATE), 3).alias("duration_s"),
         "ldu_count",
         end.alias("fs_start"),
+        "close_seq",
     )
 
 
@@ -258,6 +262,7 @@ def nxdn_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float =
         F.max_by("sample", seq).alias("end_sample"),
         F.count_if(vcall).alias("message_count"),
         F.max_by(F.struct("type", "payload_hex"), F.when(release, seq)).alias("_end"),
+        F.max(F.when(release, seq)).alias("close_seq"),
     )
     names = assemble_alias(rows.where(alias), [*scope, "_sid"])
     out = calls.join(names, [*scope, "_sid"], "left")
@@ -279,6 +284,7 @@ def nxdn_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float =
         F.coalesce("alias", empty).alias("alias"),
         F.coalesce("_end.type", F.lit("end_of_input")).alias("closed_by"),
         F.coalesce("_end.payload_hex", empty).alias("last_payload_hex"),
+        "close_seq",
     )
 
 
