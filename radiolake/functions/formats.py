@@ -18,6 +18,19 @@ def number_text(col: Column) -> Column:
     return F.when(v == F.floor(v), F.format_string("%.0f", v)).otherwise(trimmed)
 
 
+def fixed_text(col: Column, digits: int, sign: bool = False) -> Column:
+    """Fixed decimals of the number a double really holds (a printed 0.0005 may lie below
+    the tie); a true tie goes to the even digit."""
+    v = col.cast("double")
+    size, ten = F.abs(v), 10**digits
+    whole = F.floor(size)
+    part = F.bround((size - whole) * ten).cast("bigint")
+    whole = F.when(part == ten, whole + 1).otherwise(whole).cast("string")
+    part = F.lpad((part % ten).cast("string"), digits, "0")
+    lead = F.when(v < 0, "-").otherwise("+" if sign else "")
+    return F.when(v.isNotNull(), F.concat(lead, whole, F.lit("."), part))
+
+
 def general_text(col: Column) -> Column:
     """Six significant digits, as printed by %g, for numbers from 1e-4 up to 1e6."""
     v = col.cast("double")
@@ -68,7 +81,9 @@ def with_line(df: DataFrame) -> DataFrame:
     src, dst = txt("src", "0"), txt("dst", "0")
     flco, fid = txt("flco"), txt("fid")
     hz = field(df, "fo_hz", "double")
-    fo = F.when(hz.isNotNull(), F.format_string(" (fo=%+.1fkHz)", hz / 1000.0)).otherwise("")
+    fo = F.when(
+        hz.isNotNull(), F.concat(F.lit(" (fo="), fixed_text(hz / 1000.0, 1, sign=True), F.lit("kHz)"))
+    ).otherwise("")
     seconds = number_text(field(df, "extra.duration_s", "double"))
     head12 = F.format_string("[%-12s]", typ)
     head18 = F.format_string("[%-18s]", typ)
@@ -205,7 +220,7 @@ def _tetra(df: DataFrame, head: Column, fo: Column) -> Column:
     ).otherwise("")
 
     def seconds(path: str) -> Column:
-        return F.format_string("%.3f", field(df, path, "double"))
+        return fixed_text(field(df, path, "double"), 3)
 
     t = field(df, "extra.start_time_s", "double")
     time = F.when(t.isNotNull() & ~F.isnan(t), F.concat(F.lit(" T="), seconds("extra.start_time_s"), F.lit("s"))).otherwise("")

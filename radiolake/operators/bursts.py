@@ -10,6 +10,7 @@ from radiolake.functions.ordered import dense_index, settle
 from radiolake.operators.conform import time_of_bit
 from radiolake.operators.spectrum import TRAINING
 from radiolake.registry import literal_map
+from radiolake.session import spread
 
 SLOT_BITS = 510
 MAX_CANDIDATES, MAX_PER_TRAINING = 60, 12
@@ -130,7 +131,7 @@ def classify_slots(slots: DataFrame, bits: str = "bit_string") -> DataFrame:
     Comparing bits is the costly step and its result is filtered and ranked in several
     ways afterwards, so it is written once.
     """
-    rows = slots.where(F.length(bits) == SLOT_BITS).withColumn("_c", classify_burst(F.col(bits)))
+    rows = spread(slots.where(F.length(bits) == SLOT_BITS)).withColumn("_c", classify_burst(F.col(bits)))
     names = [
         "burst_name", "burst_type", "training_name", "is_confirmed", "confidence", "error_fraction", "total_errors",
         "preamble_errors", "training_errors", "frequency_errors", "tail_errors", "bkn1_start", "bkn1_end", "bkn1_channel",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from radiolake.functions.joins import interval_join
 from radiolake.functions.ordered import WIDTH, before, scan, settle, upto, with_lags
 from radiolake.functions.stats import grouped_quantiles
+from radiolake.session import spread
 
 # ------------------------------------------------------------ spectra from samples
 
@@ -101,7 +102,7 @@ def _spectra(chunks: DataFrame, keys: list[str], n: int, window, hop_of, row_len
             yield pd.DataFrame(out, columns=names)
 
     need = [*keys, "start_sample", "total_samples", "sample_rate_hz", "i", "q"]
-    parts = settle(chunks.select(*need).mapInPandas(local, schema))
+    parts = settle(spread(chunks.select(*need)).mapInPandas(local, schema))
     sums = parts.where("psd IS NOT NULL")
     whole = (
         parts.where("psd IS NULL")
@@ -445,7 +446,7 @@ def modulation_gate(snapshots: DataFrame, keys: list[str]) -> DataFrame:
             ]
             yield pd.DataFrame(out, columns=names)
 
-    return snapshots.select(*keys, "i", "q", "sample_rate_hz").mapInPandas(run, f"{head}, {GATE_OUT}")
+    return spread(snapshots.select(*keys, "i", "q", "sample_rate_hz")).mapInPandas(run, f"{head}, {GATE_OUT}")
 
 
 def stable_family(decisions: DataFrame, scope: list[str], needed: int = 2, width: float = WIDTH) -> DataFrame:
@@ -516,7 +517,7 @@ def tune(
             yield pd.DataFrame(out, columns=names)
 
     need = [*keys, "start_sample", "sample_rate_hz", "i", "q"]
-    parts = settle(chunks.select(*need).mapInPandas(run, schema))
+    parts = settle(spread(chunks.select(*need)).mapInPandas(run, schema))
     body = parts.where("NOT edge").drop("edge")
     ends = chunks.groupBy(*keys).agg(F.max("end_sample").alias("_end"))
     edge = (
@@ -548,59 +549,58 @@ MAX_ERROR_FRACTION, GOOD_ERROR_FRACTION = 0.25, 0.18
 MAX_HITS, HIT_SPACING = 200, 32
 
 
-def training_errors(bits: Column) -> Column:
-    """Array over the sequences of (name, length, errors by offset).
-
-    A window of bits is read as an integer and compared by counting differing bits."""
+CANDIDATE_OUT = (
+    "name string, length int, best_errors int, best_offset int, candidates array<struct<s:int,p:int>>"
+)
 
-    def one(name: str, seq: str) -> Column:
-        size, word = len(seq), int(seq, 2)
-        offsets = F.when(F.length(bits) >= size, F.sequence(F.lit(1), F.length(bits) - size + 1))
-        errors = F.transform(
-            offsets,
-            lambda o: F.bit_count(
-                F.conv(F.substring(bits, o, F.lit(size)), 2, 10).cast("bigint").bitwiseXOR(F.lit(word).cast("bigint"))
-            ),
-        )
-        return F.struct(F.lit(name).alias("name"), F.lit(size).alias("length"), errors.alias("errors"))
 
-    return F.array(*[one(n, s) for n, s in TRAINING.items()])
+def _template_errors(x: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Differing bits of ``word`` at every offset of ``x``."""
+    ones = np.convolve(x, np.ones(len(word), np.int32), "valid")
+    return ones + int(word.sum()) - 2 * np.correlate(x, word, "valid")
 
 
 def training_candidates(df: DataFrame, keys: list[str], bits: str = "bits") -> DataFrame:
     """Offsets where a sequence matches within a quarter of its bits and no neighbour
-    matches better; ``candidates`` is ranked by errors, then offset."""
-    rows = df.select(*keys, F.explode(training_errors(F.col(bits))).alias("t")).select(*keys, "t.*")
-    most = F.floor(F.col("length") * MAX_ERROR_FRACTION + 1e-9)
-    e = F.col("errors")
-    big = F.lit(1 << 20)
-    found = F.filter(
-        F.transform(
-            e,
-            lambda x, i: F.struct(
-                x.alias("s"), (i + 1).alias("p"),
-                ((x <= F.coalesce(F.get(e, i - 1), big)) & (x <= F.coalesce(F.get(e, i + 1), big))).alias("low"),
-            ),
-        ),
-        lambda c: c["low"] & (c["s"] <= most),
-    )
-    ranked = F.sort_array(F.transform(found, lambda c: F.struct(c["s"].alias("s"), c["p"].alias("p"))))
-    return rows.withColumns({"candidates": ranked, "best_errors": F.array_min("errors")}).withColumn(
-        "best_offset", F.array_position("errors", F.col("best_errors"))
-    )
+    matches better, per text and sequence; ranked by errors (s), then offset (p)."""
+    words = {n: np.frombuffer(w.encode(), np.uint8).astype(np.int32) - 48 for n, w in TRAINING.items()}
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+    names = [*keys, "name", "length", "best_errors", "best_offset", "candidates"]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                x = np.frombuffer(row[-1].encode(), np.uint8).astype(np.int32) - 48
+                for name, word in words.items():
+                    size = len(word)
+                    if len(x) < size:
+                        out.append((*row[:-1], name, size, size, None, []))
+                        continue
+                    e = _template_errors(x, word)
+                    wall = np.pad(e, 1, constant_values=size + 1)
+                    at = np.flatnonzero((e <= wall[:-2]) & (e <= wall[2:]) & (e <= int(MAX_ERROR_FRACTION * size + 1e-9)))
+                    at = at[np.argsort(e[at], kind="stable")]
+                    best = int(e.argmin())
+                    out.append((*row[:-1], name, size, int(e[best]), best + 1, [{"s": int(e[i]), "p": int(i) + 1} for i in at]))
+            yield pd.DataFrame(out, columns=names)
+
+    return spread(df.select(*keys, F.col(bits).alias("_bits"))).mapInPandas(run, f"{head}, {CANDIDATE_OUT}")
 
 
 def training_hits(df: DataFrame, keys: list[str], bits: str = "bits") -> DataFrame:
     """Training sequence hits at least 32 bits apart, best first, at most 200 a sequence."""
     rows = training_candidates(df, keys, bits)
     kept = F.slice(greedy_positions(F.col("candidates"), HIT_SPACING), 1, MAX_HITS)
-    hits = rows.select(*keys, "name", "length", "errors", F.explode(kept).alias("bit_offset"))
-    errors = F.element_at("errors", F.col("bit_offset"))
-    frac = errors / F.col("length")
+    rows = rows.withColumn("_kept", kept)
+    hits = rows.select(
+        *keys, "name", "length", F.explode(F.filter("candidates", lambda c: F.array_contains("_kept", c["p"]))).alias("c")
+    )
+    frac = F.col("c.s") / F.col("length")
     return hits.select(
-        *keys, "name", "length", "bit_offset", errors.alias("errors"), frac.alias("error_fraction"),
+        *keys, "name", "length", F.col("c.p").alias("bit_offset"), F.col("c.s").alias("errors"), frac.alias("error_fraction"),
         (frac <= MAX_ERROR_FRACTION).alias("is_candidate"), (frac <= GOOD_ERROR_FRACTION).alias("is_good"),
-    )
+    )
 
 
 def training_score(df: DataFrame, keys: list[str], bits: str = "bits") -> DataFrame:

@@ -78,13 +78,13 @@ def _(v):
 
 @query(
     "rpt5_decoder_timing",
-    """SELECT channel_id, count(*) AS completions, round(avg(compute_sec), 6) AS mean_compute_sec, max(compute_sec) AS max_compute_sec,
-         round(avg(dispatch_sec), 6) AS mean_dispatch_sec, max(dispatch_sec) AS max_dispatch_sec FROM v_metrics GROUP BY ROLLUP (channel_id)""",
+    """SELECT channel_id, count(*) AS completions, round(CAST(sum(CAST(compute_sec AS DECIMAL(28, 9))) AS DOUBLE) / count(*), 9) AS mean_compute_sec, max(compute_sec) AS max_compute_sec,
+         round(CAST(sum(CAST(dispatch_sec AS DECIMAL(28, 9))) AS DOUBLE) / count(*), 9) AS mean_dispatch_sec, max(dispatch_sec) AS max_dispatch_sec FROM v_metrics GROUP BY ROLLUP (channel_id)""",
 )
 def _(v):
     return R.decoder_timing(v.metrics, ["channel_id"]).select(
-        "channel_id", "completions", R6("mean_compute_sec").alias("mean_compute_sec"), "max_compute_sec",
-        R6("mean_dispatch_sec").alias("mean_dispatch_sec"), "max_dispatch_sec",
+        "channel_id", "completions", F.round("mean_compute_sec", 9).alias("mean_compute_sec"), "max_compute_sec",
+        F.round("mean_dispatch_sec", 9).alias("mean_dispatch_sec"), "max_dispatch_sec",
     )
 
 

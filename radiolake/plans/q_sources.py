@@ -218,3 +218,23 @@ def _(v):
     windows = windows.withColumns({"start_sample": F.col("window_id") * 250, "end_sample": F.col("window_id") * 250 + 400})
     out = decode_windows(chunks, windows, ["capture_id"], _energy, "samples long, power double", 64.0)
     return out.select("capture_id", "window_id", "samples", R6("power").alias("power"))
+
+
+@query(
+    "udf1_protocol_handlers",
+    """c AS (SELECT channel_id, color_code, count(*) AS n, min(seq) AS first, bool_or(confidence IN ('high', 'medium')) AS good FROM v_cch WHERE color_code >= 0 GROUP BY ALL),
+       b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, first) AS rn FROM c) WHERE rn = 1 AND n >= 2)
+       SELECT 'dPMR' AS protocol, channel_id, v_cch.seq FROM v_cch LEFT JOIN b USING (channel_id)
+       WHERE b.n IS NULL OR (v_cch.color_code = b.color_code AND (NOT good OR confidence IN ('high', 'medium')))
+       UNION ALL SELECT 'P25', channel_id, seq FROM v_pdus_p25""",
+)
+def _(v):
+    """Postprocessing by protocol: dPMR keeps its stable colour, P25 passes unchanged."""
+    from radiolake.operators.handlers import install_defaults
+    from radiolake.registry import run_handler
+
+    install_defaults(["channel_id"])
+    dpmr = v.cch.select("channel_id", "seq", "protocol", "type", F.struct("color_code", "confidence").alias("extra"))
+    p25 = v.pdus_p25.select("channel_id", "seq", "protocol", "type")
+    lake = dpmr.unionByName(p25, allowMissingColumns=True)
+    return run_handler(lake, "postprocess").select("protocol", "channel_id", "seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.functions.formats import general_text, with_line
+from radiolake.functions.formats import fixed_text, general_text, with_line
 from radiolake.operators.conform import conform_pdus
 
 # Columns of the window report, in file order, with the source column
@@ -31,7 +31,7 @@ def window_csv(reports: DataFrame) -> DataFrame:
     def cell(name: str, source: str) -> Column:
         c = F.col(source)
         if name in ("start_s", "end_s", "duration_s"):
-            return F.format_string("%.6f", c.cast("double"))
+            return fixed_text(c, 6)
         if name in ("timing_error_rad", "fo_hz"):
             return F.when(c.isNull(), "NaN").otherwise(general_text(c))
         return c.cast("string") if name == "variant" else c.cast("bigint").cast("string")
