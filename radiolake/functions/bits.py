@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The four bits of each hex digit
-_NIBBLES = {f"{i:X}": f"{i:04b}" for i in range(16)}
-
-
 def bits_to_int(bits: Column) -> Column:
     """Most significant bit first; up to 63 bits."""
     return F.conv(bits, 2, 10).cast("bigint")
@@ -18,24 +14,22 @@ def int_to_bits(value: Column, width: int) -> Column:
     return F.lpad(F.bin(value.cast("bigint")), width, "0")
 
 
+def _by_part(text: Column, size: int, convert) -> Column:
+    """Convert ``text`` in parts of ``size`` characters and join the results."""
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(size)))
+    return F.coalesce(
+        F.concat_ws("", F.transform(starts, lambda i: convert(F.substring(text, i, F.lit(size))))), F.lit("")
+    )
+
+
 def hex_to_bits(text: Column) -> Column:
-    out = F.upper(text)
-    # digits 0 and 1 are also bits, so letters and digits first move to a private alphabet
-    alphabet = "ghijklmnopqrstuv"
-    out = F.translate(out, "0123456789ABCDEF", alphabet)
-    for digit, mark in zip("0123456789ABCDEF", alphabet, strict=True):
-        out = F.replace(out, F.lit(mark), F.lit(_NIBBLES[digit]))
-    return out
+    return _by_part(text, 15, lambda p: F.lpad(F.conv(p, 16, 2), F.length(p) * 4, "0"))
 
 
 def bits_to_hex(bits: Column) -> Column:
     """Hex text; a partial last nibble is padded with zeros at its end."""
     padded = F.rpad(bits, ((F.length(bits) + 3) / 4).cast("int") * 4, F.lit("0"))
-    nibbles = F.when(F.length(padded) > 0, F.sequence(F.lit(1), F.length(padded), F.lit(4)))
-    return F.concat_ws(
-        "",
-        F.transform(nibbles, lambda i: F.conv(F.substring(padded, i, F.lit(4)), 2, 16)),
-    )
+    return _by_part(padded, 60, lambda p: F.lpad(F.conv(p, 2, 16), (F.length(p) / 4).cast("int"), "0"))
 
 
 def dibits_to_bits(dibits: Column) -> Column:

@@ -89,20 +89,28 @@ def _most(length: int, fraction: float) -> int:
     return int(length * fraction + 1e-9)
 
 
-def classify_burst(bits: Column) -> Column:
-    """Best matching burst definition of a 510-bit slot, with its errors and confirmation."""
+def _field_errors(bits: Column) -> dict[str, Column]:
+    """Differing bits of every field of every burst definition."""
+    out = {}
+    for k, (_, _, training, preamble, t0, has_freq, _, _) in enumerate(BURSTS):
+        out[f"_pre{k}"] = _differences(bits, PREAMBLE_START, preamble)
+        out[f"_trn{k}"] = _differences(bits, t0, TRAINING[training])
+        if has_freq:
+            out[f"_freq{k}"] = _differences(bits, FREQUENCY_START, FREQUENCY_BITS)
+    out["_tail"] = _differences(bits, TAIL_START, TAIL_BITS)
+    return out
+
+
+def _best_definition() -> Column:
+    """Best matching burst definition from the field errors: confirmed first, then the
+    smaller share of errors, fewer errors, earlier definition."""
 
     def one(k: int, d: tuple) -> Column:
-        name, kind, training, preamble, t0, has_freq, b1, b2 = d
+        name, kind, training, preamble, _, has_freq, b1, b2 = d
         word = TRAINING[training]
-        pre = _differences(bits, PREAMBLE_START, preamble)
-        trn = _differences(bits, t0, word)
-        tail = _differences(bits, TAIL_START, TAIL_BITS)
-        checked = len(preamble) + len(word) + len(TAIL_BITS)
-        freq = F.lit(0).cast("bigint")
-        if has_freq:
-            freq = _differences(bits, FREQUENCY_START, FREQUENCY_BITS)
-            checked += len(FREQUENCY_BITS)
+        pre, trn, tail = F.col(f"_pre{k}"), F.col(f"_trn{k}"), F.col("_tail")
+        freq = F.col(f"_freq{k}") if has_freq else F.lit(0).cast("bigint")
+        checked = len(preamble) + len(word) + len(TAIL_BITS) + (len(FREQUENCY_BITS) if has_freq else 0)
         total = pre + trn + tail + freq
         ok = (
             (trn <= _most(len(word), MAX_TRAINING_FRACTION))
@@ -114,7 +122,7 @@ def classify_burst(bits: Column) -> Column:
             ok = ok & (freq <= _most(len(FREQUENCY_BITS), MAX_FREQUENCY_FRACTION))
         share = total / checked
         return F.struct(
-            (~ok).alias("rank_confirmed"), share.alias("error_fraction"), total.alias("total_errors"), F.lit(k).alias("k"),
+            (~ok).alias("rank_confirmed"), share.alias("error_fraction"), total.alias("total_errors"), F.lit(k).alias("k_definition"),
             F.lit(name).alias("burst_name"), F.lit(kind).alias("burst_type"), F.lit(training).alias("training_name"),
             ok.alias("is_confirmed"), F.greatest(F.lit(0.0), 1 - share).alias("confidence"),
             pre.alias("preamble_errors"), trn.alias("training_errors"), freq.alias("frequency_errors"), tail.alias("tail_errors"),
@@ -131,14 +139,15 @@ def classify_slots(slots: DataFrame, bits: str = "bit_string") -> DataFrame:
     Comparing bits is the costly step and its result is filtered and ranked in several
     ways afterwards, so it is written once.
     """
-    rows = spread(slots.where(F.length(bits) == SLOT_BITS)).withColumn("_c", classify_burst(F.col(bits)))
     names = [
         "burst_name", "burst_type", "training_name", "is_confirmed", "confidence", "error_fraction", "total_errors",
         "preamble_errors", "training_errors", "frequency_errors", "tail_errors", "bkn1_start", "bkn1_end", "bkn1_channel",
         "bkn2_start", "bkn2_end", "bkn2_channel",
     ]
-    rows = rows.drop(*[n for n in names if n in slots.columns])
-    return settle(rows.select("*", *[F.col(f"_c.{n}").alias(n) for n in names]).drop("_c"))
+    rows = spread(slots.where(F.length(bits) == SLOT_BITS).drop(*[n for n in names if n in slots.columns]))
+    errors = _field_errors(F.col(bits))
+    rows = rows.withColumns(errors).select("*", F.inline(F.array(_best_definition())))
+    return settle(rows.drop("rank_confirmed", "k_definition", *errors))
 
 
 def limit_bursts(bursts: DataFrame, scope: list[str], limit: int = MAX_BURST_CANDIDATES) -> DataFrame:

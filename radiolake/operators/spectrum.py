@@ -555,35 +555,42 @@ CANDIDATE_OUT = (
 
 
 def _template_errors(x: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Differing bits of ``word`` at every offset of ``x``."""
-    ones = np.convolve(x, np.ones(len(word), np.int32), "valid")
-    return ones + int(word.sum()) - 2 * np.correlate(x, word, "valid")
+    """Differing bits of ``word`` at every offset of every row of the bit matrix ``x``."""
+    count = x.shape[1] - len(word) + 1
+    out = np.zeros((x.shape[0], count), np.uint8)
+    for j, bit in enumerate(word):
+        out += x[:, j : j + count] ^ bit
+    return out
 
 
 def training_candidates(df: DataFrame, keys: list[str], bits: str = "bits") -> DataFrame:
     """Offsets where a sequence matches within a quarter of its bits and no neighbour
     matches better, per text and sequence; ranked by errors (s), then offset (p)."""
-    words = {n: np.frombuffer(w.encode(), np.uint8).astype(np.int32) - 48 for n, w in TRAINING.items()}
+    words = {n: np.frombuffer(w.encode(), np.uint8) - 48 for n, w in TRAINING.items()}
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
-    names = [*keys, "name", "length", "best_errors", "best_offset", "candidates"]
+
+    def of_length(part: pd.DataFrame, size: int):
+        """Results of the texts of one length, compared all at once."""
+        x = (np.frombuffer("".join(part["_bits"]).encode(), np.uint8) - 48).reshape(len(part), size)
+        for name, word in words.items():
+            out = part[keys].assign(name=name, length=len(word))
+            if size < len(word):
+                yield out.assign(best_errors=len(word), best_offset=None, candidates=[[]] * len(part))
+                continue
+            e = _template_errors(x, word)
+            wall = np.pad(e, ((0, 0), (1, 1)), constant_values=255)
+            low = (e <= wall[:, :-2]) & (e <= wall[:, 2:]) & (e <= int(MAX_ERROR_FRACTION * len(word) + 1e-9))
+            row, at = np.nonzero(low)
+            order = np.lexsort((at, e[row, at], row))
+            found = [{"s": int(s), "p": int(p) + 1} for s, p in zip(e[row, at][order], at[order], strict=True)]
+            ends = np.cumsum(np.bincount(row, minlength=len(part)))
+            lists = [found[i:j] for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)]
+            yield out.assign(best_errors=e.min(axis=1), best_offset=e.argmin(axis=1) + 1, candidates=lists)
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                x = np.frombuffer(row[-1].encode(), np.uint8).astype(np.int32) - 48
-                for name, word in words.items():
-                    size = len(word)
-                    if len(x) < size:
-                        out.append((*row[:-1], name, size, size, None, []))
-                        continue
-                    e = _template_errors(x, word)
-                    wall = np.pad(e, 1, constant_values=size + 1)
-                    at = np.flatnonzero((e <= wall[:-2]) & (e <= wall[2:]) & (e <= int(MAX_ERROR_FRACTION * size + 1e-9)))
-                    at = at[np.argsort(e[at], kind="stable")]
-                    best = int(e.argmin())
-                    out.append((*row[:-1], name, size, int(e[best]), best + 1, [{"s": int(e[i]), "p": int(i) + 1} for i in at]))
-            yield pd.DataFrame(out, columns=names)
+            for size, part in pdf.groupby(pdf["_bits"].str.len()):
+                yield from of_length(part.reset_index(drop=True), int(size))
 
     return spread(df.select(*keys, F.col(bits).alias("_bits"))).mapInPandas(run, f"{head}, {CANDIDATE_OUT}")
 

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from radiolake.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -188,7 +190,8 @@ class Views:
             "us": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)",
             "psd_bins": "",
         }
-        return self.spark.sql(VIEWS[name].format(**tables))
+        df = self.spark.sql(VIEWS[name].format(**tables))
+        return spread(df) if name == "v_payload" else df  # texts to work through
 
     def __getattr__(self, name: str) -> DataFrame:
         if f"v_{name}" in VIEWS:

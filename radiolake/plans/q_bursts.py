@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from radiolake.functions import bits as B
+from radiolake.functions.ordered import settle
 from radiolake.operators import bursts as U
 from radiolake.operators import spectrum as S
 from radiolake.plans.catalog import query
@@ -80,7 +81,12 @@ def _slot_bits(v):
     # overwrite k % 7 bits inside the training sequence
     n = (k % 7).cast("int")
     out = F.concat(F.substring("b", 1, 268), F.substring(F.lit("0000000"), F.lit(1), n), F.expr("substring(b, 269 + CAST(k % 7 AS INT), 510)"))
-    return raw.withColumn("b", built).select("seq", "channel_id", "k", out.alias("bit_string"), (F.col("seq") * 510 + 1).alias("slot_start_bit"))
+    # slots are a stored table; a filter on them must not rebuild the texts
+    return settle(
+        raw.withColumn("b", built).select(
+            "seq", "channel_id", "k", out.alias("bit_string"), (F.col("seq") * 510 + 1).alias("slot_start_bit")
+        )
+    )
 
 
 def _sql_text(d) -> str:

@@ -358,8 +358,8 @@ def _l3_hex():
 )
 def _(v):
     df = v.payload.select("seq", B.hex_to_bits(_lc_hex()).alias("b"))
-    df = df.select("seq", payload.dmr_full_link_control(F.col("b")).alias("f"))
-    return df.select("seq", *[F.col(f"f.{n}").alias(n) for n in ("flco", "fid", "flco_name", "src", "dst")])
+    df = df.select("seq", F.inline(F.array(payload.dmr_full_link_control(F.col("b")))))
+    return df.select("seq", "flco", "fid", "flco_name", "src", "dst")
 
 
 @query(
@@ -375,9 +375,8 @@ def _(v):
 )
 def _(v):
     df = v.payload.select("seq", B.hex_to_bits(_lc_hex()).alias("b"))
-    df = df.select("seq", payload.p25_link_control(F.col("b")).alias("f"))
-    names = ["lco", "mfid", "lc_info", "emergency", "reserved", "src", "dst", "call_type"]
-    return df.select("seq", *[F.col(f"f.{n}").alias(n) for n in names])
+    df = df.select("seq", F.inline(F.array(payload.p25_link_control(F.col("b")))))
+    return df.select("seq", "lco", "mfid", "lc_info", "emergency", "reserved", "src", "dst", "call_type")
 
 
 @query(
@@ -401,15 +400,15 @@ def _(v):
 )
 def _(v):
     df = v.payload.select("seq", B.hex_to_bits(_l3_hex()).alias("b"))
-    df = df.select("seq", payload.nxdn_layer3(F.col("b")).alias("f"))
+    df = df.select("seq", F.inline(F.array(payload.nxdn_layer3(F.col("b")))))
     names = [
         "message_type", "message_name", "payload_hex", "src", "dst", "call_type_code", "emergency", "duplex",
         "transmission_mode", "alias_segment", "location_id",
     ]
     joined = F.when(
-        F.col("f.alias_bytes").isNotNull(), F.concat_ws(",", F.col("f.alias_bytes").cast("array<string>"))
+        F.col("alias_bytes").isNotNull(), F.concat_ws(",", F.col("alias_bytes").cast("array<string>"))
     )
-    return df.select("seq", *[F.col(f"f.{n}").alias(n) for n in names], joined.alias("alias_bytes"))
+    return df.select("seq", *names, joined.alias("alias_bytes"))
 
 
 @query(
