@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from radiolake.functions.ordered import settle
 from radiolake.operators import sessions as S
 from radiolake.operators.conform import conform_pdus
 from radiolake.operators.dedup import deduplicate_pdus
@@ -66,7 +67,7 @@ def _(v):
 )
 def _(v):
     """Calls per channel with duration and closing reason, after duplicate removal."""
-    calls = S.dmr_calls(deduplicate_pdus(dmr_rows(v), ["channel_id"]))
+    calls = S.dmr_calls(settle(deduplicate_pdus(dmr_rows(v), ["channel_id"])))
     length = F.col("end_sample") - F.col("start_sample")
     return calls.groupBy("channel_id", "closed_by").agg(
         F.count(F.lit(1)).alias("calls"),

@@ -21,14 +21,12 @@ def _recordings(v) -> str:
     v.spark.range(1).write.parquet(f"{folder}/.made")  # creates the folder on its file system
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
         pdf = pdf.sort_values("start_sample")
         i, q = np.concatenate(pdf["i"].to_list()), np.concatenate(pdf["q"].to_list())
         x = np.empty(2 * len(i), "<i2")
         x[0::2], x[1::2] = np.round(np.float64(i) * 32767), np.round(np.float64(q) * 32767)
         path = f"{folder}/cap{int(pdf['capture_id'].iloc[0])}_48000.rawiq"
-        system, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        system, inner = S.locate(path)
         with system.open_output_stream(inner) as f:
             f.write(x.tobytes())
         return pd.DataFrame({"n": [len(i)]})

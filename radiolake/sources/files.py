@@ -42,11 +42,16 @@ def rate_from_name(path: Column) -> Column:
 # ------------------------------------------------------------ range reads
 
 
-def _open(path: str):
+def locate(path: str):
+    """File system and inner path of a path as Spark writes it."""
     from pyarrow import fs
 
     uri = re.sub(r"^file:/+", "file:///", path)
-    system, inner = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def _open(path: str):
+    system, inner = locate(path)
     return system.open_input_file(inner)
 
 
