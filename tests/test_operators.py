@@ -201,3 +201,46 @@ def test_modulation_gate(spark):
     got = {r.name: r for r in P.modulation_gate(df, ["name"]).collect()}
     assert got["fsk"].family == "fsk4" and got["fsk"].confidence >= 0.9
     assert got["short"].reason == "awaiting_modulation_analysis_window" and got["psk"].family in ("pi4dqpsk", "uncertain")
+
+
+def test_waterfall_matches_direct(spark):
+    rng = np.random.default_rng(6)
+    x, n = rng.normal(size=1000) + 1j * rng.normal(size=1000), 64
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+    got = P.waterfall(iq_table(spark, x, 8000.0, [90, 333, 640]), ["capture_id"], n, 300).collect()
+    rows = {}
+    for r in sorted(got, key=lambda r: (r.row, r.bin)):
+        rows.setdefault(r.row, []).append(r.power)
+    assert sorted(rows) == [0, 1, 2, 3]
+    for row, power in rows.items():
+        part = x[row * 300 : min(1000, row * 300 + 300)]
+        frames = part[: len(part) // n * n].reshape(-1, n)
+        want = np.fft.fftshift(np.mean(np.abs(np.fft.fft(frames * w, axis=1)) ** 2, axis=0) / (8000.0 * np.sum(w**2)))
+        assert np.allclose(power, want)
+
+
+def test_fine_candidates(spark):
+    """A bin with a peak yields it; a flat one yields its strongest frequency."""
+    flat = [1.0 + 0.001 * b for b in range(16)]
+    peak = [1.0] * 16
+    peak[6] = 500.0
+    fine = [(1, c, b, b * 100.0, p) for c, ps in ((0, peak), (1, flat), (2, flat)) for b, p in enumerate(ps)]
+    fine = spark.createDataFrame(fine, "batch long, coarse_bin long, bin long, freq_hz double, power double")
+    active = spark.createDataFrame(
+        [(1, 0, -10.0, -30.0, 4e8, 0.0), (1, 1, -12.0, -30.0, 4e8, 1600.0)],
+        "batch long, coarse_bin long, power_db double, noise_floor_db double, center_hz double, coarse_center_offset_hz double",
+    )
+    rows = P.fine_candidates(active, fine, ["batch"], 100.0, 8.0, 100.0, 500.0).collect()
+    got = sorted((r.coarse_bin, r.frequency_offset_hz, r.snr_db) for r in rows)
+    # three bins are averaged, so the earliest of the plateau around bin 6 is its peak
+    assert got == [(0, 500.0, 20.0), (1, 3100.0, 18.0)]
+
+
+def test_floor_sources(spark):
+    """Spectral estimates are due every half second; between them the smoothed past counts,
+    and a jump asks for a fresh estimate."""
+    df = chunk_rows(spark, [-60.0] * 7 + [-20.0] + [-60.0] * 2)
+    floors = F.when(F.col("seq").isin(1, 2), None).otherwise(F.when(F.col("seq") == 7, -25.0).otherwise(-62.0))
+    rows = A.detect_adaptive(df.withColumn("spectral_floor_db", floors), CFG, width=3).orderBy("seq").collect()
+    assert [r.noise_source for r in rows] == ["spectral"] + ["temporal"] * 4 + ["spectral", "temporal", "spectral_triggered"] + ["temporal"] * 2
+    assert not any(r.is_active for r in rows) and rows[7].noise_floor_db == -25.0

@@ -27,10 +27,18 @@ def test_query(spark, con, name):
     assert ok, message
 
 
+# rules without an SQL form; each has a brute-force or hand-derived test
+NO_SQL = {
+    "ded9_unseen_ledger", "ded12_chain_merge", "ses4_dpmr_calls", "act2_spectral_noise", "act3_floor_sources",
+    "act5_adaptive_detector", "spc1_welch_psd", "spc2_waterfall", "spc13_fine_candidates", "spc15_modulation_gate",
+    "spc17_tune_narrowband", "trk1_tracks", "trk2_track_events",
+}
+
+
 def test_registry():
     queries, oracle = entry.queries(), entry.oracle_sql()
+    assert set(queries) - set(oracle) == NO_SQL
     assert set(oracle) <= set(queries)
-    assert len(oracle) >= 150
 
 
 def test_entry(spark):
