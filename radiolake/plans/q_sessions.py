@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from radiolake.functions.keys import dmr_key
 from radiolake.functions.ordered import settle
 from radiolake.operators import sessions as S
 from radiolake.operators.conform import conform_pdus
-from radiolake.operators.dedup import deduplicate_pdus
+from radiolake.operators.dedup import first_by_key
 from radiolake.plans.catalog import query
 
 
@@ -67,7 +68,8 @@ def _(v):
 )
 def _(v):
     """Calls per channel with duration and closing reason, after duplicate removal."""
-    calls = S.dmr_calls(settle(deduplicate_pdus(dmr_rows(v), ["channel_id"])))
+    rows = dmr_rows(v)
+    calls = S.dmr_calls(settle(first_by_key(rows, dmr_key(rows), ["channel_id"], ["seq"])))
     length = F.col("end_sample") - F.col("start_sample")
     return calls.groupBy("channel_id", "closed_by").agg(
         F.count(F.lit(1)).alias("calls"),
