@@ -29,10 +29,17 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset a temporary folder serves a session that runs inside one JVM
+    (``local[n]``, as in tests); on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="spark-radiolake-"))
     return _LOCAL_DIR[0]
