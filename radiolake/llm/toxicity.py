@@ -44,7 +44,7 @@ REPORTS = (
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _TOKEN = re.compile(r"[^\W_]+")
-FEATURES = ("plain", "negated", "reported", "threat", "aimed")
+FEATURES = ("plain", "negated", "reported", "threat", "aimed", "dense")  # dense: weight by length
 
 Table = dict[tuple, tuple]  # (state, symbol) -> (state, symbol)
 
@@ -102,7 +102,7 @@ class Model:
     """Insult arcs by word beginning (``word$`` is a whole word), and the logistic weights."""
 
     arcs: dict[str, float] = field(default_factory=lambda: {w + "$": 3.0 for w in INSULTS})
-    weights: tuple[float, ...] = (-4.0, 2.5, 0.3, 0.6, 1.5, 0.8)
+    weights: tuple[float, ...] = (-4.0, 2.5, 0.3, 0.6, 1.5, 0.8, 0.5)
     longest: int = 8
     shortest: int = 3
 
@@ -122,9 +122,11 @@ class Model:
 def clause_features(text: str, model: Model) -> list[float]:
     """Sums of the weights of matched clauses by kind, in the order of FEATURES."""
     sums = dict.fromkeys(FEATURES, 0.0)
+    n_words = 0
     for clause in _CLAUSE.split(text.lower()):
         state, aim, hits = (0, 0), 0, []
         for word in _TOKEN.findall(clause):
+            n_words += 1
             symbol, weight = model.symbol(word)
             state, out = _GRAMMAR[state, symbol]
             aim, _ = _TARGET[aim, symbol]
@@ -140,6 +142,7 @@ def clause_features(text: str, model: Model) -> list[float]:
                 sums["aimed"] += weight * aim
             elif aim:  # a threat counts where it is aimed at somebody
                 sums["threat"] += weight
+    sums["dense"] = 50 * (sums["plain"] + sums["threat"]) / max(1, n_words)
     return [math.log1p(sums[f]) for f in FEATURES]
 
 
@@ -201,9 +204,9 @@ def _candidates_in(arcs: dict[str, int], shortest: int, longest: int):
     return run
 
 
-def select_arcs(arcs: list[str], texts: list[np.ndarray], least: float) -> list[int]:
-    """Greedy cover: take the arc that explains most texts, halve the weight of those, go on
-    until an arc explains fewer than ``least``.
+def select_arcs(arcs: list[str], precision: np.ndarray, texts: list[np.ndarray], least: float) -> list[int]:
+    """Greedy cover: take the arc that explains most texts (times its precision),
+    halve the weight of those, go on until an arc explains fewer than ``least``.
 
     Of arcs that explain the same the longest is taken, and no arc that is the beginning of a
     taken one or the other way round.  Words that only come along in copies of a toxic text have
@@ -216,7 +219,8 @@ def select_arcs(arcs: list[str], texts: list[np.ndarray], least: float) -> list[
     length = np.array([len(a) for a in arcs])
     taken: list[int] = []
     while len(column) and open_.any():
-        gain = np.where(open_, np.bincount(column, weights=weight[row], minlength=len(arcs)), -1.0)
+        texts_of = np.bincount(column, weights=weight[row], minlength=len(arcs))
+        gain = np.where(open_, texts_of * precision, -1.0)
         top = np.flatnonzero(gain >= gain.max() - 1e-9)
         best = int(top[np.argmax(length[top])])
         if gain[best] < least:
@@ -288,7 +292,7 @@ def fit(
     evidence: float = 30.0,
     min_docs: int = 2,
     min_share: float = 0.01,
-    min_precision: float = 0.95,
+    min_precision: float = 0.25,
     seed_weight: float = 3.0,
 ) -> Model:
     """Learn insult arcs and the logistic weights from labelled texts.
@@ -296,7 +300,7 @@ def fit(
     ``max_rows`` bounds the sample: the labelled rows with the smallest hashed ids.  An arc is a
     word or a word beginning of 3 to 8 letters in at least ``min_docs`` and ``min_share`` of the
     toxic texts whose log-likelihood ratio against the other texts is at least ``evidence`` and
-    that occurs in no other text or in these at a share of 1 - ``min_precision`` at most; its weight is the smoothed log of the ratio of rates.  The ``max_arcs`` candidates of strongest
+    whose share of toxic occurrences is at least ``min_precision``; its weight is the smoothed log of the ratio of rates.  The ``max_arcs`` candidates of strongest
     evidence go through ``select_arcs``.  Rows with a null label or id are left out; without rows of both labels the fixed
     words and default weights remain.
     """
@@ -328,7 +332,7 @@ def fit(
             ((F.col("pos") + 0.5) / (both + 1)).alias("precision"),
             (F.log((F.col("pos") + 0.5) / all_pos) - F.log((F.col("neg") + 0.5) / all_neg)).alias("weight"),
         )
-        .where((F.col("g2") >= evidence) & ((F.col("precision") >= min_precision) | (F.col("neg") == 0)))
+        .where((F.col("g2") >= evidence) & (F.col("precision") >= min_precision))
         .orderBy(F.desc("g2"), "arc")
         .limit(max_arcs)
         .collect()
@@ -337,7 +341,7 @@ def fit(
     toxic = texts.where("toxic = 1").select("text")
     found = toxic.mapInArrow(_candidates_in(numbers, model.shortest, model.longest), "found binary").collect()
     least = max(min_docs, min_share * len(found))
-    taken = select_arcs(list(numbers), [np.frombuffer(r.found, dtype=np.int32) for r in found], least)
+    taken = select_arcs(list(numbers), np.array([r.precision for r in kept]), [np.frombuffer(r.found, dtype=np.int32) for r in found], least)
     learned = {kept[i].arc: float(kept[i].weight) for i in taken}
     model.arcs = {w + "$": seed_weight for w in INSULTS} | learned
     schema = "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)
