@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from radiolake.session import persist_table
+
 # a sentence ends at a stop followed by white space, or with its line
 _BREAK = re.compile(r"((?<=[.!?…。！？])\s+|\s*\n\s*)")
 
@@ -96,8 +98,10 @@ def repeated_runs(
     )
     runs = texts.mapInArrow(_hash_runs(min_words, min_sentences, long_sentence), _RUNS)
     at = F.struct("doc_id", "th", "start")
-    # a hot run sends one row per task; only runs that repeat are joined back, where AQE splits hot ones
+    # a hot run sends one row per task; the runs that repeat are written, so that both sides of
+    # the join back have exchanges of their own, which lets AQE split hot runs
     first = runs.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last")
+    first = persist_table(first.select("h", "first"), "repeated-runs")
     return runs.join(first, "h").where(~at.eqNullSafe(F.col("first"))).select("doc_id", "th", "start", "n")
 
 
