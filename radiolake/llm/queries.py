@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import contamination, repeats, toxicity
+from radiolake.llm import contamination, forest, pieces, repeats, tokens, toxicity
 from radiolake.llm.tables import table
+from radiolake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +26,31 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+END_ID = 2
+
+
+@query("op1_token_blocks")
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as coded blocks and read back."""
+    path = scratch_path(spark, "token-blocks")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return tokens.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op2_pieces")
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document by the merge agenda, and the text they decode to."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    return pieces.decode(coded, path).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
 _OP4_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP4_SQL = rf"""
@@ -71,6 +98,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(docs)
 
 
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of each document at Jaccard similarity 0.8 of word 5-grams."""
+    return forest.similarity_classes(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_links", "n_texts", "kept"
+    )
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of each document by the clause grammar, fitted on the rows not held out."""

@@ -19,11 +19,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.llm.words import split_words
+from radiolake.llm.words import slabs, split_words
 
 # word classes of the grammar, in English, German, French and Spanish
 INSULTS = (
@@ -155,12 +154,22 @@ _COUNTS = "arc string, pos bigint, neg bigint, docs bigint"
 _COUNTS_ARROW = pa.schema([("arc", pa.string()), ("pos", pa.int64()), ("neg", pa.int64()), ("docs", pa.int64())])
 
 
-def _count_arcs(shortest: int, longest: int, often: int):
+def _count_arcs(shortest: int, longest: int, often: int, held: int = 200_000):
     """Occurrences (at most ``often`` a text) of every word and word beginning by label; the row
-    without an arc counts all words."""
+    without an arc counts all words.  Counts are passed on whenever ``held`` arcs have piled up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg, docs = Counter(), Counter(), Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            arcs = list(pos.keys() | neg.keys())
+            for k in range(0, len(arcs), 50_000):
+                part = arcs[k : k + 50_000]
+                counts = [pa.array([c[a] for a in part], pa.int64()) for c in (pos, neg, docs)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *counts], schema=_COUNTS_ARROW)
+            for c in (pos, neg, docs):
+                c.clear()
+
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = Counter(_TOKEN.findall((text or "").lower()))
@@ -174,13 +183,9 @@ def _count_arcs(shortest: int, longest: int, often: int):
                 into[None] += sum(words.values())
                 if toxic:
                     docs.update(own.keys())
-        arcs = list(pos) + [None] * (None in neg and None not in pos)  # an arc has to occur in a toxic text
-        for k in range(0, len(arcs), 50_000):
-            part = arcs[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.string()), *(pa.array([c[a] for a in part], pa.int64()) for c in (pos, neg, docs))],
-                schema=_COUNTS_ARROW,
-            )
+                if len(pos) + len(neg) > held:
+                    yield from out()
+        yield from out()
 
     return run
 
@@ -235,33 +240,34 @@ def select_arcs(arcs: list[str], precision: np.ndarray, texts: list[np.ndarray],
     return taken
 
 
-def _features(model: Model):
+def _features(model: Model, known_words: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         for batch in batches:
-            texts = batch.column("text")
-            words, counts = split_words(texts, "unicode")
-            # only texts with a word that an insult or threat arc accepts need the grammar
-            coded = words.dictionary_encode()
-            vocabulary = coded.dictionary.to_pylist()
-            if len(known) > 2_000_000:
-                known.clear()
-            hot = np.zeros(len(vocabulary), dtype=bool)
-            for i, word in enumerate(vocabulary):
-                flag = known.get(word)
-                if flag is None:
-                    flag = known[word] = any(model.symbol(w)[0] in "IH" for w in _TOKEN.findall(word))
-                hot[i] = flag
-            token = hot[coded.indices.to_numpy()] if len(words) else np.zeros(0, dtype=bool)
-            row = np.repeat(np.arange(len(counts)), counts)[token]
-            values = np.zeros((len(counts), len(FEATURES)))
-            for i in np.unique(row):
-                values[i] = clause_features(texts[int(i)].as_py(), model)
-            columns = [batch.column(c) for c in batch.schema.names if c != "text"]
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *(pa.array(values[:, k]) for k in range(len(FEATURES)))], names=[*names, *FEATURES]
-            )
+            for lo, hi in slabs(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column("text")
+                words, counts = split_words(texts, "unicode")
+                # only texts with a word that an insult or threat arc accepts need the grammar
+                coded = words.dictionary_encode()
+                if len(known) > known_words:
+                    known.clear()
+                hot = np.zeros(len(coded.dictionary), dtype=bool)
+                for i, word in enumerate(coded.dictionary.to_pylist()):
+                    flag = known.get(word)
+                    if flag is None:
+                        flag = known[word] = any(model.symbol(w)[0] in "IH" for w in _TOKEN.findall(word))
+                    hot[i] = flag
+                token = hot[coded.indices.to_numpy()] if len(words) else np.zeros(0, dtype=bool)
+                row = np.repeat(np.arange(len(counts)), counts)[token]
+                values = np.zeros((len(counts), len(FEATURES)))
+                for i in np.unique(row):
+                    values[i] = clause_features(texts[int(i)].as_py(), model)
+                names = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in names), *(pa.array(values[:, k]) for k in range(len(FEATURES)))],
+                    names=[*names, *FEATURES],
+                )
 
     return run
 
