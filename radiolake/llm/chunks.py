@@ -1,4 +1,4 @@
-"""Encoding by distinct chunks: texts are cut at spaces, each distinct chunk is encoded once per
+"""Encoding by distinct chunks: texts are cut where no token can cross, each distinct chunk is encoded once per
 worker, and whole texts are put together from the results in array operations."""
 
 from __future__ import annotations
@@ -60,32 +60,30 @@ class ChunkTable:
         return self.ids[pick], sizes
 
 
-def split_at(texts: pa.Array, separators: bytes, keep: bool) -> tuple[pa.StringArray, np.ndarray]:
+def split_at(texts: pa.Array, breaks: np.ndarray, drop: bytes = b"") -> tuple[pa.StringArray, np.ndarray]:
     """Chunks of a batch of texts without nulls, and the number of chunks of each text.
 
-    With ``keep`` a chunk is a run of separators and what follows up to the next one; without,
-    separators are dropped.  Separators are single ASCII bytes.
+    ``breaks[x, y]`` says that a chunk ends between the bytes x and y; bytes of ``drop`` belong
+    to no chunk.  A chunk also ends with its text.
     """
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
     if offsets[-1] == offsets[0]:
         return pa.array([], pa.string()), np.zeros(len(texts), dtype=np.int64)
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets.astype(np.int64) - offsets[0]
-    gap = np.isin(data, np.frombuffer(separators, dtype=np.uint8))
-    first = gap.copy() if keep else ~gap
-    if keep:
-        first[1:] &= ~gap[:-1]
+    first = np.ones(len(data), dtype=bool)
+    first[1:] = breaks.ravel()[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
+    if drop:
+        inside = ~np.isin(data, np.frombuffer(drop, dtype=np.uint8))
+        first[1:] |= ~inside[:-1]
+        first &= inside
+        letters = np.cumsum(inside)
+        starts = np.flatnonzero(first)
+        bounds, body = np.r_[letters[starts] - 1, letters[-1]], data[inside]
     else:
-        first[1:] &= gap[:-1]
-    at = offsets[:-1][offsets[:-1] < len(data)]
-    first[at] = True if keep else ~gap[at]
-    starts = np.flatnonzero(first)
-    if keep:
+        starts = np.flatnonzero(first)
         bounds, body = np.r_[starts, len(data)], data
-    else:
-        letters = np.cumsum(~gap)
-        bounds = np.r_[letters[starts] - 1, letters[-1]] if len(starts) else np.zeros(1, dtype=np.int64)
-        body = data[~gap]
     chunks = pa.StringArray.from_buffers(
         len(starts), pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())
     )

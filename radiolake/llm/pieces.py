@@ -1,8 +1,8 @@
 """Merge-type SentencePiece encoding and decoding by a score-ordered agenda of adjacent pairs.
 
-A text gets a leading space, and spaces become the space mark.  No piece holds a space mark
-after another character, so merges never cross the start of a run of spaces: a text is cut
-there, and every distinct chunk is merged once per worker.  In a chunk all adjacent symbol pairs
+A text gets a leading space, and spaces become the space mark.  Merges never cross two
+neighbouring characters that no piece holds next to each other: a text is cut there, and every
+distinct chunk is merged once per worker.  In a chunk all adjacent symbol pairs
 that form a piece wait in an agenda ordered by the piece's score, leftmost first among equals;
 the best is merged and its new neighbours join the agenda.  Characters left without a piece
 become their UTF-8 bytes.  The first time a chunk is met, its ids are compared with those of the
@@ -12,7 +12,9 @@ sentencepiece library; ``agrees`` tells whether all chunks of a text did.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -55,16 +57,54 @@ class PieceModel:
                 self.order[piece] = -lib.get_score(i)
                 self.bytes.append(piece.replace(MARK, " ").encode())
                 self.marked[i] = piece.startswith(MARK)
-        if any(MARK in p.lstrip(MARK) for p in self.number):
-            raise ValueError("pieces with a space mark after another character are not supported")
+        # pairs of bytes that no piece holds, the second one the first of a character
+        self.breaks = np.ones((256, 256), dtype=bool)
+        self.breaks[:, 0x80:0xC0] = False
+        for data in self.bytes:
+            held = np.frombuffer(data, dtype=np.uint8)
+            self.breaks[held[:-1], held[1:]] = False
+        if not self.breaks[10].all(where=np.arange(256) < 0x80):
+            raise ValueError("a vocabulary with pieces that hold line feeds is not supported")
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.data = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of one chunk, in which spaces stand for marks."""
+        symbols = list(chunk.replace(" ", MARK))
+        merged = self._merge_short(symbols) if len(symbols) <= 48 else self._merge_long(symbols)
+        number, ids = self.number, []
+        for symbol in merged:
+            known = number.get(symbol)
+            if known is not None:
+                ids.append(known)
+            elif self.byte_id:
+                ids += [self.byte_id[b] for b in symbol.encode()]
+            else:
+                ids.append(self.unknown)
+        return ids
+
+    def _merge_short(self, symbols: list[str]) -> list[str]:
+        """The agenda is a list by place; its best entry is looked for."""
+        order, never = self.order.get, math.inf
+        agenda = [order(a + b, never) for a, b in pairwise(symbols)]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)
+            pair = symbols[i] + symbols[i + 1]
+            symbols[i : i + 2] = [pair]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = order(pair + symbols[i + 1], never)
+            if i:
+                agenda[i - 1] = order(symbols[i - 1] + pair, never)
+        return symbols
+
+    def _merge_long(self, symbols: list[str | None]) -> list[str]:
+        """The agenda is a heap; entries whose symbols have changed are passed over."""
         order = self.order
-        symbols: list[str | None] = list(chunk.replace(" ", MARK))
         n = len(symbols)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
@@ -91,28 +131,14 @@ class PieceModel:
                 left = symbols[h] + pair
                 if left in order:
                     heapq.heappush(agenda, (order[left], h, left))
-        ids: list[int] = []
-        for symbol in symbols:
-            if symbol is None:
-                continue
-            known = self.number.get(symbol)
-            if known is not None:
-                ids.append(known)
-            elif self.byte_id:
-                ids += [self.byte_id[b] for b in symbol.encode()]
-            else:
-                ids.append(self.unknown)
-        return ids
+        return [x for x in symbols if x is not None]
 
     def merge_all(self, chunks: Sequence[str]) -> list[list[int]]:
         """Ids of each chunk and, in front, whether the library gives the same."""
         ours = [self.merge(c) for c in chunks]
-        # the library puts the first space back; it gives nothing for an empty text
-        theirs = self.library.encode([c[1:] for c in chunks], num_threads=1)
-        return [
-            [int(a == b if c != " " else a == [self.number[MARK]]), *a]
-            for a, b, c in zip(ours, theirs, chunks, strict=True)
-        ]
+        # the library puts a space mark in front; behind a line feed no merge reaches the chunk
+        theirs = self.library.encode(["\n" + c for c in chunks], num_threads=1)
+        return [[int(a == b[2:]), *a] for a, b in zip(ours, theirs, strict=True)]
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.StringArray:
         """Texts of consecutive groups of ids: marks become spaces, bytes join to characters
@@ -148,16 +174,16 @@ _MODELS: dict[str, tuple[PieceModel, ChunkTable]] = {}  # one per worker and fil
 def _model(path: str) -> tuple[PieceModel, ChunkTable]:
     if path not in _MODELS:
         model = PieceModel(path)
-        _MODELS[path] = (model, ChunkTable(model.merge_all))
+        _MODELS[path] = (model, ChunkTable(model.merge_all, limit=300_000))
     return _MODELS[path]
 
 
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flat ids of a batch, ids by text, and whether the library agrees; a null is empty."""
-    _, table = _model(path)
+    model, table = _model(path)
     texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")  # both stand for a mark
     texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
-    chunks, counts = split_at(texts, b" ", keep=True)
+    chunks, counts = split_at(texts, model.breaks)
     flat, sizes = table.flat_ids(chunks)
     flags = np.zeros(len(flat), dtype=bool)
     flags[np.cumsum(sizes) - sizes] = True  # each chunk's ids follow its flag
@@ -165,27 +191,38 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np
     return flat[~flags], sums_by(sizes - 1, counts), agrees
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """All columns of ``docs``, then ``ids_col`` (array of int) and ``agrees`` (boolean).
+def encode(
+    docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None
+) -> DataFrame:
+    """All columns of ``docs``, then ``ids_col`` (array of int) and ``agrees`` (boolean), and
+    with ``decoded_col`` also the text that the ids decode to.
 
-    A null or empty text has no ids.  Columns with these two names are replaced.
+    A null or empty text has no ids and decodes to an empty text.  Columns with these names are
+    replaced, unless it is the text column that they would replace.
     """
-    names = [c for c in docs.columns if c not in (ids_col, "agrees")]
+    new = [ids_col, "agrees", *([decoded_col] if decoded_col else [])]
+    names = [c for c in docs.columns if c not in new]
     rows = docs.select(*names, F.col(text_col).alias("__text"))
-    empty = rows.select(*names, F.array().cast("array<int>").alias(ids_col), F.lit(True).alias("agrees"))
+    schema = docs.select(
+        *names,
+        F.array().cast("array<int>").alias(ids_col),
+        F.lit(True).alias("agrees"),
+        *([F.lit("").alias(decoded_col)] if decoded_col else []),
+    ).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, _ = _model(path)
         for batch in batches:
-            for lo, hi in slabs(batch.column("__text"), 8 << 20):
+            for lo, hi in slabs(batch.column("__text"), 4 << 20):
                 part = batch.slice(lo, hi - lo)
                 ids, counts, agrees = encode_texts(part.column("__text"), path)
                 offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), lists, pa.array(agrees)], names=[*names, ids_col, "agrees"]
-                )
+                columns = [pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(agrees)]
+                if decoded_col:
+                    columns.append(model.decode(ids, counts))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], names=[*names, *new])
 
-    return rows.mapInArrow(run, empty.schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each text has a histogram of character classes and one of the common words of its language.  Both
 are compared by Jensen-Shannon distance (base 2, from 0 to 1) with the histograms of the whole
-language: the sums over all its texts that pass the base rules.  Texts too short for a histogram
+language: the sums over all its texts that pass the base rules and are not far from the sums
+over all.  Texts too short for a histogram
 to mean anything are not judged by it.
 """
 
@@ -25,9 +26,9 @@ COMMON_WORDS = {
 # fixed values: patterns of the character classes; "other" is the rest
 CLASSES = {
     "lower": "[a-z]+",
+    "space": r"[\x20\x09-\x0D]+",
     "upper": "[A-Z]+",
     "digit": "[0-9]+",
-    "space": r"\s+",
     "stop": "[.,;:!?'\"()-]+",
     "symbol": "[#*$%&|<>@^~_=+/\\\\\\[\\]{}`]+",
 }
@@ -45,54 +46,57 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPACE), "")
 
 
-def repeated_words(words: Column, size: int = 5) -> Column:
-    """Number of words that lie in windows of ``size`` words found twice or more in the array.
+def window_hashes(words: Column, size: int = 5) -> Column:
+    """Hash of every window of ``size`` consecutive words, in order."""
 
-    A window is its hash, shifted to make room for its place: after sorting, equal windows are
-    neighbours.  The places of those are sorted again and their stretches added up.
+    def windows(h: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size)))
+        )
+
+    hashed = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+    return F.when(F.size(words) >= size, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+def repeated_words(windows: Column, size: int = 5) -> Column:
+    """Number of words that lie in windows of ``size`` words found twice or more.
+
+    Each window's hash is shifted to make room for its place; after sorting, equal windows are
+    neighbours.  The places of those are sorted again and their stretches added up.  Texts in
+    which no window repeats, most of them, are told by their distinct windows alone.
     """
 
-    def covered(keys: Column, bits: Column) -> Column:
-        def of(ordered: Column) -> Column:
-            head = F.transform(ordered, lambda x: F.call_function("shiftright", x, bits))
-            return let(
-                head,
-                lambda g: F.filter(
-                    ordered,
-                    lambda x, j: F.coalesce(F.get(g, j) == F.get(g, j - 1), F.lit(False))
-                    | F.coalesce(F.get(g, j) == F.get(g, j + 1), F.lit(False)),
-                ),
-            )
+    def repeats(keys: Column, bits: Column) -> Column:
+        """Keys that share their hash with a neighbour."""
+        head = F.transform(keys, lambda x: F.call_function("shiftright", x, bits))
+        return let(
+            head,
+            lambda g: F.filter(
+                keys,
+                lambda x, j: F.coalesce(F.get(g, j) == F.get(g, j - 1), F.lit(False))
+                | F.coalesce(F.get(g, j) == F.get(g, j + 1), F.lit(False)),
+            ),
+        )
 
+    def covered(bits: Column) -> Column:
+        keys = F.transform(
+            windows, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("bigint"))
+        )
         low = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
-        places = let(F.sort_array(keys), lambda k: let(low, lambda m: F.transform(of(k), lambda x: x.bitwiseAND(m))))
-        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
+        places = let(
+            F.sort_array(keys), lambda k: let(low, lambda m: F.transform(repeats(k, bits), lambda x: x.bitwiseAND(m)))
+        )
         return F.aggregate(
             F.sort_array(places),
-            start,
+            F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
             lambda acc, p: F.struct(
                 (acc["n"] + p + size - F.greatest(acc["end"], p)).alias("n"), (p + size).alias("end")
             ),
             lambda acc: acc["n"],
         )
 
-    def windows(h: Column) -> Column:
-        bits = F.length(F.bin(F.size(h).cast("bigint")))
-        return let(
-            bits,
-            lambda b: covered(
-                F.transform(
-                    F.sequence(F.lit(0), F.size(h) - size),
-                    lambda i: F.call_function(
-                        "shiftleft", F.xxhash64(*(F.get(h, i + k) for k in range(size))), b
-                    ).bitwiseOR(i.cast("bigint")),
-                ),
-                b,
-            ),
-        )
-
-    counted = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
-    return F.when(F.size(words) > size, counted).otherwise(F.lit(0).cast("bigint"))
+    counted = let(F.length(F.bin(F.size(windows).cast("bigint"))), covered)
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), counted).otherwise(F.lit(0).cast("bigint"))
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -101,36 +105,51 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text"))
     rows = rows.select("*", F.inline(F.array(F.struct(words_of(F.col("text")).alias("words")))))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    chars = [F.length("text") - F.length(F.regexp_replace("text", p, "")) for p in CLASSES.values()]
     every = sorted({w for words in COMMON_WORDS.values() for w in words})
     listed = F.lit(None).cast("array<string>")
     for lang, words in COMMON_WORDS.items():
         listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, words))).otherwise(listed)
-    folded = F.transform("words", lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", ""))
     common = let(
-        F.filter(folded, lambda w: w.isin(every)),
+        F.filter("words", lambda w: w.isin(every)),
         lambda found: F.transform(listed, lambda r: F.size(F.filter(found, lambda w: w == r)).cast("bigint")),
     )
     rows = rows.select(
         "doc_id",
         "lang",
         F.size("words").cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace("text", WORD_SPACE, "")).cast("bigint").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.array(*(c.cast("bigint") for c in chars)).alias("classes"),
         F.length("text").cast("bigint").alias("n_chars"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+        window_hashes(F.col("words")).alias("windows"),
         common.alias("common"),
+        F.col("text").alias("left"),
     )
-    other = F.col("n_chars") - sum((F.col("classes")[i] for i in range(len(CLASSES))), F.lit(0))
+    # the classes are taken out one after the other, so that later ones see what is left
+    figures = ["doc_id", "lang", "n_words", "n_chars", "n_dup_lines", "windows", "common"]
+    for name, pattern in CLASSES.items():
+        bare = F.regexp_replace("left", pattern, "")
+        rows = rows.select(*figures, F.col("left"), bare.alias("bare"))
+        count = (F.length("left") - F.length("bare")).cast("bigint").alias(name)
+        extra = []
+        if name == "symbol":
+            symbols = F.length("left") - F.length(F.regexp_replace("left", "[#*$%&|<>]+", ""))
+            extra = [symbols.cast("bigint").alias("n_symbols")]
+        rows = rows.select(*figures, count, *extra, F.col("bare").alias("left"))
+        figures += [name, *(["n_symbols"] if extra else [])]
     rest = F.col("n_words") - F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return rows.select(
-        *(c for c in rows.columns if c not in ("classes", "common")),
-        F.concat("classes", F.array(other)).alias("chars"),
+    rows = rows.select(
+        "doc_id",
+        "lang",
+        "n_words",
+        "n_chars",
+        (F.col("n_chars") - F.col("space")).alias("word_chars"),
+        "n_symbols",
+        "n_dup_lines",
+        repeated_words(F.col("windows")).alias("n_repeat_words"),
+        F.array(*CLASSES, F.length("left").cast("bigint")).alias("chars"),
         F.concat("common", F.array(rest)).alias("common"),
-        ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
     )
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return rows.withColumn("base_failed", failed)
 
 
 def distance(p: Column, q: Column, n: int) -> Column:
@@ -159,9 +178,10 @@ def judge(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    max_chars: float = 0.3,
+    max_chars: float = 0.17,
+    first_chars: float = 0.2,
     max_words: float = 0.6,
-    min_chars: int = 200,
+    min_chars: int = 400,
     min_words: int = 50,
 ) -> DataFrame:
     """A row for each row: the base figures, char_distance, word_distance and kept.
@@ -174,25 +194,34 @@ def judge(
     """
     rows = persist_table(measures(docs, id_col, text_col, lang_col), "measures")
     known = F.when(F.col("lang").isin(list(COMMON_WORDS)), F.col("lang")).otherwise("")
-    good = rows.where("NOT base_failed").withColumn("lang", known)
+
+    def odd(by: Column, least: int, size: str, most: float) -> Column:
+        return F.coalesce((F.col(size) >= least) & (by > most), F.lit(False))
+
+    def compared(references: DataFrame) -> DataFrame:
+        joined = rows.join(F.broadcast(references), known == F.col("ref"), "left")
+        by_chars = distance(F.col("chars"), F.col("ref_chars"), len(CHARS))
+        by_words = distance(F.col("common"), F.col("ref_common"), N_WORDS + 1)
+        joined = joined.withColumn("char_distance", by_chars).withColumn("word_distance", by_words)
+        return joined.drop("ref", "ref_chars", "ref_common")
+
+    # the second references leave out what is far from the first ones
+    first = compared(_references(rows.where("NOT base_failed"), known))
+    near = first.where(~F.col("base_failed") & ~odd(F.col("char_distance"), min_chars, "n_chars", first_chars))
+    judged = compared(persist_table(_references(near, known), "references"))
+    far = odd(F.col("char_distance"), min_chars, "n_chars", max_chars) | odd(
+        F.col("word_distance"), min_words, "n_words", max_words
+    )
+    return judged.withColumn("kept", ~F.col("base_failed") & ~far).drop("chars", "common")
+
+
+def _references(good: DataFrame, known: Column) -> DataFrame:
+    """(ref, ref_chars, ref_common): a row for each listed language and one, "", for the rest."""
 
     def sums(name: str, n: int) -> Column:
         return F.array(*(F.coalesce(F.sum(F.col(name)[i]), F.lit(0)) for i in range(n))).alias(f"ref_{name}")
 
-    words = good.groupBy(F.col("lang").alias("ref")).agg(sums("chars", len(CHARS)), sums("common", N_WORDS + 1))
+    words = good.groupBy(known.alias("ref")).agg(sums("chars", len(CHARS)), sums("common", N_WORDS + 1))
     whole = good.agg(sums("chars", len(CHARS)))
-    whole = whole.select(
-        F.lit("").alias("ref"), "ref_chars", F.lit(None).cast("array<bigint>").alias("ref_common")
-    )
-    # one row for each listed language and one for the rest
-    references = F.broadcast(words.where("ref <> ''").unionByName(whole))
-    joined = rows.join(references, known == F.col("ref"), "left")
-    by_chars = distance(F.col("chars"), F.col("ref_chars"), len(CHARS))
-    by_words = distance(F.col("common"), F.col("ref_common"), N_WORDS + 1)
-    joined = joined.withColumn("char_distance", by_chars).withColumn("word_distance", by_words)
-    odd = ((F.col("n_chars") >= min_chars) & (F.col("char_distance") > max_chars)) | (
-        (F.col("n_words") >= min_words) & (F.col("word_distance") > max_words)
-    )
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).drop(
-        "ref", "ref_chars", "ref_common", "chars", "common"
-    )
+    whole = whole.select(F.lit("").alias("ref"), "ref_chars", F.lit(None).cast("array<bigint>").alias("ref_common"))
+    return words.where("ref <> ''").unionByName(whole)

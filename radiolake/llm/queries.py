@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import contamination, forest, pieces, repeats, tokens, toxicity
+from radiolake.llm import contamination, forest, licenses, pieces, quality, quotes, repeats, tokens, toxicity
 from radiolake.llm.tables import table
 from radiolake.session import scratch_path
 
@@ -41,8 +41,8 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document by the merge agenda, and the text they decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return pieces.decode(coded, path).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, path, decoded_col="decoded").select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
@@ -51,6 +51,15 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that each document, or a line of it, is by canonical digest."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.known_notices(spark), small=True).select(
+        "doc_id", "whole_license", F.array_join("license_ids", ",").alias("license_ids"), "n_lines"
+    )
+
+
 _OP4_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP4_SQL = rf"""
@@ -98,6 +107,30 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(docs)
 
 
+@query("op7_reply_order")
+def op7_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, with its parent and its place in reply order."""
+    messages = table(spark, sf_dir, "conversations")
+    return quotes.reply_order(messages).withColumn("reply_path", F.array_join(F.col("reply_path").cast("array<string>"), "/"))
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of each document by distribution divergence."""
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.round("char_distance", 9).alias("char_distance"),
+        F.round("word_distance", 9).alias("word_distance"),
+    )
+
+
 @query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of each document at Jaccard similarity 0.8 of word 5-grams."""

@@ -2,7 +2,7 @@
 
 ``write_tokens`` range-partitions the texts by id, encodes them, and writes one row per block to
 Parquet files, so that Spark's commit protocol covers lost executors and any store will do.  A
-block (see ``rangecoder``) holds the ids of whole documents, about two million ids, and a table of
+block (see ``rangecoder``) holds the ids of whole documents, one to three million ids, and a table of
 their doc_ids and lengths.  ``read_tokens`` decodes blocks independently of each other.
 """
 
@@ -25,11 +25,27 @@ from radiolake.llm.words import slabs
 _MARK = "\x7f"  # stands between chunks that are encoded together
 
 
+def _breaks() -> np.ndarray:
+    """Pairs of ASCII bytes between which the tokenizer always cuts: letters and other marks, and
+    around digits; the apostrophe, which may belong to letters, is left alone."""
+    code = np.arange(256)
+    letter = ((code | 32) >= 97) & ((code | 32) <= 122) & (code < 128)
+    digit = (code >= 48) & (code <= 57)
+    mark = (code > 32) & (code < 127) & ~letter & ~digit & (code != 39)
+    both = letter | digit | mark
+    breaks = (letter[:, None] & mark) | (mark[:, None] & letter) | (digit[:, None] & both) | (both[:, None] & digit)
+    return breaks
+
+
+_BREAKS, _NO_BREAKS = _breaks(), np.zeros((256, 256), dtype=bool)
+
+
 class WordEncoder:
     """Ids of chunks without spaces or line feeds by a tokenizers file, many chunks in a call.
 
-    Holds for tokenizers that drop spaces and line feeds and never join what they separate; the
-    ids of a text are then those of its chunks.
+    Holds for tokenizers that ignore case, drop spaces and line feeds, and take letters, single
+    digits and runs of other marks apart before they merge; the ids of a text are then those of
+    its chunks.
     """
 
     def __init__(self, path: str, together: int = 500):
@@ -75,7 +91,11 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, in
         encoder = WordEncoder(path)
         _ENCODERS[path] = (encoder, ChunkTable(encoder.encode))
     encoder, table = _ENCODERS[path]
-    chunks, counts = split_at(pc.fill_null(texts, ""), b" \n", keep=False)
+    texts = pc.fill_null(texts, "")
+    if pc.any(pc.match_substring(texts, "<|")).as_py():  # the names of special tokens stay whole
+        chunks, counts = split_at(texts, _NO_BREAKS, b" \n")
+    else:
+        chunks, counts = split_at(pc.ascii_lower(texts), _BREAKS, b" \n")
     ids, sizes = table.flat_ids(chunks)
     return ids, sums_by(sizes, counts), encoder.vocabulary
 
@@ -118,7 +138,7 @@ def _write_blocks(path: str, end_id: int, block_tokens: int):
             return out
 
         for batch in batches:
-            for lo, hi in slabs(batch.column("text"), 1 << 20):
+            for lo, hi in slabs(batch.column("text"), 4 << 20):
                 ids, counts, vocabulary = encode_texts(batch.column("text").slice(lo, hi - lo), path)
                 vocabulary = max(vocabulary, end_id + 1)
                 lengths = counts + 1
@@ -145,13 +165,13 @@ def write_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     partitions: int | None = None,
-    block_tokens: int = 2_000_000,
+    block_tokens: int = 1_500_000,
 ) -> None:
     """Write the ids of every text, with ``end_id`` appended, in ascending order of id.
 
     Null ids come first; rows with equal ids follow each other, ordered by their text.  A null
     or empty text has only the end id.  Other columns are not read.  A block ends after the
-    slab of whole documents (1 MB of text) that fills it.
+    slab of whole documents (4 MB of text) that fills it.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
