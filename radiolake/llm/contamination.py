@@ -27,7 +27,7 @@ from radiolake.llm.words import slabs, split_words
 from radiolake.session import persist_table
 
 GAP = 256  # empty positions between two documents of a shard; spans must be shorter
-INDEX = "shard bigint, term string, positions binary, slot int, doc_id bigint, n_words int, base int"
+INDEX = "shard bigint, term string, positions binary, slot int, doc_id bigint, th bigint, n_words int, base int"
 _ARROW = pa.schema(
     [
         ("shard", pa.int64()),
@@ -35,6 +35,7 @@ _ARROW = pa.schema(
         ("positions", pa.binary()),
         ("slot", pa.int32()),
         ("doc_id", pa.int64()),
+        ("th", pa.int64()),
         ("n_words", pa.int32()),
         ("base", pa.int32()),
     ]
@@ -58,6 +59,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shard=pa.array(np.full(hi - lo, shard)),
                 slot=pa.array(np.arange(hi - lo, dtype=np.int32)),
                 doc_id=ids,
+                th=batch.column("th").slice(lo, hi - lo),
                 n_words=pa.array(counts.astype(np.int32)),
                 base=pa.array(base.astype(np.int32)),
             )
@@ -95,7 +97,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the directory: a row for each input row, in which ids may be null or repeat.  A null or
     empty text has no postings but a directory row.  Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")
+    )
     return persist_table(rows.mapInArrow(_postings, INDEX), "postings")
 
 
@@ -315,25 +319,24 @@ def proximity_matches(
 
 
 def directory(index: DataFrame) -> DataFrame:
-    """(shard, slot, doc_id, n_words), a row for each row that was indexed."""
-    return index.where(F.col("term").isNull()).select("shard", "slot", "doc_id", "n_words")
+    """(shard, slot, doc_id, th, n_words), a row for each row that was indexed; th is the hash of
+    its text."""
+    return index.where(F.col("term").isNull()).select("shard", "slot", "doc_id", "th", "n_words")
 
 
 def contamination(index: DataFrame, matches: DataFrame) -> DataFrame:
-    """Per indexed row: n_words, n_hit (words inside any match), item_ids (sorted strings)."""
-    hits = (
-        matches.select("shard", "slot", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at"))
-        .distinct()
-        .groupBy("shard", "slot")
-        .agg(F.count("*").alias("n_hit"))
-    )
-    items = matches.groupBy("shard", "slot").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    """Per indexed row: doc_id, th, n_words, n_hit (words inside any match), item_ids (sorted strings)."""
+    found = persist_table(matches, "matches")
+    places = F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at")
+    hits = found.select("shard", "slot", places).distinct().groupBy("shard", "slot").agg(F.count("*").alias("n_hit"))
+    items = found.groupBy("shard", "slot").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     return (
         directory(index)
         .join(hits, ["shard", "slot"], "left")
         .join(items, ["shard", "slot"], "left")
         .select(
             "doc_id",
+            "th",
             F.col("n_words").cast("bigint").alias("n_words"),
             F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
             F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),

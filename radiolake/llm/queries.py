@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import contamination, forest, licenses, pieces, quality, quotes, repeats, tokens, toxicity
+from radiolake.llm import contamination, forest, htmltext, licenses, pieces, quality, quotes, repeats, tokens, toxicity
 from radiolake.llm.tables import table
 from radiolake.session import scratch_path
 
@@ -100,6 +100,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page by tag-path ratios."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query("op6_substring_dedup")
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without the sentences that earlier documents hold in runs."""

@@ -244,9 +244,9 @@ def _features(model: Model, known_words: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         for batch in batches:
-            for lo, hi in slabs(batch.column("text")):
+            for lo, hi in slabs(batch.column("__text")):
                 part = batch.slice(lo, hi - lo)
-                texts = part.column("text")
+                texts = part.column("__text")
                 words, counts = split_words(texts, "unicode")
                 # only texts with a word that an insult or threat arc accepts need the grammar
                 coded = words.dictionary_encode()
@@ -263,7 +263,7 @@ def _features(model: Model, known_words: int = 200_000):
                 values = np.zeros((len(counts), len(FEATURES)))
                 for i in np.unique(row):
                     values[i] = clause_features(texts[int(i)].as_py(), model)
-                names = [c for c in part.schema.names if c != "text"]
+                names = [c for c in part.schema.names if c != "__text"]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names), *(pa.array(values[:, k]) for k in range(len(FEATURES)))],
                     names=[*names, *FEATURES],
@@ -351,20 +351,26 @@ def fit(
     learned = {kept[i].arc: float(kept[i].weight) for i in taken}
     model.arcs = {w + "$": seed_weight for w in INSULTS} | learned
     schema = "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)
-    sample = np.array([list(r) for r in texts.mapInArrow(_features(model), schema).collect()], dtype=float)
+    sample = np.array([list(r) for r in texts.select("toxic", F.col("text").alias("__text")).mapInArrow(_features(model), schema).collect()], dtype=float)
     if len(sample):
         model.weights = _logistic(sample[:, 1:], sample[:, 0])
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, and the features) of every row; a null or empty text has all features 0."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = rows.select("doc_id").schema
+def score(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """The columns ``keep`` (the id by default) of every row, then the features and the score.
+
+    A null or empty text has all features 0.  Columns in ``keep`` with the name of a feature or
+    of the score are replaced.
+    """
+    names = [c for c in (keep or [id_col]) if c not in (*FEATURES, "score")]
+    rows = docs.select(*names, F.col(text_col).alias("__text"))
+    schema = docs.select(*names).schema
     for f in FEATURES:
         schema = schema.add(f, "double")
-    found = rows.mapInArrow(_features(model), schema)
     line = F.lit(model.weights[0])
     for f, w in zip(FEATURES, model.weights[1:], strict=True):
         line = line + F.lit(w) * F.col(f)
-    return found.withColumn("score", 1 / (1 + F.exp(-line)))
+    return rows.mapInArrow(_features(model), schema).withColumn("score", 1 / (1 + F.exp(-line)))
