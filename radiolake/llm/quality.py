@@ -167,10 +167,9 @@ def distance(p: Column, q: Column, n: int) -> Column:
     def shares(h: Column) -> Column:
         return let(F.nullif(total(h), F.lit(0)), lambda t: F.transform(h, lambda v: v / t))
 
-    return let(
-        F.struct(shares(p).alias("p"), shares(q).alias("q")),
-        lambda s: F.sqrt(F.greatest(F.lit(0.0), terms(s["p"], s["q"]) / 2)),
-    )
+    apart = let(F.struct(shares(p).alias("p"), shares(q).alias("q")), lambda s: terms(s["p"], s["q"]) / 2)
+    both = (total(p) > 0) & (total(q) > 0)
+    return F.when(both, F.sqrt(F.greatest(F.lit(0.0), apart)))
 
 
 def judge(

@@ -169,14 +169,14 @@ def write_tokens(
 ) -> None:
     """Write the ids of every text, with ``end_id`` appended, in ascending order of id.
 
-    Null ids come first; rows with equal ids follow each other, ordered by their text.  A null
+    Null ids come first; rows with equal ids follow each other, ordered by the hash of their text.  A null
     or empty text has only the end id.  Other columns are not read.  A block ends after the
     slab of whole documents (4 MB of text) that fills it.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows.mapInArrow(_write_blocks(tokenizer, end_id, block_tokens), _BLOCKS).write.parquet(out)
 
 
