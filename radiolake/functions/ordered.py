@@ -7,7 +7,7 @@ the summaries (one row per block) are scanned per key, and the running value at
 of a block is joined back.  With an integer order column that is unique per key a block
 holds at most ``width`` rows, whatever share of the data the key has.
 
-Keys must be non-null and the order columns unique per key.
+The order columns must be unique per key; null keys form a key of their own.
 
 A scan reads its input twice (rows and block summaries).  Where one scan feeds another,
 the rows in between are written once with ``settle`` so the reads do not double each time.
@@ -123,7 +123,10 @@ def scan(
             for s in scans
         }
     )
-    joined = local.join(carried, [*keys, _BLK], "left")
+    # null keys are keys like others, so the join back has to match them
+    there = carried.withColumnsRenamed({c: f"_k_{c}" for c in (*keys, _BLK)})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, _BLK)]
+    joined = local.join(there, same, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[
@@ -162,7 +165,10 @@ def with_lags(
         {"_pos": F.row_number().over(base)}
         | {f"_lag{k}": F.lag(item, k).over(base) for k in range(1, n + 1)}
     )
-    joined = local.join(carried, [*keys, _BLK], "left")
+    # null keys are keys like others, so the join back has to match them
+    there = carried.withColumnsRenamed({c: f"_k_{c}" for c in (*keys, _BLK)})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, _BLK)]
+    joined = local.join(there, same, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[

@@ -13,8 +13,6 @@ from radiolake.registry import literal_map
 from radiolake.session import spread
 
 SLOT_BITS = 510
-MAX_CANDIDATES, MAX_PER_TRAINING = 60, 12
-MAX_BURST_CANDIDATES = 600
 MIN_VALID_RATIO = 0.70
 
 # What a training sequence says about its burst
@@ -61,17 +59,25 @@ def slot_candidates(hits: DataFrame, bits: str = "bits") -> DataFrame:
     return rows.withColumn("dibit_string", bits_to_dibits(F.col("bit_string")))
 
 
-def limit_slots(slots: DataFrame, scope: list[str], limit: int = MAX_CANDIDATES, per_training: int = MAX_PER_TRAINING) -> DataFrame:
-    """Best slots of each scope: at most ``per_training`` of one sequence, ``limit`` in all.
+def limit_slots(slots: DataFrame, scope: list[str], limit: int | None = None, per_training: int | None = None) -> DataFrame:
+    """Best slots of each scope: at most ``per_training`` of one sequence, ``limit`` in all; all
+    of them where both are None.
 
-    The first limit never depends on the second, so both are plain ranks."""
+    The first limit never depends on the second, so both are plain ranks.  ``n_dropped``, where
+    a limit is given, is the number of slots of the scope that it leaves out."""
+    if limit is None and per_training is None:
+        return slots
     order = [
         F.col("is_complete").desc(), F.col("is_good").desc(), "error_fraction", "errors", "slot_start_bit", "bit_offset", "name",
     ]
+    totals = slots.groupBy(*scope).agg(F.count(F.lit(1)).alias("_total"))
     for keys, most in (([*scope, "name"], per_training), (scope, limit)):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        slots = slots.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
-    return slots
+        if most is not None:
+            w = Window.partitionBy(*keys).orderBy(*order)
+            slots = slots.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+    kept = slots.groupBy(*scope).agg(F.count(F.lit(1)).alias("_kept"))
+    dropped = totals.join(kept, list(scope)).select(*scope, (F.col("_total") - F.col("_kept")).alias("n_dropped"))
+    return slots.join(dropped, list(scope))
 
 
 def _differences(bits: Column, start: int, pattern: str) -> Column:
@@ -144,20 +150,28 @@ def classify_slots(slots: DataFrame, bits: str = "bit_string") -> DataFrame:
         "preamble_errors", "training_errors", "frequency_errors", "tail_errors", "bkn1_start", "bkn1_end", "bkn1_channel",
         "bkn2_start", "bkn2_end", "bkn2_channel",
     ]
-    rows = spread(slots.where(F.length(bits) == SLOT_BITS).drop(*[n for n in names if n in slots.columns]))
+    rows = slots.where(F.length(bits) == SLOT_BITS).drop(*[n for n in names if n in slots.columns])
+    rows = spread(rows, bits)
     errors = _field_errors(F.col(bits))
     rows = rows.withColumns(errors).select("*", F.inline(F.array(_best_definition())))
     return settle(rows.drop("rank_confirmed", "k_definition", *errors))
 
 
-def limit_bursts(bursts: DataFrame, scope: list[str], limit: int = MAX_BURST_CANDIDATES) -> DataFrame:
-    """All confirmed candidates of a scope, and the best rejected ones up to ``limit``."""
+def limit_bursts(bursts: DataFrame, scope: list[str], limit: int | None = None) -> DataFrame:
+    """All confirmed candidates of a scope, and the best rejected ones up to ``limit`` in all (all
+    of them where it is None).  ``n_dropped``, where a limit is given, counts the ones left out."""
+    if limit is None:
+        return bursts
     w = Window.partitionBy(*scope).orderBy("error_fraction", "total_errors", "slot_start_bit", "seq")
     rejected = bursts.where("NOT is_confirmed").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
-    confirmed = bursts.where("is_confirmed")
-    n = confirmed.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
-    room = rejected.join(n, list(scope), "left").where(F.col("_rn") <= limit - F.coalesce("_n", F.lit(0)))
-    return confirmed.unionByName(room.drop("_rn", "_n"))
+    n = bursts.groupBy(*scope).agg(
+        F.count_if("is_confirmed").alias("_n"), F.count_if(~F.col("is_confirmed")).alias("_rejected")
+    )
+    left = F.greatest(F.lit(limit) - F.col("_n"), F.lit(0))
+    n = n.select(*scope, left.alias("_room"), F.greatest(F.col("_rejected") - left, F.lit(0)).alias("n_dropped"))
+    confirmed = bursts.where("is_confirmed").withColumn("_rn", F.lit(0))
+    both = confirmed.unionByName(rejected).join(n, list(scope))
+    return both.where(F.col("_rn") <= F.col("_room")).drop("_rn", "_room")
 
 
 def _valid(mask: Column) -> Column:

@@ -15,7 +15,8 @@ Decoder = Callable[[np.ndarray, float, dict], pd.DataFrame]
 
 
 def decode_windows(
-    chunks: DataFrame, windows: DataFrame, scope: list[str], decoder: Decoder, out_schema: str, bin_samples: float
+    chunks: DataFrame, windows: DataFrame, scope: list[str], decoder: Decoder, out_schema: str, bin_samples: float,
+    gaps: str = "split",
 ) -> DataFrame:
     """Call ``decoder(iq, sample_rate_hz, window)`` for every window and collect its rows.
 
@@ -23,7 +24,13 @@ def decode_windows(
     columns the decoder wants to see.  Only chunks a window touches travel, and a task
     holds one window's samples, whose length the window split bounds.  ``bin_samples`` is at
     least the length of the longest chunk.
+
+    Samples lie at their own numbers.  Where a window misses some, ``gaps`` says what happens:
+    ``split`` calls the decoder once for each unbroken stretch, whose ``start_sample`` and
+    ``end_sample`` it then sees in the window; ``zero`` fills with zeros; ``fail`` raises.
     """
+    if gaps not in ("split", "zero", "fail"):
+        raise ValueError(f"unknown rule for gaps: {gaps}")
     scope = list(scope)
     spans = windows.withColumns({"_w0": F.col("start_sample"), "_w1": F.col("end_sample"), "_w": F.struct(*windows.columns)})
     spans = spans.select(*scope, "_w", "_w0", "_w1")
@@ -41,11 +48,23 @@ def decode_windows(
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         w = pdf["_w"].iloc[0]
-        pieces = sorted(pdf["_c"], key=lambda c: c["start_sample"])
-        iq = np.concatenate([np.asarray(c["i"], float) + 1j * np.asarray(c["q"], float) for c in pieces])
-        skip = max(0, int(w["start_sample"]) - int(pieces[0]["start_sample"]))
-        iq = iq[skip : skip + int(w["end_sample"]) - int(w["start_sample"])]
-        out = decoder(iq, float(pdf["sample_rate_hz"].iloc[0]), dict(w)).reindex(columns=fields)
+        w0, w1 = int(w["start_sample"]), int(w["end_sample"])
+        iq, there = np.zeros(w1 - w0, complex), np.zeros(w1 - w0, bool)
+        for c in pdf["_c"]:
+            x = np.asarray(c["i"], float) + 1j * np.asarray(c["q"], float)
+            at = int(c["start_sample"])
+            lo, hi = max(w0, at), min(w1, at + len(x))
+            if lo < hi:
+                iq[lo - w0 : hi - w0], there[lo - w0 : hi - w0] = x[lo - at : hi - at], True
+        if gaps == "fail" and not there.all():
+            raise ValueError(f"window {w['window_id']} lacks {int((~there).sum())} samples")
+        edges = np.flatnonzero(np.diff(np.r_[False, there, False]))
+        spans = zip(edges[::2], edges[1::2], strict=True) if gaps == "split" else [(0, w1 - w0)]
+        rate = float(pdf["sample_rate_hz"].iloc[0])
+        out = [
+            decoder(iq[a:b], rate, {**dict(w), "start_sample": w0 + int(a), "end_sample": w0 + int(b)}) for a, b in spans
+        ]
+        out = pd.concat([x.reindex(columns=fields) for x in out], ignore_index=True) if out else pd.DataFrame(columns=fields)
         for k in keys:
             out[k] = w[k]
         return out[[*keys, *fields]]

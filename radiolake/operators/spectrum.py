@@ -7,6 +7,8 @@ over them are small.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -102,7 +104,7 @@ def _spectra(chunks: DataFrame, keys: list[str], n: int, window, hop_of, row_len
             yield pd.DataFrame(out, columns=names)
 
     need = [*keys, "start_sample", "total_samples", "sample_rate_hz", "i", "q"]
-    parts = settle(spread(chunks.select(*need)).mapInPandas(local, schema))
+    parts = settle(spread(chunks.select(*need), *keys, "start_sample").mapInPandas(local, schema))
     sums = parts.where("psd IS NOT NULL")
     whole = (
         parts.where("psd IS NULL")
@@ -151,34 +153,52 @@ def average_and_hold(spectra: DataFrame, by: list[str]) -> DataFrame:
     return spectra.groupBy(*by).agg(F.avg("power").alias("average"), F.max("power").alias("max_hold"))
 
 
-def live_average(
-    spectra: DataFrame, keys: list[str], order: str, alpha: float = 0.25, reset: str | None = None, block: int = 512
-) -> DataFrame:
-    """Smoothed spectrum and held maximum after every update.
+def _decayed_sum(rows: DataFrame, keys: list[str], order: str, value: str, keep: float, name: str, level: int = 0) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows of the key up to this one, each weighted
+    with ``keep`` to the power of its distance in ``order``.
+
+    Rows are cut into blocks.  Inside one, values are scaled up from the block's start, and
+    the block is short enough for that to stay a double.  The sums at the block ends form the
+    same problem with ``keep`` to the power of the block length, which is solved in the same
+    way; the third level has one row for each 10**8 or so updates and is folded directly.
+    """
+    if keep == 0:
+        return rows.withColumn(name, F.col(value))
+    block = max(1, min(512, int(200 / -math.log10(keep)))) if keep < 1 else 512
+    blk, own, end, total, held = (f"_{x}{level}" for x in ("block", "own", "end", "total", "held"))
+    at = F.col(order) - F.floor(F.col(order) / block) * block
+    rows = rows.withColumn(blk, F.floor(F.col(order) / block).cast("bigint"))
+    scaled = F.col(value) * F.pow(F.lit(1.0 / keep), at)
+    local = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(own, F.sum(scaled).over(local) * F.pow(F.lit(keep), at))
+    ends = rows.groupBy(*keys, blk).agg((F.sum(scaled) * F.pow(F.lit(keep), F.lit(block - 1))).alias(end))
+    fade = keep**block
+    if level == 2:
+        w = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, 0)
+        steps = F.collect_list(F.struct(F.col(blk).alias("b"), F.col(end).alias("x"))).over(w)
+        weighted = F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + s["x"] * F.pow(F.lit(fade), F.col(blk) - s["b"]))
+        ends = ends.withColumn(total, weighted)
+    else:
+        ends = _decayed_sum(ends, keys, blk, end, fade, total, level + 1)
+    # what the block before has gathered, faded by the distance to this row
+    carried = ends.select(*keys, (F.col(blk) + 1).alias(blk), F.col(total).alias(held))
+    joined = rows.join(carried, [*keys, blk], "left")
+    faded = F.coalesce(held, F.lit(0.0)) * F.pow(F.lit(keep), at + 1)
+    return joined.withColumn(name, F.col(own) + faded).drop(own, held, blk)
 
-    ``keys`` names capture and bin, ``order`` counts updates from 0 without gaps.  The
-    smoothing weights decay geometrically, so a block needs one number from the blocks
-    before it: their own smoothed ends.  ``reset`` names a boolean column that restarts the
-    maximum.
+
+def live_average(spectra: DataFrame, keys: list[str], order: str, alpha: float = 0.25, reset: str | None = None) -> DataFrame:
+    """Smoothed spectrum and held maximum after every update, for any ``alpha`` in (0, 1].
+
+    ``keys`` names capture and bin, ``order`` counts updates from 0 without gaps.  ``reset``
+    names a boolean column that restarts the maximum.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
     keys = list(keys)
-    keep = 1.0 - alpha
-    rows = spectra.withColumn("_b", F.floor(F.col(order) / block).cast("bigint"))
-    k = F.col(order) - F.col("_b") * block
     weight = F.when(F.col(order) == 0, 1.0).otherwise(alpha)
-    term = weight * F.col("power") * F.pow(F.lit(1.0 / keep), k)
-    ends = rows.groupBy(*keys, "_b").agg((F.sum(term) * F.pow(F.lit(keep), F.max(k))).alias("_end"))
-    # a block of 512 updates fades what came before it by 1e-64: two blocks are all of it
-    w = Window.partitionBy(*keys).orderBy("_b")
-    fade = keep**block
-    carried = ends.select(
-        *keys, "_b",
-        (F.coalesce(F.lag("_end", 1).over(w), F.lit(0.0)) + fade * F.coalesce(F.lag("_end", 2).over(w), F.lit(0.0))).alias("_in"),
-    )
-    local = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    own = F.sum(term).over(local) * F.pow(F.lit(keep), k)
-    out = rows.withColumn("_own", own).join(carried, [*keys, "_b"])
-    out = out.withColumn("average", F.col("_own") + F.col("_in") * F.pow(F.lit(keep), k + 1)).drop("_own", "_in", "_b")
+    rows = spectra.withColumn("_term", weight * F.col("power"))
+    out = _decayed_sum(rows, keys, order, "_term", 1.0 - alpha, "average").drop("_term")
     if reset is None:
         return scan(settle(out), keys, order, [upto("max_hold", "max", F.col("power"))])
     out = scan(settle(out), keys, order, [upto("_epoch", "sum", F.col(reset).cast("bigint"))])
@@ -446,7 +466,7 @@ def modulation_gate(snapshots: DataFrame, keys: list[str]) -> DataFrame:
             ]
             yield pd.DataFrame(out, columns=names)
 
-    return spread(snapshots.select(*keys, "i", "q", "sample_rate_hz")).mapInPandas(run, f"{head}, {GATE_OUT}")
+    return spread(snapshots.select(*keys, "i", "q", "sample_rate_hz"), *keys).mapInPandas(run, f"{head}, {GATE_OUT}")
 
 
 def stable_family(decisions: DataFrame, scope: list[str], needed: int = 2, width: float = WIDTH) -> DataFrame:
@@ -517,7 +537,7 @@ def tune(
             yield pd.DataFrame(out, columns=names)
 
     need = [*keys, "start_sample", "sample_rate_hz", "i", "q"]
-    parts = settle(spread(chunks.select(*need)).mapInPandas(run, schema))
+    parts = settle(spread(chunks.select(*need), *keys, "start_sample").mapInPandas(run, schema))
     body = parts.where("NOT edge").drop("edge")
     ends = chunks.groupBy(*keys).agg(F.max("end_sample").alias("_end"))
     edge = (
@@ -546,7 +566,7 @@ TRAINING = {
     "sync": "11000001100111001110100111000001100111",
 }
 MAX_ERROR_FRACTION, GOOD_ERROR_FRACTION = 0.25, 0.18
-MAX_HITS, HIT_SPACING = 200, 32
+HIT_SPACING = 32
 
 
 CANDIDATE_OUT = (
@@ -592,21 +612,26 @@ def training_candidates(df: DataFrame, keys: list[str], bits: str = "bits") -> D
             for size, part in pdf.groupby(pdf["_bits"].str.len()):
                 yield from of_length(part.reset_index(drop=True), int(size))
 
-    return spread(df.select(*keys, F.col(bits).alias("_bits"))).mapInPandas(run, f"{head}, {CANDIDATE_OUT}")
+    return spread(df.select(*keys, F.col(bits).alias("_bits")), *keys).mapInPandas(run, f"{head}, {CANDIDATE_OUT}")
+
 
+def training_hits(df: DataFrame, keys: list[str], bits: str = "bits", most: int | None = None) -> DataFrame:
+    """Training sequence hits at least 32 bits apart, best first.
 
-def training_hits(df: DataFrame, keys: list[str], bits: str = "bits") -> DataFrame:
-    """Training sequence hits at least 32 bits apart, best first, at most 200 a sequence."""
+    ``most`` keeps the best hits of each text and sequence; ``n_dropped`` tells how many
+    others there were.
+    """
     rows = training_candidates(df, keys, bits)
-    kept = F.slice(greedy_positions(F.col("candidates"), HIT_SPACING), 1, MAX_HITS)
-    rows = rows.withColumn("_kept", kept)
+    rows = rows.withColumn("_all", greedy_positions(F.col("candidates"), HIT_SPACING))
+    kept = F.col("_all") if most is None else F.slice("_all", 1, most)
+    rows = rows.withColumn("_kept", kept).withColumn("n_dropped", F.size("_all") - F.size("_kept"))
     hits = rows.select(
-        *keys, "name", "length", F.explode(F.filter("candidates", lambda c: F.array_contains("_kept", c["p"]))).alias("c")
+        *keys, "name", "length", "n_dropped", F.explode(F.filter("candidates", lambda c: F.array_contains("_kept", c["p"]))).alias("c")
     )
     frac = F.col("c.s") / F.col("length")
     return hits.select(
         *keys, "name", "length", F.col("c.p").alias("bit_offset"), F.col("c.s").alias("errors"), frac.alias("error_fraction"),
-        (frac <= MAX_ERROR_FRACTION).alias("is_candidate"), (frac <= GOOD_ERROR_FRACTION).alias("is_good"),
+        (frac <= MAX_ERROR_FRACTION).alias("is_candidate"), (frac <= GOOD_ERROR_FRACTION).alias("is_good"), "n_dropped",
     )
 
 

@@ -191,7 +191,7 @@ class Views:
             "psd_bins": "",
         }
         df = self.spark.sql(VIEWS[name].format(**tables))
-        return spread(df) if name == "v_payload" else df  # texts to work through
+        return spread(df, *df.columns) if name == "v_payload" else df  # texts to work through
 
     def __getattr__(self, name: str) -> DataFrame:
         if f"v_{name}" in VIEWS:

@@ -147,7 +147,7 @@ def _(v):
     SELECT seq FROM cl WHERE is_confirmed UNION ALL SELECT seq FROM rj LEFT JOIN nc USING (channel_id) WHERE r2 <= 600 - coalesce(n, 0)""",
 )
 def _(v):
-    return U.limit_bursts(_classified(v), ["channel_id"]).select("seq")
+    return U.limit_bursts(_classified(v), ["channel_id"], 600).select("seq")
 
 
 _MASK = "repeat(CASE WHEN k % 3 = 0 THEN '1110' WHEN k % 3 = 1 THEN '1' ELSE '10' END, 510)"

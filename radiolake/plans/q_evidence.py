@@ -19,7 +19,7 @@ def _evidence_rows(v):
     cch = F.array(F.struct((k % 13 == 0).alias("crc_ok"), (k % 5 == 0).alias("hamming_ok")))
     dpmr = v.cch.select(grp, "protocol", "type", F.struct(cch.alias("cch")).alias("extra"))
     nxdn = v.pdus_nxdn.select(grp, "protocol", "type")
-    tetra = v.pdus_tetra.where(k % 9 == 0).select(grp, "protocol", "type")
+    tetra = v.pdus_tetra.select(grp, "protocol", "type")
     out = dmr
     for part in (p25, dpmr, nxdn, tetra):
         out = append_pdus(out, part)
@@ -56,7 +56,7 @@ _EVD1 = f"""
   p AS (SELECT {_W}, count(*) AS n, count(*) FILTER (k % 7 = 0) AS b FROM v_pdus_p25 GROUP BY 1),
   c AS (SELECT {_W}, count(*) AS n, count(*) FILTER (k % 13 = 0) AS crc, count(*) FILTER (k % 5 = 0) AS ham FROM v_cch GROUP BY 1),
   x AS (SELECT {_W}, count(*) AS n, count(*) FILTER (k % 8 = 0) AS vb, count(*) FILTER (k % 4 = 0) AS lo FROM v_pdus_nxdn GROUP BY 1),
-  t AS (SELECT {_W}, count(*) FILTER (k % 9 = 0) AS n, count(*) FILTER (k % 9 = 0 AND type IN ('TETRA_DMAC_SYNC', 'TETRA_STCH', 'TETRA_SCHF')) AS ct,
+  t AS (SELECT {_W}, count(*) AS n, count(*) FILTER (type IN ('TETRA_DMAC_SYNC', 'TETRA_STCH', 'TETRA_SCHF')) AS ct,
     count(*) FILTER (k % 5 = 0) AS tg FROM v_pdus_tetra GROUP BY 1)
   SELECT "window", 'DMR' AS protocol, n AS pdu_count, {_verdicts(("rs + le > 0", "'confirmed'", "0.99e0", "CASE WHEN rs > 0 THEN 'rs_valid_full_link_control' ELSE 'cs5_valid_late_entry_lc' END"), ("wk > 0", "'candidate'", "0.45e0", "'sync_or_csbk_only'"))} FROM d
   UNION ALL SELECT "window", 'P25', n, {_verdicts(("b > 0", "'confirmed'", "0.99e0", "'bch_valid_nid'"))} FROM p

@@ -40,7 +40,7 @@ def _(v):
 
 
 _WIN = """w AS (SELECT DISTINCT channel_id, CAST(floor(seq / 100) AS BIGINT) AS win FROM v_pdus_tetra),
-  pc AS (SELECT channel_id, CAST(floor(seq / 100) AS BIGINT) AS win, count(*) AS pdu_count FROM v_pdus_tetra WHERE k % 20 = 0 GROUP BY ALL),
+  pc AS (SELECT channel_id, CAST(floor(seq / 100) AS BIGINT) AS win, count(*) AS pdu_count FROM v_pdus_tetra GROUP BY ALL),
   dg AS (SELECT channel_id, win, 0.1e0 * (win % 7) AS timing_error_rad, win % 3 AS confirmed_bursts, win % 2 AS dsb_count FROM w WHERE win % 4 <> 1),
   wr AS (SELECT channel_id, win, coalesce(pdu_count, 0) AS pdu_count, timing_error_rad, coalesce(confirmed_bursts, 0) AS confirmed_bursts, coalesce(dsb_count, 0) AS dsb_count
     FROM w LEFT JOIN pc USING (channel_id, win) LEFT JOIN dg USING (channel_id, win))"""
@@ -53,7 +53,7 @@ def _window_reports(v):
     diag = windows.where(F.col("win") % 4 != 1).select(
         "channel_id", "win", (F.col("win") % 7 * 0.1).alias("timing_error_rad"), (F.col("win") % 3).alias("confirmed_bursts"), (F.col("win") % 2).alias("dsb_count")
     )
-    return R.window_reports(windows, diag, pdus.where(F.col("k") % 20 == 0), ["channel_id", "win"])
+    return R.window_reports(windows, diag, pdus, ["channel_id", "win"])
 
 
 @query(
@@ -128,7 +128,7 @@ def _(v):
 @query(
     "rpt8_interval_trends",
     f"""m AS (SELECT l_suppkey % 8 AS channel_id, {_KEY} AS seq, CAST(l_orderkey AS DOUBLE) AS x, l_extendedprice AS w, l_quantity AS q FROM lineitem),
-       i AS (SELECT m.*, a AS start_sec, z AS end_sec FROM m JOIN (VALUES (0e0, 400e0), (400e0, 900e0), (900e0, 1400e0)) AS e(a, z) ON x BETWEEN a AND z),
+       i AS (SELECT m.*, a AS start_sec, z AS end_sec FROM m JOIN (SELECT n * w AS a, (n + 1) * w AS z FROM (SELECT unnest([0e0, 1e0, 2e0]) AS n, (SELECT ceil(max(l_orderkey) / 3) FROM lineitem) AS w)) AS e(a, z) ON x BETWEEN a AND z),
        p AS (SELECT channel_id, start_sec, list(q ORDER BY q) AS l FROM i GROUP BY ALL)
        SELECT channel_id, start_sec, end_sec, count(*) AS sample_count, round(avg(q), 6) AS queue_mean_sec, max(q) AS queue_max_sec,
          arg_min(q, struct_pack(a := x, b := seq)) AS queue_start_sec, arg_max(q, struct_pack(a := x, b := seq)) AS queue_end_sec,
@@ -136,7 +136,9 @@ def _(v):
        FROM i JOIN p USING (channel_id, start_sec) GROUP BY channel_id, start_sec, end_sec HAVING count(*) >= 2""",
 )
 def _(v):
-    out = R.passes_realtime(R.interval_trends(_metrics(v), ["channel_id"], [0.0, 400.0, 900.0, 1400.0]))
+    last = v.table("lineitem").agg(F.ceil(F.max("l_orderkey") / 3)).first()[0]
+    edges = [float(n * last) for n in range(4)]  # thirds of the whole run
+    out = R.passes_realtime(R.interval_trends(_metrics(v), ["channel_id"], edges))
     return out.select(
         "channel_id", "start_sec", "end_sec", "sample_count", R6("queue_mean_sec").alias("queue_mean_sec"), "queue_max_sec",
         "queue_start_sec", "queue_end_sec", R6("queue_slope").alias("queue_slope"), "queue_p95_sec",

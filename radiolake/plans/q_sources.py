@@ -207,13 +207,14 @@ def _energy(x: np.ndarray, rate: float, window: dict) -> pd.DataFrame:
 @query(
     "udf2_window_decoder",
     """s AS (SELECT CAST(floor(vec_id / 50) AS BIGINT) AS capture_id, vec_id % 50 * 32 + pos AS n, CAST(embedding[pos + 1] AS DOUBLE) AS i, CAST(embedding[pos + 33] AS DOUBLE) AS q
-         FROM embeddings, (SELECT unnest(range(32)) AS pos)), w AS (SELECT unnest(range(0, 5)) AS window_id)
+         FROM embeddings, (SELECT unnest(range(32)) AS pos)), w AS (SELECT unnest(range(0, 6)) AS window_id)
        SELECT capture_id, window_id, count(*) AS samples, round(avg(i * i + q * q), 6) AS power FROM s JOIN w ON n >= window_id * 250 AND n < window_id * 250 + 400 GROUP BY ALL""",
 )
 def _(v):
     chunks = iq(v)
-    windows = chunks.select("capture_id").distinct().withColumn("window_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))))
-    windows = windows.withColumns({"start_sample": F.col("window_id") * 250, "end_sample": F.col("window_id") * 250 + 400})
+    windows = chunks.select("capture_id").distinct().withColumn("window_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))))
+    end = F.least(F.col("window_id") * 250 + 400, F.lit(1600))  # the last window ends with the capture
+    windows = windows.withColumns({"start_sample": F.col("window_id") * 250, "end_sample": end})
     out = decode_windows(chunks, windows, ["capture_id"], _energy, "samples long, power double", 64.0)
     return out.select("capture_id", "window_id", "samples", R6("power").alias("power"))
 

@@ -63,6 +63,20 @@ def _(v):
     return last.select("bin", R6("average").alias("average"), R6("max_hold").alias("max_hold"))
 
 
+@query(
+    "spc4_live_average_slow",
+    """SELECT bin, round(list_reduce(list(power ORDER BY capture_id), lambda a, x: 0.99e0 * a + 0.01e0 * x), 6) AS average,
+         round(max(power), 6) AS max_hold FROM v_psd GROUP BY bin""",
+)
+def _(v):
+    """The same with a long memory."""
+    live = S.live_average(v.psd.drop("label"), ["bin"], "capture_id", alpha=0.01)
+    last = live.groupBy("bin").agg(
+        F.max_by("average", "capture_id").alias("average"), F.max_by("max_hold", "capture_id").alias("max_hold")
+    )
+    return last.select("bin", R6("average").alias("average"), R6("max_hold").alias("max_hold"))
+
+
 @query(
     "spc5_display_bins",
     """SELECT capture_id, CAST(floor(bin / 8) AS BIGINT) AS display_bin, round(avg(power), 6) AS power,
@@ -264,7 +278,7 @@ def _(v):
       SELECT h.seq, h.name, h.o AS bit_offset, c.errors, c.errors / c.len <= 0.18e0 AS is_good FROM h JOIN c ON c.seq = h.seq AND c.name = h.name AND c.o = h.o""",
 )
 def _(v):
-    return S.training_hits(_bit_rows(v), ["seq"]).select(
+    return S.training_hits(_bit_rows(v), ["seq"], most=200).select(
         "seq", "name", F.col("bit_offset").cast("bigint").alias("bit_offset"), F.col("errors").cast("bigint").alias("errors"), "is_good"
     )
 

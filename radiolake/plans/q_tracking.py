@@ -7,9 +7,8 @@ from radiolake.plans.catalog import query
 
 
 def _batches(v):
-    """Detections of 16 events per 10 ms batch, 64 batches a capture."""
-    d = v.detections.where(F.col("k") % 4 == 0)
-    found = d.groupBy("batch").agg(
+    """All detections of each 10 ms batch, 64 batches a capture."""
+    found = v.detections.groupBy("batch").agg(
         F.sort_array(F.collect_list(F.struct("seq", "frequency_offset_hz", "snr_db"))).alias("detections")
     )
     every = v.detections.select("batch").distinct()

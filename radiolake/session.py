@@ -45,9 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR[0]
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/radiolake-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of the application."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written below the shared folder; results that still
+    read from it must have been written elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def persist_table(df, name: str):
@@ -57,8 +68,7 @@ def persist_table(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df):
-    """Use every core for a costly step when the input arrives in too few partitions
-    (one small file); input that is already spread is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df, *by: str):
+    """Deal the rows of a costly step over the session's shuffle partitions by ``by``, which
+    should tell single rows apart, so that neither a small file nor a hot key makes one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

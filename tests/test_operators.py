@@ -244,3 +244,48 @@ def test_floor_sources(spark):
     rows = A.detect_adaptive(df.withColumn("spectral_floor_db", floors), CFG, width=3).orderBy("seq").collect()
     assert [r.noise_source for r in rows] == ["spectral"] + ["temporal"] * 4 + ["spectral", "temporal", "spectral_triggered"] + ["temporal"] * 2
     assert not any(r.is_active for r in rows) and rows[7].noise_floor_db == -25.0
+
+
+def test_live_average_remembers_everything(spark):
+    from radiolake.operators import spectrum as S
+
+    power = [float(i * 37 % 101) for i in range(1500)]
+    df = spark.createDataFrame([(0, i, x) for i, x in enumerate(power)], "bin int, k bigint, power double")
+    for alpha in (0.002, 0.9, 1.0):
+        got = {r.k: r.average for r in S.live_average(df, ["bin"], "k", alpha).collect()}
+        value = power[0]
+        for i, x in enumerate(power):
+            value = x if i == 0 else (1 - alpha) * value + alpha * x
+            assert abs(got[i] - value) < 1e-9
+
+
+def test_window_with_a_gap_is_decoded_in_stretches(spark):
+    import pandas as pd
+
+    from radiolake.operators.decode import decode_windows
+
+    chunks = spark.createDataFrame(
+        [(1, 0, 4, 1.0, [0.0, 1.0, 2.0, 3.0], [0.0] * 4), (1, 8, 12, 1.0, [8.0, 9.0, 10.0, 11.0], [0.0] * 4)],
+        "cap int, start_sample bigint, end_sample bigint, sample_rate_hz double, i array<double>, q array<double>",
+    )
+    windows = spark.createDataFrame([(1, 0, 2, 10)], "cap int, window_id int, start_sample bigint, end_sample bigint")
+
+    def decoder(iq, rate, window):
+        return pd.DataFrame({"first": [int(iq[0].real)], "n": [len(iq)], "at": [window["start_sample"]]})
+
+    def run(gaps):
+        out = decode_windows(chunks, windows, ["cap"], decoder, "first long, n long, at long", 4.0, gaps).collect()
+        return sorted((r["first"], r["n"], r["at"]) for r in out)
+
+    assert run("split") == [(2, 2, 2), (8, 2, 8)]
+    assert run("zero") == [(2, 8, 2)]
+
+
+def test_running_value_of_a_null_key(spark):
+    from pyspark.sql import functions as F
+
+    from radiolake.functions.ordered import scan, upto
+
+    df = spark.createDataFrame([(None, i, 1) for i in range(10)], "key int, seq bigint, x int")
+    out = scan(df, ["key"], "seq", [upto("n", "sum", F.col("x"))], width=3)
+    assert sorted(r.n for r in out.collect()) == list(range(1, 11))
