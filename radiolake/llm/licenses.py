@@ -46,7 +46,7 @@ EQUIVALENT = [
     ("&", " and "),
     ("(^|[^a-z0-9])(version |ver\\. ?|v\\. ?|v)([0-9])", "$1version $3"),
 ]
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(©|\(c\)|copyright[^\p{L}\n]*(©|\(c\)|[0-9])).*$"
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(©|\(c\)|copyright[^\p{L}\n]*(©|\(c\)|[0-9]))[^\n]*$"
 
 
 def canonical_lines(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolake.llm import contamination, forest, htmltext, licenses, pieces, quality, quotes, repeats, tokens, toxicity
+from radiolake.llm.checks import license_sql, quality_sql
 from radiolake.llm.tables import table
 from radiolake.session import scratch_path
 
@@ -51,7 +52,7 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_license_scan")
+@query("op3_license_scan", license_sql())
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that each document, or a line of it, is by canonical digest."""
     docs = table(spark, sf_dir, "documents")
@@ -121,7 +122,7 @@ def op7_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_order(messages).withColumn("reply_path", F.array_join(F.col("reply_path").cast("array<string>"), "/"))
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", quality_sql())
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and verdict of each document by distribution divergence."""
     return quality.judge(table(spark, sf_dir, "documents")).select(
