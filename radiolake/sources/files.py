@@ -20,10 +20,22 @@ from radiolake.registry import literal_map
 # Full scale and bytes of one scalar by sample type
 FULL_SCALE = {
     "int8": 128.0, "integer*1": 128.0, "int16": 32768.0, "integer*2": 32768.0, "int32": 2147483648.0,
-    "integer*4": 2147483648.0, "single": 1.0, "float32": 1.0, "double": 1.0, "float64": 1.0,
+    "integer*4": 2147483648.0, "uint8": 128.0, "int24": 8388608.0, "single": 1.0, "float32": 1.0, "double": 1.0, "float64": 1.0,
 }
 SCALAR_BYTES = {"int8": 1, "int16": 2, "int32": 4, "single": 4, "float32": 4, "double": 8, "float64": 8}
 _NUMPY = {"int8": "<i1", "int16": "<i2", "int32": "<i4", "single": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
+WAV_BYTES = SCALAR_BYTES | {"uint8": 1, "int24": 3}
+BATCH_BYTES = 64 << 20  # samples a reading task holds before it hands them on
+
+
+def _scalars(raw: bytes, kind: str) -> np.ndarray:
+    """Numbers of a payload: 8-bit WAV samples have their zero at 128, 24-bit ones are signed."""
+    if kind == "uint8":
+        return np.frombuffer(raw, "<u1").astype(np.int16) - 128
+    if kind == "int24":
+        b = np.frombuffer(raw, "<u1").reshape(-1, 3).astype(np.int32)
+        return ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.int32)
+    return np.frombuffer(raw, _NUMPY[kind])
 
 
 def full_scale(dtype: Column) -> Column:
@@ -55,22 +67,52 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
-def _wav_header(head: bytes) -> dict:
-    """Format, channels, rate and data position of a RIFF/WAVE file."""
+def _wav_header(f, size: int) -> dict:
+    """Format, channels, rate and data position of a RIFF/WAVE file, found by walking the chunk
+    headers, however much else lies between them."""
+
+    def at(pos: int, n: int) -> bytes:
+        f.seek(pos)
+        return f.read(n)
+
+    head = at(0, min(size, 12))
     if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         return {"error": "not a WAV file"}
-    at, out = 12, {}
-    while at + 8 <= len(head):
-        tag, size = head[at : at + 4], struct.unpack("<I", head[at + 4 : at + 8])[0]
+    pos, out = 12, {}
+    while pos + 8 <= size:
+        tag, length = struct.unpack("<4sI", at(pos, 8))
         if tag == b"fmt ":
-            code, channels, rate, _, align, bits = struct.unpack("<HHIIHH", head[at + 8 : at + 24])
-            out |= {"channels": channels, "rate": rate, "align": align, "bits": bits, "float": code == 3}
+            body = at(pos + 8, min(length, 40))
+            if len(body) < 16:
+                return {"error": "WAV format chunk is cut short"}
+            code, channels, rate, _, align, bits = struct.unpack("<HHIIHH", body[:16])
+            if code == 0xFFFE and len(body) >= 26:  # extensible: the sub-format tells
+                code = struct.unpack("<H", body[24:26])[0]
+            out |= {"channels": channels, "rate": rate, "align": align, "bits": bits, "code": code}
         elif tag == b"data":
-            return out | {"data": at + 8, "bytes": size}
-        at += 8 + size + size % 2
+            return out | {"data": pos + 8, "bytes": length} if out else {"error": "WAV header without format chunk"}
+        pos += 8 + length + length % 2
     return {"error": "WAV header without data chunk"}
 
 
+def _wav_type(wav: dict) -> str:
+    if wav["code"] == 3:
+        return {32: "float32", 64: "float64"}.get(wav["bits"], f"float{wav['bits']}")
+    if wav["code"] != 1:
+        return f"code {wav['code']}"
+    return "uint8" if wav["bits"] == 8 else f"int{wav['bits']}"
+
+
+def _is_wav(path: str, size: int) -> bool:
+    if path.lower().endswith((".wav", ".wave")):
+        return True
+    if size < 12:
+        return False
+    with _open(path) as f:
+        head = f.read(12)
+    return head[:4] == b"RIFF" and head[8:12] == b"WAVE"
+
+
 CATALOG = (
     "path string, format string, header_bytes long, sample_rate_hz double, center_frequency_hz double, "
     "bandwidth_hz double, total_samples long, duration_sec double, device string, file_index long, "
@@ -104,23 +146,24 @@ def _describe(path: str, size: int, named_rate, opts: dict) -> dict:
         elif (size - 112) % 4:
             row["error"] = "payload is not aligned to I/Q pairs"
         row["total_samples"] = (size - 112) // 4
-    elif lower.endswith(".wav"):
+    elif _is_wav(path, size):
         with _open(path) as f:
-            wav = _wav_header(f.read(min(size, 65536)))
+            wav = _wav_header(f, size)
         row["format"] = "wav"
         if "error" in wav:
             return row | {"error": wav["error"]}
         row.update(
             sample_rate_hz=float(wav["rate"]), header_bytes=wav["data"], frame_bytes=wav["align"],
-            total_samples=min(wav["bytes"], size - wav["data"]) // wav["align"],
-            dtype=("float32" if wav["bits"] == 32 else "float64") if wav["float"] else f"int{wav['bits']}",
+            total_samples=min(wav["bytes"], size - wav["data"]) // max(1, wav["align"]), dtype=_wav_type(wav),
         )
         if wav["channels"] < 2:
             row["error"] = "WAV IQ input must have at least two channels"
         elif opts["rate_hz"] and opts["rate_hz"] != wav["rate"]:
             row["error"] = "requested sample rate does not match the file"
-        elif row["dtype"] not in _NUMPY:
+        elif row["dtype"] not in WAV_BYTES:
             row["error"] = f"unsupported WAV sample type {row['dtype']}"
+        elif wav["align"] != wav["channels"] * WAV_BYTES[row["dtype"]]:
+            row["error"] = "WAV frames do not fit their sample type"
     else:
         width = SCALAR_BYTES.get(row["dtype"])
         row.update(header_bytes=opts["header_bytes"], sample_rate_hz=opts["rate_hz"] or named_rate)
@@ -164,12 +207,13 @@ def capture_catalog(
 
 def iq_chunks(
     captures: DataFrame, chunk_sec: float = 0.1, chunk_samples: int | None = None, scale: float | None = None,
-    channel_id: int = 1,
+    channel_id: int = 1, task_bytes: int = 128 << 20,
 ) -> DataFrame:
     """Chunk rows of the valid recordings of a catalogue.
 
-    Chunks are planned from the catalogue, spread over the cluster, and read by byte range
-    where they land.  An incomplete last sample is left out, the last chunk may be short.
+    Chunks are planned from the catalogue, dealt over tasks of about ``task_bytes`` by the bytes
+    that the catalogue adds up to, and read by byte range where they land; a task hands samples
+    on every 64 MB.  An incomplete last sample is left out, the last chunk may be short.
     """
     if scale is not None and (scale == 0 or not np.isfinite(scale)):
         raise ValueError("scale must be finite and not zero")
@@ -195,25 +239,32 @@ def iq_chunks(
     def read(batches):
         handles: dict = {}
         for pdf in batches:
-            out = []
+            out, held = [], 0
             for r in pdf.itertuples(index=False):
                 if r.path not in handles:
                     handles[r.path] = _open(r.path)
-                f, frame, kind = handles[r.path], int(r.frame_bytes), _NUMPY[r.dtype]
+                f, frame = handles[r.path], int(r.frame_bytes)
                 f.seek(int(r.header_bytes) + int(r.start_sample) * frame)
                 raw = f.read(int(r.end_sample - r.start_sample) * frame)
-                x = np.frombuffer(raw, kind).reshape(-1, frame // np.dtype(kind).itemsize)
+                x = _scalars(raw, r.dtype).reshape(-1, frame // WAV_BYTES[r.dtype])
                 by = float(scale if scale is not None else FULL_SCALE[r.dtype])
                 ns = int(round(r.start_sample / r.sample_rate_hz * 1e9))
                 out.append(
                     (r.path, channel_id, r.sequence_number, r.start_sample, r.start_sample + len(x), ns, r.center_frequency_hz,
                      r.sample_rate_hz, r.total_samples, False, 0, (x[:, 0] / by).astype("float32"), (x[:, 1] / by).astype("float32"))
                 )
-            yield pd.DataFrame(out, columns=names)
+                held += 8 * len(x)
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
         for f in handles.values():
             f.close()
 
-    return plan.repartition("path", "sequence_number").mapInPandas(read, schema)
+    planned = captures.where("is_valid").agg(F.sum(F.col("total_samples") * F.col("frame_bytes"))).first()[0] or 0
+    tasks = max(captures.sparkSession.sparkContext.defaultParallelism, -(-int(planned) // task_bytes))
+    return plan.repartition(tasks, "path", "sequence_number").mapInPandas(read, schema)
 
 
 # ------------------------------------------------------------ JSON sources

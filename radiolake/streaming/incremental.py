@@ -117,7 +117,8 @@ def dpmr_calls_stream(scope: list[str] = ("channel_id",)) -> Incremental:
 def epochs_stream(
     floor_db: float, cfg: activity.ActivityConfig = activity.ActivityConfig(), scope: list[str] = ("channel_id",)
 ) -> Incremental:
-    """Epochs against a known floor; ``epoch_id`` counts within a trigger only."""
+    """Epochs against a known floor; ``epoch_id`` is the sample an epoch starts at, which stays the
+    same whatever trigger reports it, so ``first_epochs_stream`` can tell epochs apart."""
     scope = list(scope)
 
     def since(results: DataFrame, rows: DataFrame) -> DataFrame:
@@ -127,7 +128,9 @@ def epochs_stream(
         return act.groupBy(*scope).agg(F.greatest(quiet, F.max(F.when(F.col("reset"), F.col("seq")))).alias("from"))
 
     return Incremental(
-        lambda df: activity.epochs(activity.detect_fixed(df, floor_db, cfg, scope), scope),
+        lambda df: activity.epochs(activity.detect_fixed(df, floor_db, cfg, scope), scope).withColumn(
+            "epoch_id", F.col("candidate_start")
+        ),
         lambda r: r.where("close_reason <> 'end_of_input'"),
         since,
         scope,

@@ -289,3 +289,37 @@ def test_running_value_of_a_null_key(spark):
     df = spark.createDataFrame([(None, i, 1) for i in range(10)], "key int, seq bigint, x int")
     out = scan(df, ["key"], "seq", [upto("n", "sum", F.col("x"))], width=3)
     assert sorted(r.n for r in out.collect()) == list(range(1, 11))
+
+
+def test_wav_sample_types(spark, tmp_path):
+    import struct
+
+    from radiolake.sources import files as S
+
+    def wav(name, code, bits, payload, before=b"", extensible=False):
+        align = 2 * bits // 8
+        fmt = struct.pack("<HHIIHH", 0xFFFE if extensible else code, 2, 8000, 8000 * align, align, bits)
+        if extensible:
+            fmt += struct.pack("<HHIH", 22, bits, 3, code) + bytes(14)
+        body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + before + b"data" + struct.pack("<I", len(payload)) + payload
+        (tmp_path / name).write_bytes(b"RIFF" + struct.pack("<I", len(body)) + body)
+
+    wav("u8.wav", 1, 8, bytes([128, 128, 255, 0]))
+    wav("i16.wave", 1, 16, struct.pack("<4h", 16384, -16384, 0, 1))
+    wav("i24.wav", 1, 24, b"\x00\x00\x40\x00\x00\xc0" + bytes(6))
+    wav("f32.dat", 3, 32, struct.pack("<4f", 0.5, -0.5, 0, 1), extensible=True)
+    wav("late.wav", 3, 64, struct.pack("<4d", 0.25, -1, 0, 1), before=b"LIST" + struct.pack("<I", 100_000) + bytes(100_000))
+    wav("alaw.wav", 6, 8, bytes(4))
+    cat = S.capture_catalog(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1]: r for r in cat.collect()}
+    assert {n: r.dtype for n, r in got.items() if r.is_valid} == {
+        "u8.wav": "uint8", "i16.wave": "int16", "i24.wav": "int24", "f32.dat": "float32", "late.wav": "float64",
+    }
+    assert not got["alaw.wav"].is_valid
+    chunks = {r.path.rsplit("/", 1)[1]: r for r in S.iq_chunks(cat, chunk_samples=1).where("sequence_number = 0").collect()}
+    first = {n: (r.i[0], r.q[0]) for n, r in chunks.items()}
+    assert first == {
+        "u8.wav": (0, 0), "i16.wave": (0.5, -0.5), "i24.wav": (0.5, -0.5), "f32.dat": (0.5, -0.5), "late.wav": (0.25, -1),
+    }
+    one = S.iq_chunks(cat.where("path LIKE '%i16%'"), chunk_samples=1, task_bytes=1)
+    assert one.rdd.getNumPartitions() >= 8

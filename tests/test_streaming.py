@@ -75,6 +75,8 @@ def test_epochs(spark, views, tmp_path, edges):
     cols = ["channel_id", "candidate_start", "end_sample", "close_reason"]
     got = run_incremental(spark, I.epochs_stream(2.0, cfg), df, str(tmp_path), edges)
     assert rows(got, cols) == rows(A.epochs(A.detect_fixed(df, 2.0, cfg)), cols)
+    # ids stay apart over triggers, so that first reports can be told from repeated ones
+    assert got.select("channel_id", "epoch_id").distinct().count() == got.count()
 
 
 def test_adaptive_detector(spark, views, tmp_path):
