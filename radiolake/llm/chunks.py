@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 
-Encoder = Callable[[Sequence[str]], list[Sequence[int]]]
+Encoder = Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]  # flat ids, ids by chunk
 
 
 class ChunkTable:
@@ -26,17 +26,15 @@ class ChunkTable:
     def _add(self, chunks: list[str]) -> None:
         n = len(self.number)
         at = int(self.ends[n - 1]) if n else 0
-        coded = self.encode(chunks)
-        sizes = np.array([len(c) for c in coded], dtype=np.int64)
-        total = at + int(sizes.sum())
+        flat, sizes = self.encode(chunks)
+        total = at + len(flat)
         while total > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
         while n + len(chunks) > len(self.ends):
             self.ends = np.r_[self.ends, np.zeros_like(self.ends)]
-        self.ids[at:total] = [i for c in coded for i in c]
+        self.ids[at:total] = flat
         self.ends[n : n + len(chunks)] = at + np.cumsum(sizes)
-        for k, chunk in enumerate(chunks):
-            self.number[chunk] = n + k
+        self.number.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
     def flat_ids(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks in order, and their number by chunk."""
@@ -46,18 +44,20 @@ class ChunkTable:
         distinct = coded.dictionary.to_pylist()
         if len(self.number) > self.limit:
             self._clear()
-        number = self.number
-        new = [c for c in distinct if c not in number]
+        numbers = list(map(self.number.get, distinct))
+        new = [c for c, k in zip(distinct, numbers, strict=True) if k is None]
         if new:
             self._add(new)
-        own = np.array([number[c] for c in distinct], dtype=np.int64)
+            numbers = list(map(self.number.get, distinct))
+        own = np.array(numbers, dtype=np.int64)
         ends = self.ends[own]
         starts = np.where(own > 0, self.ends[np.maximum(own - 1, 0)], 0)
-        codes = coded.indices.to_numpy()
-        sizes = (ends - starts)[codes]
+        codes = coded.indices.to_numpy().astype(np.intp)
+        sizes = (ends - starts).take(codes)
         before = np.cumsum(sizes) - sizes
-        pick = np.arange(int(sizes.sum())) + np.repeat(starts[codes] - before, sizes)
-        return self.ids[pick], sizes
+        pick = np.repeat(starts.take(codes) - before, sizes)
+        pick += np.arange(len(pick))
+        return self.ids.take(pick), sizes
 
 
 def split_at(texts: pa.Array, breaks: np.ndarray, drop: bytes = b"") -> tuple[pa.StringArray, np.ndarray]:

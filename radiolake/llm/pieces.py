@@ -133,12 +133,14 @@ class PieceModel:
                     heapq.heappush(agenda, (order[left], h, left))
         return [x for x in symbols if x is not None]
 
-    def merge_all(self, chunks: Sequence[str]) -> list[list[int]]:
-        """Ids of each chunk and, in front, whether the library gives the same."""
+    def merge_all(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the chunks, and their number by chunk.  In front of each chunk's ids
+        stands whether the library gives the same."""
         ours = [self.merge(c) for c in chunks]
         # the library puts a space mark in front; behind a line feed no merge reaches the chunk
         theirs = self.library.encode(["\n" + c for c in chunks], num_threads=1)
-        return [[int(a == b[2:]), *a] for a, b in zip(ours, theirs, strict=True)]
+        flat = [i for a, b in zip(ours, theirs, strict=True) for i in (a == b[2:], *a)]
+        return np.array(flat, dtype=np.int32), np.fromiter(map(len, ours), dtype=np.int64, count=len(ours)) + 1
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.StringArray:
         """Texts of consecutive groups of ids: marks become spaces, bytes join to characters

@@ -47,8 +47,8 @@ class _Model:
         self.own2 = np.full(vocabulary + 1, _FULL // 8, dtype=np.int32)
         self.own1 = np.full(vocabulary + 1, _FULL // 8, dtype=np.int32)
         self.success = [1 << 16, 1 << 16]
-        self.last1 = np.full(lanes, vocabulary, dtype=np.int32)
-        self.last2 = np.full(lanes, vocabulary, dtype=np.int32)
+        self.last1 = np.full(lanes, vocabulary, dtype=np.intp)
+        self.last2 = np.full(lanes, vocabulary, dtype=np.intp)
         self.counts = np.zeros(vocabulary, dtype=np.int64)
         self.pending: list[np.ndarray] = []
         self.fresh, self.total, self.step = 0, 0, 0
@@ -71,35 +71,36 @@ class _Model:
         self.shares = shares.astype(np.int32)
         x, y = self.success
         self.weight = y * _FULL // (x + y)
-        self.mixed = (self.shares * (_FULL - self.weight) >> _ORDER_BITS).astype(np.int32)
+        mixed = (self.shares * (_FULL - self.weight) >> _ORDER_BITS).astype(np.int32) + 1
+        self.mixed2, self.mixed1 = np.ascontiguousarray(mixed[:, 0]), np.ascontiguousarray(mixed[:, 1])
 
     def predict(self, n: int) -> None:
         """Masses of the orders for the next id of the first ``n`` lanes."""
         self.a = a = self.last1[:n]
-        mixed = self.last2[:n].astype(np.uint32) * np.uint32(0x9E3779B1) + a.astype(np.uint32) * np.uint32(0x85EBCA77)
-        self.h = h = mixed >> np.uint32(32 - _HASH_BITS)
-        self.v2, self.v1 = self.by2[h], self.by1[a]
+        self.h = h = ((self.last2[:n] * 0x9E3779B1 + a * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - _HASH_BITS)
+        self.v2, self.v1 = self.by2.take(h), self.by1.take(a)
         self.k2, self.k1 = self.v2 & _SURE, self.v1 & _SURE
         self.q2, self.q1 = self.v2 >> 3, self.v1 >> 3
-        self.context = (self.k2 << 3) | self.k1
-        self.o2, self.o1 = self.own2[a], self.own1[a]
-        m2 = self.mixed[self.context, 0] + (self.o2 * self.weight >> _ORDER_BITS)
-        m1 = self.mixed[self.context, 1] + (self.o1 * self.weight >> _ORDER_BITS)
-        self.m2 = (m2 + 1) * (self.k2 > 0)
-        self.m1 = (m1 + 1) * ((self.k1 > 0) & ((self.k2 == 0) | (self.q1 != self.q2)))
-        self.m0 = _FULL - self.m2 - self.m1  # at least 62: both experts leave 64
+        self.context = ((self.k2 << 3) | self.k1).astype(np.intp)
+        self.o2, self.o1 = self.own2.take(a), self.own1.take(a)
+        weight = np.int32(self.weight)
+        m2 = self.mixed2.take(self.context) + (self.o2 * weight >> _ORDER_BITS)
+        m1 = self.mixed1.take(self.context) + (self.o1 * weight >> _ORDER_BITS)
+        self.m2 = m2 * (self.k2 > 0)
+        self.m1 = m1 * ((self.k1 > 0) & ((self.k2 == 0) | (self.q1 != self.q2)))
+        self.both = self.m2 + self.m1
+        self.m0 = _FULL - self.both  # at least 62: both experts leave 64
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each id out of 2**30."""
         self.two = two = (ids == self.q2) & (self.m2 > 0)
         self.one = one = (ids == self.q1) & (self.m1 > 0) & ~two
-        both = self.m2 + self.m1
-        start = np.where(one, self.m2, both) * ~two << _ID_BITS
+        start = np.where(one, self.m2, self.both) * ~two << _ID_BITS
         width = np.where(two, self.m2, self.m1) << _ID_BITS
-        plain = np.flatnonzero(~(two | one))
-        m0 = self.m0[plain]
-        start[plain] += m0 * self.start[ids[plain]]
-        width[plain] = m0 * self.freq[ids[plain]]
+        self.plain = plain = np.flatnonzero(~(two | one))
+        m0, own = self.m0.take(plain), ids.take(plain)
+        start[plain] += m0 * self.start.take(own)
+        width[plain] = m0 * self.freq.take(own)
         return start, width
 
     def find(self, value: np.ndarray) -> np.ndarray:
@@ -107,17 +108,19 @@ class _Model:
         if self.at is None:
             self.at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.freq)
         order = value >> _ID_BITS
-        both = self.m2 + self.m1
         ids = np.where(order < self.m2, self.q2, self.q1)
-        plain = np.flatnonzero(order >= both)
-        inner = (value[plain] - (both[plain] << _ID_BITS)) // self.m0[plain]
-        ids[plain] = self.at[np.minimum(inner, (1 << _ID_BITS) - 1)]
+        plain = np.flatnonzero(order >= self.both)
+        inner = (value.take(plain) - (self.both.take(plain) << _ID_BITS)) // self.m0.take(plain)
+        ids[plain] = self.at.take(inner, mode="clip")
         return ids
 
     def learn(self, ids: np.ndarray) -> None:
+        """Take in the ids of a step; the experts by previous id learn in every other step."""
         a, two, one = self.a, self.two, self.one
-        order = 2 - 2 * two.astype(np.int32) - one
-        self.seen += np.bincount(self.context * 3 + order, minlength=self.seen.size).reshape(self.seen.shape)
+        order = 2 - one - 2 * two.view(np.int8)
+        cells = self.context * 3
+        cells += order
+        self.seen += np.bincount(cells, minlength=self.seen.size).reshape(self.seen.shape)
         self.step += 1
         if self.step % 8 == 0:
             if int(self.seen.max()) > 1 << 20:
@@ -128,8 +131,9 @@ class _Model:
             new = (int(right_t.sum()) // len(ids) + 1, int(right_o.sum()) // len(ids) + 1)
             self.success = [s - (s >> 3) + x for s, x in zip(self.success, new, strict=True)]
             self._experts()
-        self.own2[a] = self.o2 + ((two * (_FULL - 512) + 64 - self.o2) >> 4)
-        self.own1[a] = self.o1 + ((one * (_FULL - 512) + 64 - self.o1) >> 4)
+        if self.step % 2:
+            for own, seen, right in ((self.own2, self.o2, two), (self.own1, self.o1, one)):
+                own[a] = seen + ((np.where(right, np.int32(_FULL - 448), np.int32(64)) - seen) >> 3)
         fresh = (ids << 3) | 1
         for table, index, v, k, said in (
             (self.by2, self.h, self.v2, self.k2, self.q2),

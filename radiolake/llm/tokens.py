@@ -60,26 +60,16 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, chunks: Sequence[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in chunks]
-        alone = [i for i, c in enumerate(chunks) if _MARK in c]
-        rest = [i for i, c in enumerate(chunks) if _MARK not in c]
-        for i, ids in zip(alone, self._ids([chunks[i] for i in alone]), strict=True):
-            out[i] = ids
-        groups = [rest[k : k + self.together] for k in range(0, len(rest), self.together)]
-        joined = [f" {_MARK} ".join(chunks[i] for i in g) for g in groups]
-        for group, ids in zip(groups, self._ids(joined), strict=True):
-            own: list[int] = []
-            parts = [own]
-            for i in ids:
-                if i == self.mark:
-                    own = []
-                    parts.append(own)
-                else:
-                    own.append(i)
-            for i, part in zip(group, parts, strict=True):
-                out[i] = part
-        return out
+    def encode(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the chunks, and their number by chunk."""
+        together = self.together
+        if any(_MARK in c for c in chunks):
+            alone = [np.array(ids, dtype=np.int32) for ids in self._ids(list(chunks))]
+            return np.concatenate(alone), np.array([len(a) for a in alone], dtype=np.int64)
+        joined = [f" {_MARK} ".join([*chunks[k : k + together], ""]) for k in range(0, len(chunks), together)]
+        ids = np.concatenate([np.array(x, dtype=np.int32) for x in self._ids(joined)])
+        marks = np.flatnonzero(ids == self.mark)  # one behind each chunk
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
 
 _ENCODERS: dict[str, tuple[WordEncoder, ChunkTable]] = {}  # one per worker and file
