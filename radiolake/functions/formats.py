@@ -32,14 +32,19 @@ def fixed_text(col: Column, digits: int, sign: bool = False) -> Column:
 
 
 def general_text(col: Column) -> Column:
-    """Six significant digits, as printed by %g, for numbers from 1e-4 up to 1e6."""
+    """Six significant digits, as printed by %g; whole numbers are printed in full."""
     v = col.cast("double")
-    size = F.floor(F.log10(F.abs(v)))
-    out = v.cast("string")
+    long = F.format_string("%.5e", v)
+    size = F.substring_index(long, "e", -1).cast("int")
+
+    def bare(text: Column) -> Column:
+        """Without zeros behind the decimal point."""
+        return F.regexp_replace(F.regexp_replace(text, "([.][0-9]*?)0+$", "$1"), "[.]$", "")
+
+    out = F.concat(bare(F.substring_index(long, "e", 1)), F.lit("e"), F.substring_index(long, "e", -1))
     for m in range(-4, 6):
-        text = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{5 - m}f", v), "0+$", ""), "[.]$", "")
-        out = F.when(size == m, text).otherwise(out)
-    return F.when(v == F.floor(v), F.format_string("%.0f", v)).otherwise(out)
+        out = F.when(size == m, bare(F.format_string(f"%.{5 - m}f", v))).otherwise(out)
+    return F.when(v == F.floor(v), F.format_string("%.0f", v)).otherwise(F.when(v.isNotNull(), out))
 
 
 def _part(prefix: str, value: Column, suffix: str = "") -> Column:

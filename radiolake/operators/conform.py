@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -257,43 +258,52 @@ def to_absolute_bits(df: DataFrame) -> DataFrame:
     return with_extra(df, **out) if out else df
 
 
-MAX_DEPTH, MAX_ELEMENTS, MAX_TEXT = 4, 16, 256
-
-
-def _bounded(value, depth):
-    """(kept value, omitted count, keep?) of one diagnostics node."""
-    if depth > MAX_DEPTH:
-        return None, 1, False
-    if isinstance(value, dict):
-        kept, omitted = {}, 0
-        for name, child in value.items():
-            got, missed, keep = _bounded(child, depth + 1)
-            omitted += missed
-            if keep:
-                kept[name] = got
-        return kept, omitted, True
-    if isinstance(value, list):
-        if value and any(isinstance(v, (dict, str)) for v in value):
-            return None, max(1, len(value)) if isinstance(value[0], dict) else 1, False
-        return (value, 0, True) if len(value) <= MAX_ELEMENTS else (None, 1, False)
-    if isinstance(value, str):
-        return (value, 0, True) if len(value) <= MAX_TEXT else (None, 1, False)
-    return value, 0, True
-
-
-@F.pandas_udf(T.StringType())
-def bounded_diagnostics(text: pd.Series) -> pd.Series:
-    """Diagnostics JSON without long arrays, long texts and deep levels, plus a count of
-    what was left out."""
-
-    def one(item):
-        if item is None:
-            return None
-        kept, omitted, keep = _bounded(json.loads(item), 0)
-        kept = kept if keep and isinstance(kept, dict) else {}
-        return json.dumps(kept | {"streamCompacted": True, "streamOmittedValueCount": omitted})
-
-    return text.map(one)
+@dataclass(frozen=True)
+class DiagnosticLimits:
+    """What of a diagnostics tree stays: levels, numbers in a list, characters of a text."""
+
+    depth: int = 4
+    elements: int = 16
+    text: int = 256
+
+    def lost(self, value, depth: int) -> int:
+        """Values that go with this one at this depth, 0 if it stays.  Lists of objects or texts
+        always go, and count by their objects."""
+        if depth > self.depth:
+            return 1
+        if isinstance(value, str):
+            return int(len(value) > self.text)
+        if isinstance(value, list):
+            if any(isinstance(v, (dict, str)) for v in value):
+                return len(value) if isinstance(value[0], dict) else 1
+            return int(len(value) > self.elements)
+        return 0
+
+
+def _compact(text: str, limits: DiagnosticLimits) -> str:
+    tree = json.loads(text)
+    kept, omitted = {}, limits.lost(tree, 0)
+    todo = [(tree, kept, 1)] if isinstance(tree, dict) else []
+    while todo:
+        source, target, depth = todo.pop()
+        gone = {name: limits.lost(child, depth) for name, child in source.items()}
+        omitted += sum(gone.values())
+        for name in (n for n, lost in gone.items() if not lost):
+            inner = isinstance(source[name], dict)
+            target[name] = {} if inner else source[name]
+            if inner:
+                todo.append((source[name], target[name], depth + 1))
+    return json.dumps(kept | {"streamCompacted": True, "streamOmittedValueCount": omitted})
+
+
+def bounded_diagnostics(col: Column, limits: DiagnosticLimits = DiagnosticLimits()) -> Column:
+    """Diagnostics JSON without what goes beyond ``limits``, plus a count of what was left out."""
+
+    @F.pandas_udf(T.StringType())
+    def compact(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _compact(t, limits), na_action="ignore")
+
+    return compact(col)
 
 
 def chunk_violations(df: DataFrame) -> DataFrame:
