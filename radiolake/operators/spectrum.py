@@ -409,64 +409,112 @@ def strongest(detections: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 # ------------------------------------------------------------ modulation family
 
-GATE_OUT = (
-    "family string, confidence double, reason string, phase_center double, q75 double, q90 double, "
-    "tail_fraction double, fourth_moment double, pair_count long"
+PHASE_OUT = (
+    "samples long, phase_center double, q75 double, q90 double, tail_fraction double, fourth_moment double, pair_count long"
 )
 
+# What a family's features must be, and how margins raise the confidence above 0.90:
+# (feature, limit, direction), weight and cap of the margin
+GATE_RULES = (
+    (
+        "pi4dqpsk",
+        "strong_pi4dqpsk_differential_phase_evidence",
+        (("q75", 0.16, 1, 0.30, 0.25), ("tail_fraction", 0.18, 1, 0.15, 0.30), ("fourth_moment", 0.35, 1, 0.0, 0.0)),
+    ),
+    (
+        "fsk4",
+        "strong_4fsk_differential_phase_evidence",
+        (("q75", 0.13, -1, 0.30, 0.13), ("tail_fraction", 0.08, -1, 0.20, 0.08), ("fourth_moment", 0.70, 1, 0.0, 0.0)),
+    ),
+)
+GATE_MIN_SEC, GATE_STABLE_SEC, GATE_MIN_SAMPLES = 0.08, 0.18, 128
+GATE_PROTOCOLS = {"pi4dqpsk": ("TETRA",), "fsk4": ("DMR", "P25", "dPMR", "NXDN")}
+
+
+def _nearest_rank(ranked: np.ndarray, p: float) -> float:
+    return float(ranked[max(1, math.ceil(p * len(ranked))) - 1])
 
-def _gate(x: np.ndarray, rate: float) -> tuple:
-    """Modulation family of one snapshot from the spread of its sample-to-sample phase."""
-    blank = (None,) * 6
-    least = max(128, round(0.08 * rate))
-    if len(x) < least:
-        return ("uncertain", 0.0, "awaiting_modulation_analysis_window", *blank)
-    available = len(x) / rate
-    x = x[-max(least, round(0.25 * rate)) :]
-    size = np.abs(x)
-    ranked = np.sort(size)
-    level = ranked[min(len(ranked), max(1, int(np.ceil(0.60 * len(ranked))))) - 1]
-    strong = (size[:-1] >= level) & (size[1:] >= level)
-    phase = np.angle(x[1:] * np.conj(x[:-1]))[strong]
-    if len(phase) < max(128, round(0.01 * len(x))):
-        return ("uncertain", 0.0, "too_few_active_differential_phase_samples", *blank)
-    center = float(np.angle(np.mean(np.exp(1j * phase))))
-    spread = np.abs(np.angle(np.exp(1j * (phase - center)))) * rate / 125000
-    ranked = np.sort(spread)
-
-    def quantile(p: float) -> float:
-        return float(ranked[min(len(ranked), max(1, int(np.ceil(p * len(ranked))))) - 1])
-
-    q75, q90 = quantile(0.75), quantile(0.90)
-    tail = float(np.mean(spread > 0.20))
-    fourth = float(np.abs(np.mean(np.exp(4j * spread))))
-    features = (center, q75, q90, tail, fourth, len(spread))
-    if available + 1 / rate < 0.18:
-        return ("uncertain", 0.0, "awaiting_stable_modulation_decision_window", *features)
-    if q75 >= 0.16 and tail >= 0.18 and fourth >= 0.35:
-        conf = min(0.995, 0.90 + 0.30 * min(0.25, q75 - 0.16) + 0.15 * min(0.30, tail - 0.18))
-        return ("pi4dqpsk", conf, "strong_pi4dqpsk_differential_phase_evidence", *features)
-    if q75 <= 0.13 and tail <= 0.08 and fourth >= 0.70:
-        conf = min(0.995, 0.90 + 0.30 * min(0.13, 0.13 - q75) + 0.20 * min(0.08, 0.08 - tail))
-        return ("fsk4", conf, "strong_4fsk_differential_phase_evidence", *features)
-    return ("uncertain", 0.0, "insufficient_or_ambiguous_modulation_evidence", *features)
-
-
-def modulation_gate(snapshots: DataFrame, keys: list[str]) -> DataFrame:
-    """Decide per snapshot (i, q, sample_rate_hz; at most a quarter second is looked at)
-    whether it is 4-level FSK or phase keyed."""
+
+def phase_features(snapshots: DataFrame, keys: list[str], look_back_sec: float = 0.25) -> DataFrame:
+    """Spread of the sample-to-sample phase of the strong samples in the last ``look_back_sec``
+    of each snapshot (i, q, sample_rate_hz); spread is in units of 125 kHz."""
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in snapshots.schema.fields if f.name in keys)
-    names = [*keys, *[p.split()[0] for p in GATE_OUT.split(", ")]]
+    names = [*keys, "sample_rate_hz", *[p.split()[0] for p in PHASE_OUT.split(", ")]]
+
+    def features(i, q, rate: float) -> tuple:
+        whole = np.asarray(i, float) + 1j * np.asarray(q, float)
+        x = whole[-max(GATE_MIN_SAMPLES, round(GATE_MIN_SEC * rate), round(look_back_sec * rate)) :]
+        if len(x) < 2:
+            return (len(whole), *(None,) * 5, 0)
+        size = np.abs(x)
+        strong = size >= _nearest_rank(np.sort(size), 0.60)
+        turn = (x[1:] * x[:-1].conj())[strong[1:] & strong[:-1]]
+        if not len(turn):
+            return (len(whole), *(None,) * 5, 0)
+        unit = np.exp(1j * np.angle(turn))
+        center = np.angle(unit.mean())
+        spread_ = np.sort(np.abs(np.angle(unit * np.exp(-1j * center))) * rate / 125000)
+        quarter, tenth = _nearest_rank(spread_, 0.75), _nearest_rank(spread_, 0.90)
+        fourth = abs(np.exp(4j * spread_).mean())
+        return len(whole), float(center), quarter, tenth, float((spread_ > 0.20).mean()), float(fourth), len(spread_)
 
     def run(batches):
         for pdf in batches:
             out = [
-                (*[getattr(r, k) for k in keys], *_gate(np.asarray(r.i, float) + 1j * np.asarray(r.q, float), float(r.sample_rate_hz)))
+                (*[getattr(r, k) for k in keys], r.sample_rate_hz, *features(r.i, r.q, float(r.sample_rate_hz)))
                 for r in pdf.itertuples(index=False)
             ]
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names).astype({"samples": "int64", "pair_count": "int64"})
+
+    rows = snapshots.select(*keys, "i", "q", F.col("sample_rate_hz").cast("double").alias("sample_rate_hz"))
+    return spread(rows, *keys).mapInPandas(run, f"{head}, sample_rate_hz double, {PHASE_OUT}")
 
-    return spread(snapshots.select(*keys, "i", "q", "sample_rate_hz"), *keys).mapInPandas(run, f"{head}, {GATE_OUT}")
+
+def modulation_gate(snapshots: DataFrame, keys: list[str], look_back_sec: float = 0.25) -> DataFrame:
+    """Decide per snapshot whether it is 4-level FSK or phase keyed, from its phase features.
+
+    ``candidates`` lists the protocols that stay: those of the family, or all while the family
+    is uncertain; ``excluded`` lists the others.
+    """
+    rows = phase_features(snapshots, keys, look_back_sec)
+    rate, samples = F.col("sample_rate_hz"), F.col("samples")
+    least = F.greatest(F.lit(GATE_MIN_SAMPLES), F.bround(GATE_MIN_SEC * rate))
+    looked = F.least(samples, F.greatest(least, F.bround(look_back_sec * rate)))
+    short = samples < least
+    few = F.col("pair_count") < F.greatest(F.lit(GATE_MIN_SAMPLES), F.bround(0.01 * looked))
+    early = samples / rate + 1 / rate < GATE_STABLE_SEC
+    none = F.struct(F.lit("uncertain").alias("family"), F.lit(0.0).alias("confidence"))
+
+    def with_reason(text: str) -> Column:
+        return none.withField("reason", F.lit(text))
+
+    verdict = F.when(short, with_reason("awaiting_modulation_analysis_window"))
+    verdict = verdict.when(few, with_reason("too_few_active_differential_phase_samples"))
+    verdict = verdict.when(early, with_reason("awaiting_stable_modulation_decision_window"))
+    for family, reason, rules in GATE_RULES:
+        holds, gain = F.lit(True), F.lit(0.90)
+        for name, limit, way, weight, cap in rules:
+            margin = way * (F.col(name) - limit)
+            holds = holds & (F.col(name) >= limit if way > 0 else F.col(name) <= limit)
+            gain = gain + weight * F.least(F.lit(cap), margin)
+        found = F.struct(
+            F.lit(family).alias("family"), F.least(F.lit(0.995), gain).alias("confidence"), F.lit(reason).alias("reason")
+        )
+        verdict = verdict.when(holds, found)
+    verdict = verdict.otherwise(with_reason("insufficient_or_ambiguous_modulation_evidence"))
+    every = [p for names in GATE_PROTOCOLS.values() for p in names]
+    stays = F.array(*map(F.lit, every))
+    for family, protocols in GATE_PROTOCOLS.items():
+        stays = F.when(F.col("_v.family") == family, F.array(*map(F.lit, protocols))).otherwise(stays)
+    blank = short | few  # nothing was measured that a decision could rest on
+    measured = [
+        F.when(~blank, F.col(c)).alias(c)
+        for c in ("phase_center", "q75", "q90", "tail_fraction", "fourth_moment", "pair_count")
+    ]
+    return rows.withColumn("_v", verdict).select(
+        *keys, "_v.family", "_v.confidence", "_v.reason", *measured, stays.alias("candidates"),
+        F.array_except(F.array(*map(F.lit, every)), stays).alias("excluded"),
+    )
 
 
 def stable_family(decisions: DataFrame, scope: list[str], needed: int = 2, width: float = WIDTH) -> DataFrame:
