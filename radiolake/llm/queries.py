@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolake.llm import contamination, forest, htmltext, licenses, pieces, quality, quotes, repeats, tokens, toxicity
-from radiolake.llm.checks import license_sql, quality_sql
+from radiolake.llm.checks import license_sql, quality_sql, reply_sql
 from radiolake.llm.tables import table
 from radiolake.session import scratch_path
 
@@ -115,7 +115,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(docs)
 
 
-@query("op7_reply_order")
+@query("op7_reply_order", reply_sql())
 def op7_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without quotes, with its parent and its place in reply order."""
     messages = table(spark, sf_dir, "conversations")
