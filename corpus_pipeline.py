@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolake.llm import contamination, forest, pieces, repeats, toxicity
-from radiolake.llm.tables import table
+from radiolake.llm.tables import small_batches, table
 from radiolake.session import persist_table
 
 ORACLE_SQL = None
@@ -29,6 +29,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar, fitted on the labelled ones not held out, doesn't reject."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id"))
     scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=docs.columns)
     return scored.where("score < 0.5").select(*docs.columns)
@@ -37,12 +38,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similarity 0.8 or more join, the one of smallest
     id; rows that agree in id and text are one document and stay together."""
+    small_batches(spark)
     classes = forest.similarity_classes(docs)
     return _without(docs, classes.where("NOT kept"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the sentences of runs that an earlier document holds."""
+    small_batches(spark)
     cut = repeats.remove_repeats(docs)
     length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
@@ -50,6 +53,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of a benchmark item."""
+    small_batches(spark)
     index = contamination.build_index(docs)
     found = contamination.contamination(index, contamination.phrase_matches(index, table(spark, sf_dir, "benchmark")))
     return _without(docs, persist_table(found.where("n_hit > 0").select("doc_id", "th"), "contaminated"))
@@ -57,6 +61,7 @@ def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, agrees) of every document that is left."""
+    small_batches(spark)
     coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "agrees")
 

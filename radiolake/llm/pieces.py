@@ -176,7 +176,7 @@ _MODELS: dict[str, tuple[PieceModel, ChunkTable]] = {}  # one per worker and fil
 def _model(path: str) -> tuple[PieceModel, ChunkTable]:
     if path not in _MODELS:
         model = PieceModel(path)
-        _MODELS[path] = (model, ChunkTable(model.merge_all, limit=300_000))
+        _MODELS[path] = (model, ChunkTable(model.merge_all, limit=200_000))
     return _MODELS[path]
 
 
@@ -215,7 +215,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _ = _model(path)
         for batch in batches:
-            for lo, hi in slabs(batch.column("__text"), 4 << 20):
+            for lo, hi in slabs(batch.column("__text"), 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 ids, counts, agrees = encode_texts(part.column("__text"), path)
                 offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from radiolake.llm import contamination, forest, htmltext, licenses, pieces, quality, quotes, repeats, tokens, toxicity
 from radiolake.llm.checks import license_sql, quality_sql, reply_sql
-from radiolake.llm.tables import table
+from radiolake.llm.tables import small_batches, table
 from radiolake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +19,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

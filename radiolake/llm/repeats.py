@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from radiolake.llm.words import slabs
 from radiolake.session import persist_table
 
 # a sentence ends at a stop followed by white space, or with its line
@@ -64,22 +65,24 @@ def sentence_runs(counts: list[int], min_words: int, min_sentences: int, long_se
 
 def _hash_runs(min_words: int, min_sentences: int, long_sentence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, ids, ths, starts, ns = [], [], [], [], []
-            for doc_id, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
-                sentences = [s.lower().split() for s in split_sentences(text or "")[0]]
-                plain = [" ".join(s) for s in sentences]
-                found = sentence_runs([len(s) for s in sentences], min_words, min_sentences, long_sentence)
-                for a, b in found:
-                    h.append(xxhash.xxh3_128_digest("\n".join(plain[a:b])))
-                    starts.append(a)
-                    ns.append(b - a)
-                ids += [doc_id] * len(found)
-                ths += [th] * len(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip((h, ids, ths, starts, ns), _RUNS_ARROW.types, strict=True)],
-                schema=_RUNS_ARROW,
-            )
+        for whole in batches:
+            for lo, hi in slabs(whole.column("text"), 1 << 20):
+                batch = whole.slice(lo, hi - lo)
+                h, ids, ths, starts, ns = [], [], [], [], []
+                for doc_id, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
+                    sentences = [s.lower().split() for s in split_sentences(text or "")[0]]
+                    plain = [" ".join(s) for s in sentences]
+                    found = sentence_runs([len(s) for s in sentences], min_words, min_sentences, long_sentence)
+                    for a, b in found:
+                        h.append(xxhash.xxh3_128_digest("\n".join(plain[a:b])))
+                        starts.append(a)
+                        ns.append(b - a)
+                    ids += [doc_id] * len(found)
+                    ths += [th] * len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip((h, ids, ths, starts, ns), _RUNS_ARROW.types, strict=True)],
+                    schema=_RUNS_ARROW,
+                )
 
     return run
 
@@ -154,22 +157,22 @@ def remove_repeats(
     schema = schema.add("n_sentences", "integer").add("n_removed", "integer").add("removed", T.ArrayType(T.StringType()))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, sizes, gone, parts = [], [], [], []
-            for text, spans in zip(
-                batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist(), strict=True
-            ):
-                covered = {i for s in spans or () for i in range(s["start"], s["start"] + s["n"])}
-                new, n, removed = without(text or "", covered) if covered else (text, 0, [])
-                texts.append(new)
-                sizes.append(len(split_sentences(text)[0]) if text else 0)
-                gone.append(n)
-                parts.append(removed)
-            kind = batch.schema.field(text_col).type
-            columns = [pa.array(texts, kind) if c == text_col else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(sizes, pa.int32()), pa.array(gone, pa.int32()), pa.array(parts, pa.list_(pa.string()))],
-                names=[*names, "n_sentences", "n_removed", "removed"],
-            )
+        for whole in batches:
+            for lo, hi in slabs(whole.column(text_col), 1 << 20):
+                batch = whole.slice(lo, hi - lo)
+                texts, sizes, gone, parts = [], [], [], []
+                for text, spans in zip(
+                    batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist(), strict=True
+                ):
+                    covered = {i for s in spans or () for i in range(s["start"], s["start"] + s["n"])}
+                    new, n, removed = without(text or "", covered) if covered else (text, 0, [])
+                    texts.append(new)
+                    sizes.append(len(split_sentences(text)[0]) if text else 0)
+                    gone.append(n)
+                    parts.append(removed)
+                kind = batch.schema.field(text_col).type
+                columns = [pa.array(texts, kind) if c == text_col else batch.column(c) for c in names]
+                columns += [pa.array(sizes, pa.int32()), pa.array(gone, pa.int32()), pa.array(parts, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_sentences", "n_removed", "removed"])
 
     return joined.mapInArrow(rebuild, schema)

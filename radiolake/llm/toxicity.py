@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from radiolake.llm.words import slabs, split_words
+from radiolake.session import persist_table
 
 # word classes of the grammar, in English, German, French and Spanish
 INSULTS = (
@@ -154,7 +155,14 @@ _COUNTS = "arc string, pos bigint, neg bigint, docs bigint"
 _COUNTS_ARROW = pa.schema([("arc", pa.string()), ("pos", pa.int64()), ("neg", pa.int64()), ("docs", pa.int64())])
 
 
-def _count_arcs(shortest: int, longest: int, often: int, held: int = 200_000):
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Rows of a task, of which no more than a MB of text is turned to Python at a time."""
+    for batch in batches:
+        for lo, hi in slabs(batch.column(names[0]), 1 << 20):
+            yield from zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in names), strict=True)
+
+
+def _count_arcs(shortest: int, longest: int, often: int, held: int = 100_000):
     """Occurrences (at most ``often`` a text) of every word and word beginning by label; the row
     without an arc counts all words.  Counts are passed on whenever ``held`` arcs have piled up."""
 
@@ -170,21 +178,20 @@ def _count_arcs(shortest: int, longest: int, often: int, held: int = 200_000):
             for c in (pos, neg, docs):
                 c.clear()
 
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = Counter(_TOKEN.findall((text or "").lower()))
-                own: Counter = Counter()
-                for word, n in words.items():
-                    for arc in _arcs_of(word, shortest, longest):
-                        own[arc] += n
-                into = pos if toxic else neg
-                for arc, n in own.items():
-                    into[arc] += min(n, often)
-                into[None] += sum(words.values())
-                if toxic:
-                    docs.update(own.keys())
-                if len(pos) + len(neg) > held:
-                    yield from out()
+        for text, toxic in _rows(batches, "text", "toxic"):
+            words = Counter(_TOKEN.findall((text or "").lower()))
+            own: Counter = Counter()
+            for word, n in words.items():
+                for arc in _arcs_of(word, shortest, longest):
+                    own[arc] += n
+            into = pos if toxic else neg
+            for arc, n in own.items():
+                into[arc] += min(n, often)
+            into[None] += sum(words.values())
+            if toxic:
+                docs.update(own.keys())
+            if len(pos) + len(neg) > held:
+                yield from out()
         yield from out()
 
     return run
@@ -240,11 +247,11 @@ def select_arcs(arcs: list[str], precision: np.ndarray, texts: list[np.ndarray],
     return taken
 
 
-def _features(model: Model, known_words: int = 200_000):
+def _features(model: Model, known_words: int = 100_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         for batch in batches:
-            for lo, hi in slabs(batch.column("__text")):
+            for lo, hi in slabs(batch.column("__text"), 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 texts = part.column("__text")
                 words, counts = split_words(texts, "unicode")
@@ -320,6 +327,7 @@ def fit(
         .groupBy("arc")
         .agg(*(F.sum(c).cast("double").alias(c) for c in ("pos", "neg", "docs")))
     )
+    counted = persist_table(counted, "arcs")
     totals = counted.where(F.col("arc").isNull()).agg(F.sum("pos"), F.sum("neg")).first()
     if not totals[0] or not totals[1]:
         return model
