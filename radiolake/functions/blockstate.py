@@ -35,10 +35,9 @@ def _runner(step: Step, order: list[str], initial: str, columns: list[str], keys
     def run(key, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         state = json.loads(entry["_entry"].iloc[0] if len(entry) else initial)
         state, out = step(state, rows.sort_values(order, kind="stable"))
-        out = out.reindex(columns=columns)
-        out.loc[len(out)] = [None] * len(columns)
-        out["_exit"] = None
-        out.loc[out.index[-1], "_exit"] = _dump(state)
+        # the exit state travels in a row of its own, behind the output whatever its index was
+        out = out.reindex(columns=columns).reset_index(drop=True).reindex(range(len(out) + 1))
+        out["_exit"] = [None] * (len(out) - 1) + [_dump(state)]
         for name, value in zip([*keys, "_blk"], key, strict=True):
             out[name] = value
         return out
