@@ -91,9 +91,10 @@ def scan(
     order = [order] if isinstance(order, str) else list(order)
     keys = list(keys)
     tmp = {s.name: f"_v_{s.name}" for s in scans}
-    rows = df.withColumn(_BLK, block_of(order[0], width)).withColumns(
-        {tmp[s.name]: s.value for s in scans}
-    )
+    # one struct of keys and block: null keys are equal inside it, so the join back needs no
+    # null-safe comparison and keeps the partitioning of the block windows
+    rows = df.withColumns({tmp[s.name]: s.value for s in scans})
+    rows = rows.withColumn(_BLK, F.struct(*keys, block_of(order[0], width).alias("_n")))
 
     def summary(s: Scan) -> Column:
         col = F.col(tmp[s.name])
@@ -102,17 +103,14 @@ def scan(
             return pick(col, F.when(col.isNotNull(), _order_key(order)))
         return getattr(F, s.kind)(col)
 
-    blocks = rows.groupBy(*keys, _BLK).agg(*[summary(s).alias(f"_s_{s.name}") for s in scans])
-    block_order = F.col(_BLK).desc() if reverse else F.col(_BLK).asc()
-    per_key = (
-        Window.partitionBy(*keys).orderBy(block_order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = blocks.select(
-        *keys, _BLK, *[_over(s.kind, F.col(f"_s_{s.name}"), per_key).alias(f"_c_{s.name}") for s in scans]
-    )
+    blocks = rows.groupBy(_BLK).agg(*[summary(s).alias(f"_s_{s.name}") for s in scans])
+    number = F.col(f"{_BLK}._n")
+    per_key = Window.partitionBy(*[F.col(_BLK)[k] for k in keys]).orderBy(number.desc() if reverse else number.asc())
+    per_key = per_key.rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(_BLK, *[_over(s.kind, F.col(f"_s_{s.name}"), per_key).alias(f"_c_{s.name}") for s in scans])
 
     row_order = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    base = Window.partitionBy(*keys, _BLK).orderBy(*row_order)
+    base = Window.partitionBy(_BLK).orderBy(*row_order)
     local = rows.withColumns(
         {
             f"_l_{s.name}": _over(
@@ -123,10 +121,7 @@ def scan(
             for s in scans
         }
     )
-    # null keys are keys like others, so the join back has to match them
-    there = carried.withColumnsRenamed({c: f"_k_{c}" for c in (*keys, _BLK)})
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, _BLK)]
-    joined = local.join(there, same, "left")
+    joined = local.join(carried, _BLK, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[
