@@ -2,10 +2,13 @@
 
 A page is read into blocks of text, each with its path of block elements from the root.  Blocks
 inside elements that are never content (menus, forms, adverts, comments and so on, by tag or by
-class) are left out.  For every path the text length and the punctuation of its blocks are
+a whole class, id or role) are left out; an element that only its name or a form calls so stays
+if it holds the page's article or most of the page's text (not comments, and nothing that stands
+beside an article).  For every path the text length and the punctuation of its blocks are
 summed and divided by the number of blocks; both ratios are smoothed along the order in which
 the paths first appear, multiplied, and compared with a threshold from their spread.  The
 elements that hold the chosen paths are the content: all their blocks are returned in order.
+The page's body counts as such an element only where no other holds more of the chosen text.
 """
 
 from __future__ import annotations
@@ -27,16 +30,22 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var img br wbr picture source input".split()
 )
-NEVER = set("nav footer aside form menu dialog button fieldset figcaption head".split())
+NEVER = set("nav footer aside menu dialog button head".split())
+FORMS = set("form fieldset".split())
+HEADINGS = set("p h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = set("article main".split())
-# fixed values: words in class, id and role that name what is not content
-NEVER_WORDS = set(
-    "nav navbar navigation menu header masthead footer sidebar aside ad ads adv advert adverts advertisement "
-    "advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal "
-    "overlay comment comments reply replies respond disqus discussion share sharing social related recommended "
-    "breadcrumb breadcrumbs widget newsletter subscribe subscription login signup search toolbar pagination pager "
-    "contentinfo complementary skip hidden".split()
+# fixed values: whole classes and ids that name what is not content
+COMMENTS = set("comments comment-list commentlist comments-list comments-area comment-section comment-form disqus_thread".split())
+NEVER_NAMES = COMMENTS | set(
+    "ad ads adv advert adverts advertisement ad-container ad-wrapper sponsored-links sidebar cookie-notice cookie-banner "
+    "cookie-consent cookie-bar newsletter-signup breadcrumb breadcrumbs pagination social-share share-buttons "
+    "sharedaddy related-posts related-articles skip-link".split()
 )
+# outside of article and main also these
+CHROME_NAMES = set(
+    "nav navbar navigation main-nav main-menu menu header site-header masthead footer site-footer toolbar".split()
+)
+NEVER_ROLES = set("navigation menu menubar banner search contentinfo complementary dialog alertdialog toolbar".split())
 _CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 "
     "h6 header hr main menu nav ol p pre section table ul".split()
@@ -50,9 +59,7 @@ _SCOPES = set("ul ol dl table article main section div body html blockquote td t
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟।¿¡]")
 
 
@@ -63,6 +70,33 @@ class Block:
     content: bool  # not inside an element that is never content
 
 
+@dataclass
+class Doubt:
+    """An element that its name, a form or hiding calls no content."""
+
+    comments: bool
+    inside: bool  # of an article or main
+    length: int = 0  # of its text
+    article: int = 0  # of the text of the longest article or main in it
+
+
+def _attributes(source: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(source):
+        out.setdefault(name.lower(), value.strip("\"'") if value[:1] in ("'", '"') else value)
+    return out
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    style = (d.partition(":") for d in attributes.get("style", "").lower().split(";"))
+    return (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").strip().lower() == "true"
+        or any(k.strip() == "display" and v.replace("!important", "").strip() == "none" for k, _, v in style)
+    )
+
+
 def page_blocks(source: str) -> list[Block]:
     """Blocks of text in page order, white space collapsed, character references decoded.
 
@@ -71,15 +105,29 @@ def page_blocks(source: str) -> list[Block]:
     is left open ends with the page.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, tag with its class, content
+    # tag, tag with its class, content, doubts about it and what is round it, containers round it
+    stack: list[tuple[str, str, bool, tuple[Doubt, ...], tuple[int, ...]]] = []
+    doubts_of: list[tuple[Doubt, ...]] = []  # of each block
+    articles: list[tuple[int, tuple[Doubt, ...]]] = []  # length of text, doubts round the article or main
+    total = outside = 0  # length of all text, and of that in article or main without doubts
     pieces: list[str] = []
 
     def flush() -> None:
+        nonlocal total, outside
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                blocks.append(Block(tuple(s[1] for s in stack), text, stack[-1][2] if stack else True))
+                _, _, content, doubts, containers = stack[-1] if stack else ("", "", True, (), ())
+                blocks.append(Block(tuple(s[1] for s in stack), text, content))
+                doubts_of.append(doubts)
+                if content:
+                    total += len(text)
+                    outside += len(text) if containers and not doubts else 0
+                    for d in doubts:
+                        d.length += len(text)
+                    for i in containers:
+                        articles[i] = (articles[i][0] + len(text), articles[i][1])
 
     at, n = 0, len(source)
     while at < n:
@@ -118,21 +166,33 @@ def page_blocks(source: str) -> list[Block]:
                 break
         if tag in VOID:
             continue
-        attributes = m[3] or ""
-        names = " ".join(x.strip("\"'") for x in _NAMES.findall(attributes)) if "=" in attributes else ""
-        words = {w.lower() for w in _WORD.findall(names)}
-        inside = any(s[0] in CONTAINERS for s in stack)
-        words -= {"header"} if inside else set()
-        never = (
-            tag in NEVER
-            or (tag == "header" and not inside)
-            or (tag not in ("html", "body", "article", "main") and bool(words & NEVER_WORDS))
-            or (tag in ("article", "main") and bool(words & {"comment", "comments", "reply", "ad", "ads", "related"}))
-            or bool(attributes and _HIDDEN.search(attributes))
-        )
-        label = f"{tag}.{names.split()[0].lower()}" if names.split() else tag
-        stack.append((tag, label, not never and (stack[-1][2] if stack else True)))
+        attributes = _attributes(m[3]) if m[3] else {}
+        names = [n.lower() for k, v in attributes.items() if k in ("class", "id", "role") for n in v.split()]
+        tokens = {n.lower() for k in ("class", "id") for n in attributes.get(k, "").split()}
+        content, doubts, containers = stack[-1][2:] if stack else (True, (), ())
+        never = tag in NEVER or (tag == "header" and not containers)
+        named = tokens & NEVER_NAMES or (not containers and tokens & CHROME_NAMES)
+        named = named or attributes.get("role", "").strip().lower() in NEVER_ROLES
+        reply = tag in CONTAINERS and any(n.split("-")[0].split("_")[0] in ("comment", "comments", "reply") for n in tokens)
+        doubtful = (named and tag not in HEADINGS) or reply or tag in FORMS or _hidden(attributes)
+        if doubtful and tag not in ("html", "body"):
+            doubts = (*doubts, Doubt(reply or bool(tokens & COMMENTS), bool(containers)))
+        if tag in CONTAINERS:
+            # a doubt about an article itself is not settled by its being one
+            articles.append((0, stack[-1][3] if stack and not reply else ()))
+            containers = (*containers, len(articles) - 1)
+        label = f"{tag}.{names[0]}" if names else tag
+        stack.append((tag, label, content and not never, doubts, containers))
     flush()
+    for length, doubts in articles:
+        for d in doubts:
+            d.article = max(d.article, length)
+
+    def stays(d: Doubt) -> bool:
+        return d.article > outside or (not d.comments and 2 * d.length > total and (d.inside or not outside))
+
+    for block, doubts in zip(blocks, doubts_of, strict=True):
+        block.content = block.content and all(stays(d) for d in doubts)
     return blocks
 
 
@@ -194,8 +254,14 @@ def main_text(source: str | None, spread: float = 0.5) -> str:
     if not weight:
         return ""
     most = max(weight.values())
-    holders = {h for h, w in weight.items() if 2 * w >= most}
-    kept = [b.text for b in blocks if any(b.path[: len(h)] == h for h in holders)]
+    # the body holds the whole page: beside an element with more chosen text it adds its own blocks only
+    loose = {h for h, w in weight.items() if w < most and (not h or h[-1].split(".")[0] in ("html", "body"))}
+    holders = set(weight) - loose
+    kept = [
+        b.text
+        for b in blocks
+        if any(b.path[: len(h)] == h for h in holders) or (b.path in chosen and _holder(b.path) in loose)
+    ]
     return "\n\n".join(kept)
 
 

@@ -60,3 +60,34 @@ def test_table(spark):
     assert got == [(1, LONG), (2, ""), (2, "")]
     assert htmltext.extract(df).columns == ["page_id", "url", "text"]
     assert htmltext.extract(df.where("page_id > 5")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "site-content has-sidebar", "sidebar", "menu", "modal"])
+def test_names_round_the_article_do_not_empty_the_page(name):
+    for holder in ("article", "div"):
+        body = f'<div class="{name}"><{holder}><h1>A title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></{holder}></div>'
+        assert main_text(page(body)) == "\n\n".join(["A title", LONG, LONG, LONG])
+
+
+def test_parts_of_an_article_stay_whatever_their_names():
+    body = f"""<article data-title="The hidden cost of x"><h2 id="related-work">Related work</h2><p>{LONG}</p>
+    <p class="share-price">It fell.</p><section id="discussion"><p>{LONG}</p></section>
+    <figure><img src=x><figcaption>A caption.</figcaption></figure><p data-style="display:none">Seen.</p>
+    <p hidden>Gone.</p><div style="color:red; DISPLAY : none">Gone.</div><div aria-hidden=true>Gone.</div></article>"""
+    assert main_text(page(body)) == f"Related work\n\n{LONG}\n\nIt fell.\n\n{LONG}\n\nA caption.\n\nSeen."
+
+
+def test_comments_longer_than_the_article_go():
+    many = f"<div id='comments'>{f'<article class=comment-body><p>{LONG}</p></article>' * 5}</div>"
+    for holder in ("article", "div"):
+        assert main_text(page(f"<{holder} class='post'><p>{LONG}</p></{holder}>{many}")) == LONG
+
+
+def test_a_page_in_a_form_and_shorter_parts_of_an_article():
+    assert main_text(f"<form><div><p>{LONG}</p></div></form>") == LONG
+    body = f"<div class='one'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class='two'><p>{LONG}</p></div>"
+    assert main_text(page(body)) == "\n\n".join([LONG] * 4)
+
+
+def test_an_advert_longer_than_the_article_beside_it_goes():
+    assert main_text(f"<div class='ad'>{LONG}</div><article><h1>A title</h1><p>Short.</p></article>") == "A title\n\nShort."
