@@ -3,8 +3,8 @@
 Each text has a histogram of character classes and one of the common words of its language.  Both
 are compared by Jensen-Shannon distance (base 2, from 0 to 1) with the histograms of the whole
 language: the sums over all its texts that pass the base rules and are not far from the sums
-over all.  Texts too short for a histogram
-to mean anything are not judged by it.
+over all.  Texts too short for a histogram to mean anything are not judged by it, nor are texts of
+no language or of one with too few texts for a reference.
 """
 
 from __future__ import annotations
@@ -182,45 +182,54 @@ def judge(
     max_words: float = 0.6,
     min_chars: int = 400,
     min_words: int = 50,
+    min_texts: int = 30,
+    max_broadcast: int = 10_000,
 ) -> DataFrame:
     """A row for each row: the base figures, char_distance, word_distance and kept.
 
     A text is kept if it passes the base rules (10 words or more, at most a fifth of them in
     repeated windows) and neither distance that applies exceeds its limit: characters from
     ``min_chars`` on, common words from ``min_words`` on.  A null text is empty.  A null language
-    or one without a list of words has no word_distance; languages without a list share one
-    reference, made of all texts.
+    or one without a list of words has no word_distance.  A null or empty language, or one without
+    a list that has fewer than ``min_texts`` texts that pass the base rules, is compared with the
+    sums over all texts; that char_distance is shown and rejects nothing.  Up to ``max_broadcast``
+    languages are broadcast; more are joined by shuffle.
     """
     rows = persist_table(measures(docs, id_col, text_col, lang_col), "measures")
-    known = F.when(F.col("lang").isin(list(COMMON_WORDS)), F.col("lang")).otherwise("")
 
     def odd(by: Column, least: int, size: str, most: float) -> Column:
         return F.coalesce((F.col(size) >= least) & (by > most), F.lit(False))
 
-    def compared(references: DataFrame) -> DataFrame:
-        joined = rows.join(F.broadcast(references), known == F.col("ref"), "left")
-        by_chars = distance(F.col("chars"), F.col("ref_chars"), len(CHARS))
+    def odd_chars(most: float) -> Column:
+        return F.col("own") & odd(F.col("char_distance"), min_chars, "n_chars", most)
+
+    def compared(sums: DataFrame) -> DataFrame:
+        sums = persist_table(sums, "references")
+        own = sums.where((F.col("ref") != "") & (F.col("ref").isin(list(COMMON_WORDS)) | (F.col("n_texts") >= min_texts)))
+        own = F.broadcast(own.drop("n_texts")) if own.count() <= max_broadcast else own.drop("n_texts")
+        whole = sums.agg(_sums("ref_chars", len(CHARS)).alias("all_chars")).select(F.lit(False).alias("is_own"), "all_chars")
+        joined = rows.join(own, F.col("lang") == F.col("ref"), "left").withColumn("own", F.col("ref").isNotNull())
+        joined = joined.join(F.broadcast(whole), F.col("own") == F.col("is_own"), "left")
+        by_chars = distance(F.col("chars"), F.coalesce("ref_chars", "all_chars"), len(CHARS))
         by_words = distance(F.col("common"), F.col("ref_common"), N_WORDS + 1)
         joined = joined.withColumn("char_distance", by_chars).withColumn("word_distance", by_words)
-        return joined.drop("ref", "ref_chars", "ref_common")
+        return joined.drop("ref", "ref_chars", "ref_common", "is_own", "all_chars")
 
     # the second references leave out what is far from the first ones
-    first = compared(_references(rows.where("NOT base_failed"), known))
-    near = first.where(~F.col("base_failed") & ~odd(F.col("char_distance"), min_chars, "n_chars", first_chars))
-    judged = compared(persist_table(_references(near, known), "references"))
-    far = odd(F.col("char_distance"), min_chars, "n_chars", max_chars) | odd(
-        F.col("word_distance"), min_words, "n_words", max_words
-    )
-    return judged.withColumn("kept", ~F.col("base_failed") & ~far).drop("chars", "common")
+    first = compared(_references(rows.where("NOT base_failed")))
+    judged = compared(_references(first.where(~F.col("base_failed") & ~odd_chars(first_chars))))
+    far = odd_chars(max_chars) | odd(F.col("word_distance"), min_words, "n_words", max_words)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~far).drop("chars", "common", "own")
 
 
-def _references(good: DataFrame, known: Column) -> DataFrame:
-    """(ref, ref_chars, ref_common): a row for each listed language and one, "", for the rest."""
+def _sums(name: str, n: int) -> Column:
+    return F.array(*(F.coalesce(F.sum(F.col(name)[i]), F.lit(0)) for i in range(n)))
 
-    def sums(name: str, n: int) -> Column:
-        return F.array(*(F.coalesce(F.sum(F.col(name)[i]), F.lit(0)) for i in range(n))).alias(f"ref_{name}")
 
-    words = good.groupBy(known.alias("ref")).agg(sums("chars", len(CHARS)), sums("common", N_WORDS + 1))
-    whole = good.agg(sums("chars", len(CHARS)))
-    whole = whole.select(F.lit("").alias("ref"), "ref_chars", F.lit(None).cast("array<bigint>").alias("ref_common"))
-    return words.where("ref <> ''").unionByName(whole)
+def _references(good: DataFrame) -> DataFrame:
+    """(ref, ref_chars, ref_common, n_texts): a row for each language, "" for none."""
+    return good.groupBy(F.coalesce("lang", F.lit("")).alias("ref")).agg(
+        _sums("chars", len(CHARS)).alias("ref_chars"),
+        _sums("common", N_WORDS + 1).alias("ref_common"),
+        F.count(F.lit(1)).alias("n_texts"),
+    )

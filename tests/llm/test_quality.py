@@ -73,3 +73,22 @@ def test_languages_nulls_ties_and_empty_tables(spark, texts):
     clash = frame(spark, texts).withColumn("left", F.lit(1)).withColumn("kept", F.lit("x"))
     assert quality.judge(clash).count() == len(texts)
     assert quality.judge(docs.where("doc_id > 1000")).count() == 0
+
+
+def test_other_scripts_have_references_of_their_own(spark):
+    rng = random.Random(4)
+    greek = str.maketrans("abcdefghijklmnopqrstuvwxyz", "αβψδεφγηιξκλμνοπρσςτυωχζύθ")
+    english = [prose(rng, 12) for _ in range(60)]
+    texts = [prose(rng, 12).lower().translate(greek) for _ in range(45)]
+    odd = " ".join(w + "&%$*" for w in prose(rng, 12).lower().translate(greek).split())
+    docs = [(i, t, "en") for i, t in enumerate(english)]
+    docs += [(100 + i, t, "el") for i, t in enumerate(texts[:35])] + [(200, odd, "el")]
+    docs += [(300 + i, t, "rare") for i, t in enumerate(texts[35:40])]
+    docs += [(400 + i, t, None) for i, t in enumerate(texts[40:])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    for most in (10_000, 0):
+        rows = {r.doc_id: r for r in quality.judge(df, max_broadcast=most).collect()}
+        assert len(rows) == len(docs)
+        assert all(r.n_chars >= 400 for r in rows.values())
+        assert [i for i, r in rows.items() if not r.kept] == [200]
+        assert max(rows[100 + i].char_distance for i in range(35)) < 0.1 < min(rows[300].char_distance, rows[400].char_distance)
