@@ -4,6 +4,7 @@ runs all of them."""
 import pytest
 
 import __spark_entry__ as entry
+from radiolake.plans.catalog import ORACLE, QUERIES
 from tests.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -36,9 +37,9 @@ NO_SQL = {
 
 
 def test_registry():
-    queries, oracle = entry.queries(), entry.oracle_sql()
-    assert set(queries) - set(oracle) == NO_SQL
-    assert set(oracle) <= set(queries)
+    assert set(QUERIES) - set(ORACLE) == NO_SQL
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
