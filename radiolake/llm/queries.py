@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import contamination, forest, htmltext, licenses, pieces, quality, quotes, repeats, tokens, toxicity
+from radiolake.llm import (
+    contamination,
+    forest,
+    htmltext,
+    interaction,
+    licenses,
+    pieces,
+    quality,
+    quotes,
+    repeats,
+    tokens,
+    toxicity,
+)
 from radiolake.llm.checks import license_sql, quality_sql, reply_sql
 from radiolake.llm.tables import small_batches, table
 from radiolake.session import scratch_path
@@ -163,3 +175,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op13_filter_interaction", interaction.FILTER_SQL)
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source in all 120 orders."""
+    cells = interaction.failure_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return interaction.order_steps(cells)
