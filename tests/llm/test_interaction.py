@@ -24,8 +24,8 @@ def fails(i, text, firsts):
 
 def brute(rows, labels):
     """Every filter run over every row, for each order."""
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     firsts = {}
     for i, text, _ in rows:
         if i is not None:
