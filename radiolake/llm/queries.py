@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from radiolake.llm import (
     contamination,
+    divergence,
     forest,
     htmltext,
     interaction,
@@ -177,6 +178,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_source_divergence", divergence.DIVERGENCE_SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source differs from the others of its language, and in which terms."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 @query("op13_filter_interaction", interaction.FILTER_SQL)
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from each source in all 120 orders."""
