@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolake.llm import (
+    bbit,
     contamination,
     divergence,
     forest,
@@ -178,6 +179,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_bbit_dedup", bbit.NEAR_SQL)
+def op11_bbit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of each document at Jaccard similarity 0.85 of word 3-grams."""
+    return bbit.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op12_source_divergence", divergence.DIVERGENCE_SQL)
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each source differs from the others of its language, and in which terms."""
