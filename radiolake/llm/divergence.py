@@ -33,11 +33,19 @@ SCALE = 1_000_000_000
 def _document_chunks(batch: pa.RecordBatch) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct chunks of a batch, and for every (document, chunk) of it the row, the chunk's
     number and its occurrences."""
-    chunks, counts = split_at(pc.ascii_lower(batch.column("text")), _NO_BREAKS, drop=_SPACE)
-    coded = chunks.dictionary_encode()
-    row = np.repeat(np.arange(len(counts)), counts)
+    texts = pc.ascii_lower(batch.column("text"))
+    split = [split_at(texts.slice(lo, hi - lo), _NO_BREAKS, drop=_SPACE) for lo, hi in slabs(texts, 1 << 20)]
+    if not split:
+        return pa.array([], pa.string()), *(np.zeros(0, dtype=np.int64) for _ in range(3))
+    coded = pa.chunked_array([chunks for chunks, _ in split]).combine_chunks().dictionary_encode()
+    counts = np.concatenate([counts for _, counts in split])
     size = max(1, len(coded.dictionary))
-    pair, n = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
+    pair = np.repeat(np.arange(len(counts)) * size, counts)
+    pair += coded.indices.to_numpy()
+    pair.sort()
+    at = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.r_[at, len(pair)])
+    pair = pair[at]
     return coded.dictionary, pair // size, pair % size, n
 
 
@@ -124,7 +132,7 @@ def _read(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(
-    docs: DataFrame, min_docs: int = 10, slab_bytes: int = 16 << 20, filter_bits: int = 1 << 26
+    docs: DataFrame, min_docs: int = 10, slab_bytes: int = 24 << 20, filter_bits: int = 1 << 26
 ) -> DataFrame:
     """(lang, source, term, n): occurrences of the terms that at least ``min_docs`` documents
     of their language hold.
