@@ -116,3 +116,12 @@ def schedule_parity(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame
     """Rows two schedules of the same input disagree on; empty when they are equivalent."""
     pack = lambda df: df.select(F.to_json(F.struct(*columns)).alias("signature"))
     return differing_rows(multiset_diff(pack(a), pack(b), []), [])
+
+
+def parity_report(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """Every distinct row of two schedules of the same input: how often each has it (``n_first``,
+    ``n_second``), and whether they agree.  Rows are compared with nulls equal."""
+    first = a.select(*columns, F.lit(1).alias("_1"), F.lit(0).alias("_2"))
+    second = b.select(*columns, F.lit(0).alias("_1"), F.lit(1).alias("_2"))
+    out = first.unionByName(second).groupBy(*columns).agg(F.sum("_1").alias("n_first"), F.sum("_2").alias("n_second"))
+    return out.withColumn("agrees", F.col("n_first") == F.col("n_second"))

@@ -233,8 +233,8 @@ def _(v):
 
 @query(
     "act14_whole_span_modes",
-    """c AS (SELECT CAST(floor(seq / 5) AS BIGINT) AS capture, seq % 5 + 1 AS bucket, CASE WHEN k % 4 = 0 THEN 20e0 ELSE 0e0 END AS p
-          FROM v_chunks WHERE NOT (floor(seq / 5) % 4 = 1 AND seq % 5 > 2)),
+    """c AS (SELECT CAST(floor(seq / 20) * 5 AS BIGINT) + CAST(floor((seq % 20 + 2) / 5) AS BIGINT) AS capture, CASE WHEN k % 4 = 0 THEN 20e0 ELSE 0e0 END AS p
+          FROM v_chunks),
        n AS (SELECT capture, count(*) AS n, list(p ORDER BY p) AS l FROM c GROUP BY 1),
        f AS (SELECT *, l[CAST(floor(n * 0.2e0 + 0.5e0) AS INT)] + (n * 0.2e0 + 0.5e0 - floor(n * 0.2e0 + 0.5e0)) * (l[CAST(floor(n * 0.2e0 + 0.5e0) AS INT) + 1] - l[CAST(floor(n * 0.2e0 + 0.5e0) AS INT)]) AS fl,
           l[n] AS top FROM n),
@@ -242,8 +242,10 @@ def _(v):
        SELECT capture, CASE WHEN n < 4 THEN 'short' WHEN act < 3 OR act / n > 0.85e0 THEN 'continuous_or_uncertain' ELSE 'threshold' END AS mode FROM a""",
 )
 def _(v):
-    df = v.chunks.where(~((F.floor(F.col("seq") / 5) % 4 == 1) & (F.col("seq") % 5 > 2))).select(
-        F.floor(F.col("seq") / 5).alias("capture"), (F.col("seq") % 5 + 1).alias("bucket"),
+    # every chunk belongs to a capture of three, five, five, five or two chunks in turn
+    place = F.col("seq") % 20
+    df = v.chunks.select(
+        (F.floor(F.col("seq") / 20) * 5 + F.floor((place + 2) / 5)).alias("capture"), (place + 1).alias("bucket"),
         F.when(F.col("k") % 4 == 0, 20.0).otherwise(0.0).alias("power_db"),
     )
     return A.activity_thresholds(df, ["capture"]).select("capture", "mode")

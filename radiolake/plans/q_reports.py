@@ -149,10 +149,10 @@ def _(v):
 @query(
     "rpt9_realtime_factor",
     """SELECT o_orderkey, round(o_custkey / 60e0, 6) AS duration_sec, round(o_totalprice / 1000000 / greatest(o_custkey / 60e0, 2.220446049250313e-16), 4) AS real_time_factor
-       FROM orders WHERE o_custkey > 0""",
+       FROM orders""",
 )
 def _(v):
-    runs = v.table("orders").where("o_custkey > 0").select(
+    runs = v.table("orders").select(
         "o_orderkey", (F.col("o_custkey") * 800).alias("input_samples"), F.lit(48000.0).alias("sample_rate_hz"), (F.col("o_totalprice") / 1e6).alias("elapsed_sec")
     )
     return R.realtime_factor(runs).select("o_orderkey", R6("duration_sec").alias("duration_sec"), F.round("real_time_factor", 4).alias("real_time_factor"))
@@ -235,10 +235,13 @@ def _(v):
     )
 
 
-@query("cmp4_schedule_parity", "SELECT 'none' AS signature, 'none' AS kind FROM v_chunks WHERE FALSE")
+@query(
+    "cmp4_schedule_parity",
+    STATE_SQL + " SELECT *, CAST(1 AS BIGINT) AS n_first, CAST(1 AS BIGINT) AS n_second, TRUE AS agrees FROM ep",
+)
 def _(v):
     """Epochs must not depend on how the scan is cut into blocks."""
     cols = ["channel_id", "epoch_id", "candidate_start", "end_sample", "close_reason"]
     wide = A.epochs(A.detect_fixed(v.chunks, FLOOR, CFG))
     narrow = A.epochs(A.detect_fixed(v.chunks, FLOOR, CFG, width=300), width=300)
-    return C.schedule_parity(wide, narrow, cols)
+    return C.parity_report(wide, narrow, cols)

@@ -323,3 +323,12 @@ def test_wav_sample_types(spark, tmp_path):
     }
     one = S.iq_chunks(cat.where("path LIKE '%i16%'"), chunk_samples=1, task_bytes=1)
     assert one.rdd.getNumPartitions() >= 8
+
+
+def test_parity_report_shows_both_sides(spark):
+    from radiolake.operators import compare as C
+
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (None, "y"), (2, "z")], "k long, v string")
+    b = spark.createDataFrame([(1, "x"), (None, "y"), (3, "z")], "k long, v string")
+    got = {tuple(r) for r in C.parity_report(a, b, ["k", "v"]).collect()}
+    assert got == {(1, "x", 2, 1, False), (None, "y", 1, 1, True), (2, "z", 1, 0, False), (3, "z", 0, 1, False)}
