@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.llm.components import connected
+from radiolake.llm.components import connected_by_leads
 from radiolake.llm.words import slabs, split_words
 from radiolake.session import persist_table
 
@@ -258,7 +258,7 @@ def similarity_classes(
     prefixes = classes.select("key", F.posexplode("prefixes").alias("tree", "prefix"))
     shared = prefixes.groupBy("tree", "prefix").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z")
     stars = prefixes.join(shared, ["tree", "prefix"]).select("a", F.col("key").alias("b"))
-    component = connected(stars)
+    component = persist_table(connected_by_leads(stars), "candidates")  # read twice
     sized = component.join(classes.select(F.col("key").alias("node"), "n", "first", "copies"), "node")
     totals = component.join(classes.select(F.col("key").alias("node"), "n"), "node").groupBy("component")
     totals = totals.agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).select(
@@ -300,7 +300,7 @@ def similarity_classes(
     links = verified.where("other IS NULL").groupBy("key").agg(
         F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs")
     )
-    joined = connected(verified.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))
+    joined = connected_by_leads(verified.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))
     labelled = (
         classes.select("key", "first", "copies")
         .join(joined.withColumnRenamed("node", "key"), "key", "left")
