@@ -33,19 +33,13 @@ def _duration(first: Column, last: Column, rate: float) -> Column:
 # ---------------------------------------------------------------- DMR
 
 
-def dmr_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float = WIDTH) -> DataFrame:
-    """Calls from LC_HEADER / LATE_ENTRY / CSBK / TERMINATOR rows.
-
-    A call opens at a header, a late entry, or a CSBK with an address, and closes at a
-    terminator.  A terminator without an open call does nothing, so signalling seen before
-    a call opens counts towards it.
-    """
-    scope = list(scope)
+def dmr_signalling(df: DataFrame, scope: list[str], *keep: str) -> DataFrame:
+    """What calls are made of: the four row types with the fields they carry."""
     typ = F.col("type")
-    nonzero = lambda n: F.coalesce(F.col(n) != 0, F.lit(False))
-    rows = df.where(typ.isin("LC_HEADER", "LATE_ENTRY", "TERMINATOR", "CSBK")).select(
+    return df.where(typ.isin("LC_HEADER", "LATE_ENTRY", "TERMINATOR", "CSBK")).select(
         *scope,
         "seq",
+        *keep,
         "type",
         field(df, "src_num", "bigint").alias("src"),
         field(df, "dst_num", "bigint").alias("dst"),
@@ -57,6 +51,47 @@ def dmr_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float =
         field(df, "extra.data_type_name", "string").alias("data_type_name"),
         field(df, "extra.sync_type", "string").alias("sync_type"),
     )
+
+
+def dmr_call_columns(calls: DataFrame, scope: list[str], *keep: str) -> DataFrame:
+    """Call rows from their summaries."""
+    empty = F.lit("")
+    return calls.select(
+        *scope,
+        F.lit("DMR").alias("protocol"),
+        F.lit("DMR_CALL").alias("type"),
+        "start_seq",
+        F.coalesce("src", F.lit(0)).alias("src"),
+        F.coalesce("dst", F.lit(0)).alias("dst"),
+        F.coalesce("flco", empty).alias("flco"),
+        F.coalesce("fid", empty).alias("fid"),
+        F.coalesce("call_type", empty).alias("call_type"),
+        "color_code",
+        "start_sample",
+        "end_sample",
+        _duration(F.coalesce("start_sample", F.lit(0)), F.coalesce("end_sample", "start_sample", F.lit(0)), 10 * SYMBOL_RATE).alias("duration_s"),
+        "signalling_count",
+        "late_entry_count",
+        "csbk_count",
+        F.when(F.col("_closed"), "terminator").otherwise("end_of_scan").alias("closed_by"),
+        "close_seq",
+        F.coalesce("last_data_type_name", empty).alias("last_data_type_name"),
+        F.coalesce("last_sync_type", empty).alias("last_sync_type"),
+        *keep,
+    )
+
+
+def dmr_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float = WIDTH) -> DataFrame:
+    """Calls from LC_HEADER / LATE_ENTRY / CSBK / TERMINATOR rows.
+
+    A call opens at a header, a late entry, or a CSBK with an address, and closes at a
+    terminator.  A terminator without an open call does nothing, so signalling seen before
+    a call opens counts towards it.
+    """
+    scope = list(scope)
+    typ = F.col("type")
+    nonzero = lambda n: F.coalesce(F.col(n) != 0, F.lit(False))
+    rows = dmr_signalling(df, scope)
     lc = typ.isin("LC_HEADER", "LATE_ENTRY")
     starter = lc | ((typ == "CSBK") & (nonzero("src") | nonzero("dst")))
     term = typ == "TERMINATOR"
@@ -113,29 +148,7 @@ def dmr_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float =
         )
         .where(F.col("start_seq").isNotNull())
     )
-    empty = F.lit("")
-    return calls.select(
-        *scope,
-        F.lit("DMR").alias("protocol"),
-        F.lit("DMR_CALL").alias("type"),
-        "start_seq",
-        F.coalesce("src", F.lit(0)).alias("src"),
-        F.coalesce("dst", F.lit(0)).alias("dst"),
-        F.coalesce("flco", empty).alias("flco"),
-        F.coalesce("fid", empty).alias("fid"),
-        F.coalesce("call_type", empty).alias("call_type"),
-        "color_code",
-        "start_sample",
-        "end_sample",
-        _duration(F.coalesce("start_sample", F.lit(0)), F.coalesce("end_sample", "start_sample", F.lit(0)), 10 * SYMBOL_RATE).alias("duration_s"),
-        "signalling_count",
-        "late_entry_count",
-        "csbk_count",
-        F.when(F.col("_closed"), "terminator").otherwise("end_of_scan").alias("closed_by"),
-        "close_seq",
-        F.coalesce("last_data_type_name", empty).alias("last_data_type_name"),
-        F.coalesce("last_sync_type", empty).alias("last_sync_type"),
-    )
+    return dmr_call_columns(calls, scope)
 
 
 # ---------------------------------------------------------------- P25
@@ -145,6 +158,25 @@ P25_TERMINATORS = ("TDU", "TDULC")
 P25_VOICE = ("LDU1", "LDU2")
 
 
+def p25_call_columns(calls: DataFrame, scope: list[str], *keep: str) -> DataFrame:
+    """Call rows from their summaries (link control as struct ``lc``)."""
+    return calls.select(
+        *scope,
+        F.lit("P25").alias("protocol"),
+        F.lit("P25_CALL").alias("type"),
+        "start_seq",
+        F.coalesce("lc.src", F.lit(0)).alias("src"),
+        F.coalesce("lc.dst", F.lit(0)).alias("dst"),
+        F.when(F.coalesce("lc.is_group", F.lit(False)), "GROUP").otherwise("").alias("flco"),
+        "nac",
+        F.round((F.col("end_sample") - F.col("first_sample")) / F.lit(10 * SYMBOL_RATE), 3).alias("duration_s"),
+        "ldu_count",
+        F.col("end_sample").alias("fs_start"),
+        "close_seq",
+        *keep,
+    )
+
+
 def p25_calls(
     df: DataFrame, scope: list[str] = ("channel_id",), emit_open: bool = False, width: float = WIDTH
 ) -> DataFrame:
@@ -175,22 +207,13 @@ def p25_calls(
     )
     if not emit_open:
         calls = calls.where(F.col("_end").isNotNull())
-    lc = F.when(F.col("_lc.seq") >= F.col("start_seq"), F.col("_lc.lc"))
-    end = F.coalesce("_end", "_last")
-    return calls.select(
-        *scope,
-        F.lit("P25").alias("protocol"),
-        F.lit("P25_CALL").alias("type"),
-        "start_seq",
-        F.coalesce(lc["src"], F.lit(0)).alias("src"),
-        F.coalesce(lc["dst"], F.lit(0)).alias("dst"),
-        F.when(F.coalesce(lc["is_group"], F.lit(False)), "GROUP").otherwise("").alias("flco"),
-        F.col("_first.nac").alias("nac"),
-        F.round((end - F.col("_first.fs_start")) / F.lit(10 * SYMBOL_RATE), 3).alias("duration_s"),
-        "ldu_count",
-        end.alias("fs_start"),
-        "close_seq",
-    )
+    return p25_call_columns(
+        calls.select(
+            *scope, "start_seq", F.when(F.col("_lc.seq") >= F.col("start_seq"), F.col("_lc.lc")).alias("lc"), "_first.nac",
+            F.col("_first.fs_start").alias("first_sample"), F.coalesce("_end", "_last").alias("end_sample"), "ldu_count", "close_seq",
+        ),
+        scope,
+    )
 
 
 # ---------------------------------------------------------------- NXDN
@@ -217,12 +240,12 @@ def assemble_alias(df: DataFrame, by: list[str], order: str = "seq") -> DataFram
     return whole.select(*by, text.alias("alias"))
 
 
-def nxdn_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float = WIDTH) -> DataFrame:
-    """Calls from VCALL, alias and release messages."""
-    scope = list(scope)
-    rows = df.select(
+def nxdn_messages(df: DataFrame, scope: list[str], *keep: str) -> DataFrame:
+    """VCALL, alias and release messages with the fields they carry."""
+    return df.select(
         *scope,
         "seq",
+        *keep,
         "type",
         field(df, "src_num", "bigint").alias("src"),
         field(df, "dst_num", "bigint").alias("dst"),
@@ -233,11 +256,42 @@ def nxdn_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float =
         field(df, "extra.alias_total", "bigint", 0).alias("alias_total"),
         (F.col("extra.alias_bytes") if has_path(df.schema, "extra.alias_bytes") else F.array().cast("array<bigint>")).alias("alias_bytes"),
         field(df, "extra.payload_hex", "string", "").alias("payload_hex"),
+    ).where(F.col("type").isin("NXDN_VCALL", "NXDN_PROP_ALIAS", *NXDN_ENDS))
+
+
+def nxdn_call_columns(calls: DataFrame, scope: list[str], *keep: str) -> DataFrame:
+    """Call rows from their summaries."""
+    empty = F.lit("")
+    return calls.select(
+        *scope,
+        F.lit("NXDN").alias("protocol"),
+        F.lit("NXDN_CALL").alias("type"),
+        "start_seq",
+        "src",
+        "dst",
+        F.upper("call_type").alias("flco"),
+        "call_type",
+        "ran",
+        "start_sample",
+        "end_sample",
+        _duration(F.coalesce("start_sample", F.lit(0)), F.coalesce("end_sample", "start_sample", F.lit(0)), SAMPLE_RATE).alias("duration_s"),
+        "message_count",
+        F.coalesce("alias", empty).alias("alias"),
+        F.coalesce("end_type", F.lit("end_of_input")).alias("closed_by"),
+        F.coalesce("end_payload_hex", empty).alias("last_payload_hex"),
+        "close_seq",
+        *keep,
     )
+
+
+def nxdn_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float = WIDTH) -> DataFrame:
+    """Calls from VCALL, alias and release messages."""
+    scope = list(scope)
+    rows = nxdn_messages(df, scope)
     typ, seq = F.col("type"), F.col("seq")
     vcall, alias, release = typ == "NXDN_VCALL", typ == "NXDN_PROP_ALIAS", typ.isin(*NXDN_ENDS)
     rows = scan(
-        rows.where(vcall | alias | release), scope, "seq",
+        rows, scope, "seq",
         [
             before("_vcall", "max", F.when(vcall, seq)),
             before("_sid", "max", F.when(release, seq)),
@@ -266,26 +320,8 @@ def nxdn_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float =
     )
     names = assemble_alias(rows.where(alias), [*scope, "_sid"])
     out = calls.join(names, [*scope, "_sid"], "left")
-    empty = F.lit("")
-    return out.select(
-        *scope,
-        F.lit("NXDN").alias("protocol"),
-        F.lit("NXDN_CALL").alias("type"),
-        "start_seq",
-        "src",
-        "dst",
-        F.upper("call_type").alias("flco"),
-        "call_type",
-        "ran",
-        "start_sample",
-        "end_sample",
-        _duration(F.coalesce("start_sample", F.lit(0)), F.coalesce("end_sample", "start_sample", F.lit(0)), SAMPLE_RATE).alias("duration_s"),
-        "message_count",
-        F.coalesce("alias", empty).alias("alias"),
-        F.coalesce("_end.type", F.lit("end_of_input")).alias("closed_by"),
-        F.coalesce("_end.payload_hex", empty).alias("last_payload_hex"),
-        "close_seq",
-    )
+    out = out.withColumns({"end_type": F.col("_end.type"), "end_payload_hex": F.col("_end.payload_hex")})
+    return nxdn_call_columns(out, scope)
 
 
 # ---------------------------------------------------------------- TETRA
