@@ -51,6 +51,13 @@ def rate_from_name(path: Column) -> Column:
     return F.when(hz != "", hz.cast("double")).when(mhz != "", F.round(mhz.cast("double") * 1e6))
 
 
+def named_rate(path: str) -> float | None:
+    """``rate_from_name`` for one name."""
+    name = re.split(r"[/\\]", path)[-1]
+    hz, mhz = re.search(r"_([0-9]{4,9})[.]rawiq$", name), re.search(r"([0-9]+([.][0-9]+)?) *[mM][hH][zZ][.]rawiq$", name)
+    return float(hz[1]) if hz else float(round(float(mhz[1]) * 1e6)) if mhz else None
+
+
 # ------------------------------------------------------------ range reads
 
 
@@ -205,6 +212,27 @@ def capture_catalog(
     return files.mapInPandas(run, CATALOG)
 
 
+CHUNKS = (
+    "path string, channel_id long, sequence_number long, start_sample long, end_sample long, timestamp_ns long, "
+    "center_frequency_hz double, sample_rate_hz double, total_samples long, discontinuity boolean, dropped_samples long, "
+    "i array<float>, q array<float>"
+)
+
+
+def read_chunk(f, r, scale: float | None, channel_id: int) -> tuple:
+    """Chunk row for one planned range of an open recording."""
+    frame = int(r.frame_bytes)
+    f.seek(int(r.header_bytes) + int(r.start_sample) * frame)
+    raw = f.read(int(r.end_sample - r.start_sample) * frame)
+    x = _scalars(raw, r.dtype).reshape(-1, frame // WAV_BYTES[r.dtype])
+    by = float(scale if scale is not None else FULL_SCALE[r.dtype])
+    ns = int(round(r.start_sample / r.sample_rate_hz * 1e9))
+    return (
+        r.path, channel_id, r.sequence_number, r.start_sample, r.start_sample + len(x), ns, r.center_frequency_hz,
+        r.sample_rate_hz, r.total_samples, False, 0, (x[:, 0] / by).astype("float32"), (x[:, 1] / by).astype("float32"),
+    )
+
+
 def iq_chunks(
     captures: DataFrame, chunk_sec: float = 0.1, chunk_samples: int | None = None, scale: float | None = None,
     channel_id: int = 1, task_bytes: int = 128 << 20,
@@ -229,12 +257,7 @@ def iq_chunks(
         "path", "dtype", "header_bytes", "frame_bytes", "sample_rate_hz", "center_frequency_hz", "total_samples", "sequence_number",
         start.alias("start_sample"), F.least(start + F.col("_n"), F.col("total_samples")).alias("end_sample"),
     )
-    schema = (
-        "path string, channel_id long, sequence_number long, start_sample long, end_sample long, timestamp_ns long, "
-        "center_frequency_hz double, sample_rate_hz double, total_samples long, discontinuity boolean, dropped_samples long, "
-        "i array<float>, q array<float>"
-    )
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
 
     def read(batches):
         handles: dict = {}
@@ -243,17 +266,8 @@ def iq_chunks(
             for r in pdf.itertuples(index=False):
                 if r.path not in handles:
                     handles[r.path] = _open(r.path)
-                f, frame = handles[r.path], int(r.frame_bytes)
-                f.seek(int(r.header_bytes) + int(r.start_sample) * frame)
-                raw = f.read(int(r.end_sample - r.start_sample) * frame)
-                x = _scalars(raw, r.dtype).reshape(-1, frame // WAV_BYTES[r.dtype])
-                by = float(scale if scale is not None else FULL_SCALE[r.dtype])
-                ns = int(round(r.start_sample / r.sample_rate_hz * 1e9))
-                out.append(
-                    (r.path, channel_id, r.sequence_number, r.start_sample, r.start_sample + len(x), ns, r.center_frequency_hz,
-                     r.sample_rate_hz, r.total_samples, False, 0, (x[:, 0] / by).astype("float32"), (x[:, 1] / by).astype("float32"))
-                )
-                held += 8 * len(x)
+                out.append(read_chunk(handles[r.path], r, scale, channel_id))
+                held += 8 * len(out[-1][-1])
                 if held >= BATCH_BYTES:
                     yield pd.DataFrame(out, columns=names)
                     out, held = [], 0
@@ -264,7 +278,7 @@ def iq_chunks(
 
     planned = captures.where("is_valid").agg(F.sum(F.col("total_samples") * F.col("frame_bytes"))).first()[0] or 0
     tasks = max(captures.sparkSession.sparkContext.defaultParallelism, -(-int(planned) // task_bytes))
-    return plan.repartition(tasks, "path", "sequence_number").mapInPandas(read, schema)
+    return plan.repartition(tasks, "path", "sequence_number").mapInPandas(read, CHUNKS)
 
 
 # ------------------------------------------------------------ JSON sources
