@@ -160,7 +160,9 @@ def _decayed_sum(rows: DataFrame, keys: list[str], order: str, value: str, keep:
     Rows are cut into blocks.  Inside one, values are scaled up from the block's start, and
     the block is short enough for that to stay a double.  The sums at the block ends form the
     same problem with ``keep`` to the power of the block length, which is solved in the same
-    way; the third level has one row for each 10**8 or so updates and is folded directly.
+    way, level by level, until a block fades its predecessor by 1e-99 or more: then only the two
+    blocks before a row can be seen in a double.  A level has at most a row for each 512 of the one
+    below where that is not so yet, and no level has a window or list over a whole key.
     """
     if keep == 0:
         return rows.withColumn(name, F.col(value))
@@ -173,15 +175,17 @@ def _decayed_sum(rows: DataFrame, keys: list[str], order: str, value: str, keep:
     rows = rows.withColumn(own, F.sum(scaled).over(local) * F.pow(F.lit(keep), at))
     ends = rows.groupBy(*keys, blk).agg((F.sum(scaled) * F.pow(F.lit(keep), F.lit(block - 1))).alias(end))
     fade = keep**block
-    if level == 2:
-        w = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, 0)
-        steps = F.collect_list(F.struct(F.col(blk).alias("b"), F.col(end).alias("x"))).over(w)
-        weighted = F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + s["x"] * F.pow(F.lit(fade), F.col(blk) - s["b"]))
-        ends = ends.withColumn(total, weighted)
+    # what the blocks before have gathered, faded by the distance to this row
+    if fade < 1e-99 or level == 6:  # 512**7 updates are more than a bigint counts
+        near = F.array(
+            F.struct((F.col(blk) + 1).alias("b"), F.col(end).alias("x")),
+            F.struct((F.col(blk) + 2).alias("b"), (F.col(end) * fade).alias("x")),
+        )
+        seen = ends.select(*keys, F.inline(near)).groupBy(*keys, F.col("b").alias(blk))
+        carried = seen.agg(F.sum("x").alias(held))
     else:
         ends = _decayed_sum(ends, keys, blk, end, fade, total, level + 1)
-    # what the block before has gathered, faded by the distance to this row
-    carried = ends.select(*keys, (F.col(blk) + 1).alias(blk), F.col(total).alias(held))
+        carried = ends.select(*keys, (F.col(blk) + 1).alias(blk), F.col(total).alias(held))
     joined = rows.join(carried, [*keys, blk], "left")
     faded = F.coalesce(held, F.lit(0.0)) * F.pow(F.lit(keep), at + 1)
     return joined.withColumn(name, F.col(own) + faded).drop(own, held, blk)

@@ -251,14 +251,31 @@ def test_live_average_remembers_everything(spark):
 
     power = [float(i * 37 % 101) for i in range(1500)]
     df = spark.createDataFrame([(0, i, x) for i, x in enumerate(power)], "bin int, k bigint, power double")
-    for alpha in (0.002, 0.9, 1.0):
-        got = {r.k: r.average for r in S.live_average(df, ["bin"], "k", alpha).collect()}
+    for alpha in (0.0001, 0.002, 0.25, 0.9, 1.0):
+        live = S.live_average(df, ["bin"], "k", alpha)
+        got = {r.k: r.average for r in live.collect()}
         value = power[0]
         for i, x in enumerate(power):
             value = x if i == 0 else (1 - alpha) * value + alpha * x
             assert abs(got[i] - value) < 1e-9
 
 
+def test_live_average_gathers_no_key(spark):
+    """No list over a key at any level, and a long series still equals the sequential rule."""
+    from radiolake.operators import spectrum as S
+
+    df = spark.range(200_000).select(F.lit(0).alias("bin"), F.col("id").alias("k"), (F.col("id") * 37 % 101).cast("double").alias("power"))
+    for alpha in (0.00001, 0.9):
+        tree = S._decayed_sum(df, ["bin"], "k", "power", 1.0 - alpha, "y")
+        assert "collect_list" not in tree._jdf.queryExecution().toString()
+        last = tree.where("k IN (511, 512, 1024, 199999)").select("k", "y").collect()
+        want, y = {}, 0.0
+        for k in range(200_000):
+            y = (1.0 - alpha) * y + float(k * 37 % 101)
+            want[k] = y
+        assert len(last) == 4 and all(abs(r.y - want[r.k]) <= 1e-9 * want[r.k] for r in last)
+
+
 def test_window_with_a_gap_is_decoded_in_stretches(spark):
     import pandas as pd
 
