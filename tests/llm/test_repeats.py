@@ -37,6 +37,13 @@ def test_every_minimal_run_is_used():
     assert repeats.sentence_runs([30], 12, 2, 25) == {(0, 1)}
 
 
+def test_long_white_space_takes_linear_time():
+    blank = " \t" * 500_000
+    sentences, spaces = repeats.split_sentences(f"a{blank}b.{blank}\n{blank}c{blank}\n{blank}\nd")
+    assert sentences == [f"a{blank}b.", "c", "d"]
+    assert spaces == [f"{blank}\n{blank}", f"{blank}\n{blank}\n", ""]
+
+
 def test_equals_brute_force_and_catches_passages(spark):
     rng = random.Random(5)
     passage = prose(rng, 6)
