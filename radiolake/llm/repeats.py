@@ -25,7 +25,7 @@ from radiolake.session import persist_table
 
 # a sentence ends at a stop followed by white space, or with its line; a run of white space is
 # looked at from its start alone, so long ones take linear time
-_BREAK = re.compile(r"((?<=[.!?…。！？])\s+|(?<!\s)\s*\n\s*)")
+_BREAK = re.compile(r"(\s(?:(?<=[.!?…。！？]\s)\s*|(?<!\s\s)(?:(?<=\n)|\s*\n)\s*))")
 
 _RUNS = "h binary, doc_id bigint, th bigint, start int, n int"
 _RUNS_ARROW = pa.schema(
