@@ -198,24 +198,23 @@ class RollingReader(D.DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         try:
-            found = self._found()
+            found = list_files(self.options.path)
         except FileNotFoundError:
             found = []
         if not found:
             return self.initialOffset()
         path, size = found[-1]
-        return {"file": path, "files": len(found), "chunks": self._ready(path, size, self.options.complete)}
-
-    def _found(self) -> list[tuple[str, int]]:
-        """Recordings with their sizes in whole samples, as the last one may be being written."""
-        o, out = self.options.describe, []
-        for path, size in list_files(self.options.path):
-            if path.lower().endswith(".bvsp"):
-                size -= max(0, size - 112) % 4
-            elif not S._is_wav(path, size):
-                size -= max(0, size - o["header_bytes"]) % (2 * S.SCALAR_BYTES.get(o["dtype"], 1))
-            out.append((path, size))
-        return out
+        chunks = self._ready(path, self._whole(path, size), self.options.complete)
+        return {"file": path, "files": len(found), "chunks": chunks}
+
+    def _whole(self, path: str, size: int) -> int:
+        """Bytes of whole samples, as a recording may be being written."""
+        o = self.options.describe
+        if path.lower().endswith(".bvsp"):
+            return size - max(0, size - 112) % 4
+        if S._is_wav(path, size):
+            return size
+        return size - max(0, size - o["header_bytes"]) % (2 * S.SCALAR_BYTES.get(o["dtype"], 1))
 
     def _ready(self, path: str, size: int, ended: bool) -> int:
         """Chunks of a recording that will not change."""
@@ -225,12 +224,13 @@ class RollingReader(D.DataSourceStreamReader):
         return cap.chunks if ended else cap.total_samples // cap.n
 
     def partitions(self, start: dict, end: dict) -> Sequence[Share]:
-        found = [(p, n) for p, n in self._found() if p <= end["file"]]
+        found = [(p, n) for p, n in list_files(self.options.path) if p <= end["file"]]
         known = sum(p <= start["file"] for p, _ in found)
         if known != start["files"] or len(found) != end["files"]:
             raise ValueError(f"recordings appeared or went at or before {end['file']}, which the stream has passed")
         out = []
         for path, size in found[max(0, known - 1) :]:
+            size = self._whole(path, size)
             first = start["chunks"] if path == start["file"] else 0
             last = end["chunks"] if path == end["file"] else self._ready(path, size, True)
             cap = self.options.capture(path, size) if last > first else None
