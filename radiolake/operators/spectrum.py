@@ -8,11 +8,13 @@ over them are small.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from radiolake.functions.joins import interval_join
 from radiolake.functions.ordered import WIDTH, before, scan, settle, upto, with_lags
@@ -252,27 +254,42 @@ def local_peaks(psd: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where((x > F.col("_l")) & (x >= F.col("_r")) & (x >= F.col("threshold_db"))).drop("_l", "_r")
 
 
+LONG_CHAIN = 4096  # candidates of a chain that one row may hold
+
+
 def suppress_neighbours(
     candidates: DataFrame, scope: list[str], pos: str, score: str, min_distance: float, max_count: int | None = None,
-    width: float = WIDTH,
+    width: float = WIDTH, long_chain: int = LONG_CHAIN,
 ) -> DataFrame:
     """Greedy choice by falling ``score`` (earlier position first on a tie), skipping any
     candidate closer than ``min_distance`` to one already chosen.
 
     Candidates at least that far apart cannot touch each other, so the choice is made
     inside each chain of close ones; the optional cap is then a rank over what was chosen.
+    A chain of more than ``long_chain`` candidates is settled in rounds over blocks of it
+    (``settle_in_rounds``), with the same choice.
     """
     scope = list(scope)
     rows = scan(candidates, scope, pos, [before("_prev", "max", F.col(pos))], width)
     opens = F.col("_prev").isNull() | (F.col(pos) - F.col("_prev") >= min_distance)
     rows = settle(rows.withColumn("_opens", opens).drop("_prev"))
     rows = scan(rows, scope, pos, [upto("_chain", "max", F.when(F.col("_opens"), F.col(pos)))], width)
+    rows = settle(rows.select(*scope, F.col(pos), F.col(score), "_chain"))
+    chain = [*scope, "_chain"]
+    long = settle(rows.groupBy(*chain).count().where(F.col("count") > long_chain).drop("count"))
+    known = long.withColumnsRenamed({c: f"_k_{c}" for c in chain})
+    in_long = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in chain]
+    any_long = bool(long.head(1))
     item = F.struct((-F.col(score)).alias("s"), F.col(pos).alias("p"))
     chosen = (
-        rows.groupBy(*scope, "_chain")
+        (rows.join(known, in_long, "left_anti") if any_long else rows)
+        .groupBy(*chain)
         .agg(F.sort_array(F.collect_list(item)).alias("_c"))
         .select(*scope, F.explode(greedy_positions(F.col("_c"), min_distance)).alias(pos))
     )
+    if any_long:
+        rest = rows.join(known, in_long, "left_semi").drop("_chain")
+        chosen = chosen.unionByName(settle_in_rounds(rest, scope, pos, score, min_distance, long_chain))
     out = candidates.join(chosen, [*scope, pos], "left_semi")
     if max_count is None:
         return out
@@ -280,6 +297,75 @@ def suppress_neighbours(
     return out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_count).drop("_rn")
 
 
+def settle_in_rounds(
+    candidates: DataFrame, scope: list[str], pos: str, score: str, min_distance: float, block_rows: int = LONG_CHAIN
+) -> DataFrame:
+    """(scope, pos) of the greedy choice, block by block at the same time.
+
+    Each round looks at a block of positions with the candidates that can touch it on either
+    side.  A candidate better than all open ones close to it is chosen, one close to a chosen one
+    goes, and both hold for good; what hangs on an open candidate outside the block waits for
+    the next round.  Only open candidates are written again, with what was chosen last.
+    Every round settles at least the best open candidate of each chain, and a run of ever
+    better candidates costs one round for each block that it crosses.  A block is at least two
+    distances wide, so what lies closer together than that is looked at in one piece.  Rows with
+    a null in scope or position are left out; a null score is the best.
+    """
+    scope = list(scope)
+    cell = F.floor(F.col(pos) / float(min_distance))
+    held = candidates.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(cell).alias("cells")).first()
+    # about block_rows candidates in a block
+    size = float(min_distance) * max(2, block_rows * held["cells"] // max(1, held["rows"]))
+    value = F.coalesce(F.col(score).cast("double"), F.lit(math.inf))
+    todo = candidates.dropna(subset=[*scope, pos]).select(
+        *scope, F.col(pos).alias("_p"), value.alias("_s"), F.lit(OPEN).alias("_state")
+    )
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in todo.schema])
+
+    def look(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = (pdf["_own"] == pdf["_block"]).to_numpy()
+        state = _settle_block(pdf["_p"].to_numpy(), pdf["_s"].to_numpy(), pdf["_state"].to_numpy(), own, min_distance)
+        return pdf.assign(_state=state).loc[own, schema.names]
+
+    found = candidates.select(*scope, pos).limit(0)
+    while True:
+        block_at = [F.floor((F.col("_p") + d) / size).cast("bigint") for d in (0, -min_distance, min_distance)]
+        seen = todo.withColumn("_own", block_at[0]).withColumn("_block", F.explode(F.array_distinct(F.array(*block_at))))
+        after = settle(seen.groupBy(*scope, "_block").applyInPandas(look, schema))
+        found = found.unionByName(after.where(F.col("_state") == CHOSEN).select(*scope, F.col("_p").alias(pos)))
+        # a chosen candidate is shown once more, to those close to it in other blocks
+        known = F.when(F.col("_state") == CHOSEN, KNOWN).otherwise(OPEN)
+        todo = after.where(F.col("_state").isin(OPEN, CHOSEN)).withColumn("_state", known)
+        if not after.where(F.col("_state") == OPEN).head(1):
+            return found
+
+
+OPEN, CHOSEN, GONE, KNOWN = range(4)
+
+
+def _settle_block(pos, score, state, own, distance):
+    """States after one look at a block (rows marked ``own``) and what can touch it."""
+    state = state.copy()
+    chosen = sorted(pos[state == KNOWN].tolist())
+    waiting: list = []
+
+    def close(places, p):
+        k = bisect_left(places, p)
+        return any(abs(places[j] - p) < distance for j in (k - 1, k) if 0 <= j < len(places))
+
+    for j in np.lexsort((pos, -score)):
+        if state[j] == OPEN:
+            p = pos[j].item()
+            if close(chosen, p):
+                state[j] = GONE
+            elif own[j] and not close(waiting, p):
+                state[j] = CHOSEN
+                insort(chosen, p)
+            else:
+                insort(waiting, p)
+    return state
+
+
 def greedy_positions(ranked: Column, min_distance: float) -> Column:
     """Positions ``p`` of a ranked array that survive neighbour suppression."""
     return F.aggregate(

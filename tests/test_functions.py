@@ -223,6 +223,29 @@ def test_chain_merge(spark):
     assert sorted(r.seq for r in chain_merge(df, ["channel_id"], 60).collect()) == sorted(k[1] for k in kept)
 
 
+@pytest.mark.parametrize("shape", ["random", "ramp", "ties", "fractions"])
+def test_long_chains_are_settled_in_rounds(spark, shape):
+    """Chains cut to small blocks give the choice of the plain greedy walk."""
+    from radiolake.operators.spectrum import suppress_neighbours
+
+    rng = random.Random(5)
+    score = {"random": lambda p: rng.random(), "ramp": lambda p: p / 10, "ties": lambda p: float(p % 2), "fractions": lambda p: rng.random()}[shape]
+    step = 0.7 if shape == "fractions" else 1
+    places = [-300, *sorted(rng.sample(range(-250, 900), 500)), 2000]
+    rows = [(ch, p * step, score(p)) for ch in (1, 2) for p in places]
+    want = []
+    for ch in (1, 2):
+        kept = []
+        for _, p, _ in sorted((r for r in rows if r[0] == ch), key=lambda r: (-r[2], r[1])):
+            if all(abs(p - q) >= 7 for q in kept):
+                kept.append(p)
+        want += [(ch, p) for p in kept]
+    df = spark.createDataFrame(rows, f"channel_id long, pos {'double' if step < 1 else 'long'}, level double")
+    for long_chain in (20, 4096):
+        got = suppress_neighbours(df, ["channel_id"], "pos", "level", 7, long_chain=long_chain)
+        assert sorted((r.channel_id, r.pos) for r in got.collect()) == sorted(want)
+
+
 def test_unseen_ledger(spark):
     """Three new, none on repeat, then one; a forgotten bucket is new again."""
     from radiolake.operators.dedup import unseen
