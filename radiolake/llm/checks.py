@@ -113,18 +113,19 @@ q AS (SELECT *, regexp_matches(line, {quoted}) AS quoted, coalesce(lead(regexp_m
 own AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT quoted AND NOT (next_quoted AND regexp_matches(line, {_text(_ATTRIBUTION)}))), '') AS body
   FROM q GROUP BY r HAVING bool_or(quoted)),
 b AS (SELECT m.*, CASE WHEN own.r IS NULL THEN coalesce(text, '') ELSE trim(own.body, ' ' || chr(9) || chr(13) || chr(10)) END AS body FROM m LEFT JOIN own USING (r)),
-o AS (SELECT conv_id, u, min(turn) AS parent FROM (
-    SELECT conv_id, turn, {normal('x')} AS u FROM (
+o AS (SELECT *, min(parent) OVER (PARTITION BY conv_id, u) AS first FROM (
+    SELECT DISTINCT conv_id, turn AS parent, {normal('x')} AS u FROM (
       SELECT conv_id, turn, unnest(list_distinct([body] || regexp_split_to_array(body, '\n\s*\n') || string_split(body, chr(10)))) AS x FROM b WHERE turn IS NOT NULL))
-  WHERE u <> '' GROUP BY conv_id, u),
+  WHERE u <> ''),
 c AS (SELECT *, level IS DISTINCT FROM lag(level) OVER (PARTITION BY r ORDER BY i) AS change FROM q),
 g AS (SELECT *, sum(change::INT) OVER (PARTITION BY r ORDER BY i) AS passage FROM c),
 p AS (SELECT DISTINCT conv_id, turn, text, level, passage, t FROM (
     SELECT conv_id, turn, text, level, passage, string_agg(regexp_replace(line, {marks}, ''), chr(10) ORDER BY i) AS t FROM g WHERE level > 0 GROUP BY r, conv_id, turn, text, level, passage)),
 u AS (SELECT conv_id, turn, text, level, {normal('x')} AS u FROM (
-    SELECT conv_id, turn, text, level, passage, unnest(list_distinct([t] || string_split(t, chr(10)))) AS x FROM p)),
-k AS (SELECT u.conv_id, turn, level, parent, sum(len(string_split(u, ' '))) AS words FROM u JOIN o USING (conv_id, u) WHERE u <> '' AND parent < turn GROUP BY u.conv_id, turn, text, level, parent),
-best AS (SELECT conv_id, turn, arg_min(parent, struct_pack(a := level, b := -words, c := -parent)) AS parent FROM k GROUP BY conv_id, turn),
+    SELECT conv_id, turn, text, level, passage, unnest(list_distinct([t] || regexp_split_to_array(t, '\n\s*\n') || string_split(t, chr(10)))) AS x FROM p)),
+k AS (SELECT u.conv_id, turn, level, parent, sum(len(string_split(u, ' '))) AS words, sum(CASE WHEN parent = first THEN len(string_split(u, ' ')) ELSE 0 END) AS first_words
+  FROM u JOIN o USING (conv_id, u) WHERE u <> '' AND parent < turn GROUP BY u.conv_id, turn, text, level, parent),
+best AS (SELECT conv_id, turn, arg_min(parent, struct_pack(a := level, b := -words, c := -first_words, d := -parent)) AS parent FROM k GROUP BY conv_id, turn),
 w AS (SELECT DISTINCT conv_id, turn, turn AS root, [turn] AS path FROM m ANTI JOIN best USING (conv_id, turn) WHERE turn IS NOT NULL AND conv_id IS NOT NULL
   UNION ALL SELECT best.conv_id, best.turn, w.root, list_append(w.path, best.turn) FROM best JOIN w ON best.conv_id = w.conv_id AND best.parent = w.turn)
 SELECT b.conv_id, b.turn, role, body, best.parent AS parent_turn, coalesce(w.root, b.turn) AS root_turn,

@@ -7,10 +7,11 @@ paragraph or a line.  The message that shares most quoted words at the lowest le
 parent.  Paths from the root are built by doubling, and sort the messages of a conversation in
 reply order.
 
-A text held by more than ``max_holders`` earlier messages counts only for those that another
-text quoted at the same level has named, and for the first one where none has named any.  Joins
-are on (conversation, hash) against one row for each key, or on the message, so a huge
-conversation or a frequent line is spread over tasks and never pairs with itself.
+Texts that few messages hold are joined to all their holders.  For frequent ones, messages that
+quote the same set of them share one list of scored holders, and the best holder before a
+message is a running maximum over that list; a holder that a rare text names looks up its score
+there.  The result is that of scoring every holder.  No window or list goes over a conversation:
+the running maximum is a blockwise scan.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from radiolake.functions.ordered import before, scan
 from radiolake.session import persist_table
 
 _MARKS = r"^\s{0,3}(?:>\s?)+"
@@ -71,28 +73,21 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
 
     ``messages`` has conv_id, turn, th and text.
     """
-    lines = messages.where(F.col("text").rlike(_QUOTED)).select("conv_id", "turn", "th", F.split("text", "\n").alias("lines"))
-    marked = F.transform(
-        "lines", lambda x, i: F.struct(i.alias("i"), quote_level(x).alias("level"), unquoted_line(x).alias("line"))
+    message = ["conv_id", "turn", "th"]
+    lines = (
+        messages.where(F.col("text").rlike(_QUOTED))
+        .dropDuplicates(message)
+        .select(*message, F.posexplode(F.split("text", "\n")).alias("i", "line"))
+        .select(*message, "i", quote_level(F.col("line")).alias("level"), unquoted_line(F.col("line")).alias("line"))
+        .where("level > 0")
     )
-    lines = lines.select("conv_id", "turn", "th", F.explode(F.array(marked)).alias("marked"))
-    # a passage is named by its first line: the last change of level at or before the line
-    start = F.transform(
-        "marked",
-        lambda x, i: F.when(F.coalesce(F.get(F.col("marked"), i - 1)["level"], F.lit(-1)) != x["level"], i),
-    )
-    rows = lines.select("conv_id", "turn", "th", "marked", start.alias("start"))
-    running = F.aggregate(
-        "start",
-        F.array().cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(x, F.element_at(acc, -1)))),
-    )
-    rows = rows.select("conv_id", "turn", "th", F.explode(F.arrays_zip("marked", running.alias("passage"))).alias("x"))
+    # within a run of one level, line numbers and ranks grow alike
+    rank = F.row_number().over(Window.partitionBy(*message, "level").orderBy("i"))
     return (
-        rows.where("x.marked.level > 0")
-        .groupBy("conv_id", "turn", "th", F.col("x.marked.level").alias("level"), F.col("x.passage").alias("passage"))
-        .agg(F.sort_array(F.collect_list(F.struct("x.marked.i", "x.marked.line"))).alias("lines"))
-        .select("conv_id", "turn", "th", "level", "passage", F.array_join(F.col("lines.line"), "\n").alias("text"))
+        lines.withColumn("run", F.col("i") - rank)
+        .groupBy(*message, "level", "run")
+        .agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("lines"))
+        .select(*message, "level", F.col("lines.i")[0].alias("passage"), F.array_join(F.col("lines.line"), "\n").alias("text"))
     )
 
 
@@ -101,49 +96,62 @@ def _parts(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, "\n")))
 
 
-def quote_links(messages: DataFrame, max_holders: int = 32) -> DataFrame:
+def quote_links(messages: DataFrame, often: int = 32) -> DataFrame:
     """(conv_id, turn, th, level, parent_turn, words, first_words): earlier messages a message quotes.
 
-    first_words counts the words that no message before parent_turn holds.
+    words counts the quoted words that parent_turn holds, first_words those that no message
+    before it holds.  Every holder of a text that at most ``often`` messages hold is listed, and the
+    best one of all (words, first_words, later turn) always is; ``often`` changes the work alone.
     """
     body = messages.select("conv_id", "turn", own_text(F.col("text")).alias("text"))
     units = _hashed(body.where("turn IS NOT NULL"), ["conv_id", "turn"], _parts(F.col("text")))
     units = persist_table(units.select("conv_id", "turn", "h").distinct(), "units")
-    rank = F.row_number().over(Window.partitionBy("conv_id", "h").orderBy("turn"))
-    originals = (
-        units.withColumn("rank", rank)
-        .where(F.col("rank") <= max_holders + 1)
-        .groupBy("conv_id", "h")
-        .agg(F.sort_array(F.collect_list(F.col("turn"))).alias("turns"))
-    )
+    held = units.withColumnRenamed("turn", "parent_turn")
+    holders = units.groupBy("conv_id", "h").agg(F.min("turn").alias("first"), F.count(F.lit(1)).alias("n"))
     level = ["conv_id", "turn", "th", "level"]
     quoted = _hashed(quoted_passages(messages), level, _parts(F.col("text")))
-    quoted = persist_table(quoted.groupBy(*level, "h").agg(F.sum("words").alias("words")), "quoted")
-    matched = quoted.join(originals, ["conv_id", "h"]).where(F.get("turns", F.lit(0)) < F.col("turn"))
-    # of a text with too many holders the first ones alone are listed
-    hot = F.coalesce(F.get("turns", F.lit(max_holders)) < F.col("turn"), F.lit(False))
-    matched = persist_table(matched.withColumn("hot", hot), "matched")
-
-    def credited(rows: DataFrame) -> DataFrame:
-        first = F.when(F.col("parent_turn") == F.get("turns", F.lit(0)), F.col("words")).otherwise(0)
-        return rows.groupBy(*level, "parent_turn").agg(F.sum("words").alias("words"), F.sum(first).alias("first_words"))
-
-    holders = F.filter("turns", lambda x: x < F.col("turn"))
-    named = credited(matched.where("NOT hot").withColumn("parent_turn", F.explode(holders)))
-    often = matched.where("hot")
-    if not often.head(1):
+    quoted = quoted.groupBy(*level, "h").agg(F.sum("words").alias("words"))
+    matched = quoted.join(holders, ["conv_id", "h"]).where(F.col("first") < F.col("turn"))
+    matched = persist_table(matched.withColumn("hot", F.col("n") > often).drop("n"), "matched")
+    scores = [
+        F.sum("words").alias("words"),
+        F.sum(F.when(F.col("parent_turn") == F.col("first"), F.col("words")).otherwise(0)).alias("first_words"),
+    ]
+
+    rare = matched.where("NOT hot").join(held, ["conv_id", "h"]).where(F.col("parent_turn") < F.col("turn"))
+    named = rare.groupBy(*level, "parent_turn").agg(*scores)
+    frequent = matched.where("hot")
+    if not frequent.head(1):
         return named
-    named = persist_table(named, "named")
-    held = often.join(named.select(*level, "parent_turn"), level).join(
-        units.select("conv_id", "h", F.col("turn").alias("parent_turn")), ["conv_id", "h", "parent_turn"]
-    )
-    alone = often.join(named.select(*level).distinct(), level, "left_anti")
-    alone = alone.withColumn("parent_turn", F.get("turns", F.lit(0)))
-    links = named.unionByName(credited(held)).unionByName(credited(alone))
-    return links.groupBy(*level, "parent_turn").agg(
-        F.sum("words").alias("words"), F.sum("first_words").alias("first_words")
+
+    # messages with the same frequent texts share the scores of all that hold any of them
+    texts = F.sort_array(F.collect_list(F.struct("h", "words", "first")))
+    sets = frequent.groupBy(*level).agg(texts.alias("texts"))
+    sets = persist_table(sets.withColumn("set_id", F.sha2(F.to_json("texts"), 256)), "quoted-sets")
+    each = sets.groupBy("conv_id", "set_id").agg(F.any_value("texts").alias("texts"))
+    each = each.select("conv_id", "set_id", F.inline("texts"))
+    scored = each.join(held, ["conv_id", "h"]).groupBy("conv_id", "set_id", "parent_turn").agg(*scores)
+    scored = persist_table(scored, "set-scores")
+    sets = sets.drop("texts")
+
+    more = scored.withColumnsRenamed({"words": "_words", "first_words": "_first"})
+    both = named.join(sets, level, "left").join(more, ["conv_id", "set_id", "parent_turn"], "left")
+    both = both.select(
+        *level,
+        "parent_turn",
+        (F.col("words") + F.coalesce("_words", F.lit(0))).alias("words"),
+        (F.col("first_words") + F.coalesce("_first", F.lit(0))).alias("first_words"),
     )
 
+    item = F.struct("words", "first_words", "parent_turn")
+    asked = sets.select("conv_id", "set_id", F.col("turn").alias("at")).distinct()
+    line = scored.select("conv_id", "set_id", F.col("parent_turn").alias("at"), F.lit(1).alias("holds"), item.alias("item"))
+    line = line.unionByName(asked.withColumn("holds", F.lit(0)), allowMissingColumns=True)
+    line = scan(line, ["conv_id", "set_id"], ["at", "holds"], [before("best", "max", F.col("item"))])
+    line = line.where((F.col("holds") == 0) & F.col("best").isNotNull()).select("conv_id", "set_id", F.col("at").alias("turn"), "best")
+    top = sets.join(line, ["conv_id", "set_id", "turn"])
+    return both.unionByName(top.select(*level, "best.parent_turn", "best.words", "best.first_words"))
+
 
 def reply_paths(replies: DataFrame) -> DataFrame:
     """(conv_id, turn, root_turn, path) for (conv_id, turn, parent_turn) with parent_turn < turn;

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from radiolake.llm import quotes
@@ -71,19 +74,26 @@ def test_empty_table_and_clashing_columns(spark):
     assert quotes.reply_order(clash).count() == len(MAIL)
 
 
-def test_sql_check_agrees_on_mail(spark):
+def by_sql(rows):
     import duckdb
     import pandas as pd
 
     from radiolake.llm.checks import reply_sql
 
-    rows = [r for r in MAIL if r[1] is None or r[0] is not None]
     conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841
     conversations["turn"] = conversations["turn"].astype("Int32")
-    expected = sorted(map(str, duckdb.sql(reply_sql()).fetchall()))
+    return sorted(map(str, duckdb.sql(reply_sql()).fetchall()))
+
+
+def by_spark(spark, rows):
     got = quotes.reply_order(spark.createDataFrame(rows, SCHEMA))
     got = got.withColumn("reply_path", F.array_join(F.col("reply_path").cast("array<string>"), "/"))
-    assert sorted(str(tuple(r)) for r in got.collect()) == expected
+    return sorted(str(tuple(r)) for r in got.collect())
+
+
+def test_sql_check_agrees_on_mail(spark):
+    rows = [r for r in MAIL if r[1] is None or r[0] is not None]
+    assert by_spark(spark, rows) == by_sql(rows)
 
 
 SIGNATURE = "Control room north, all calls are recorded"
@@ -110,3 +120,49 @@ def test_very_frequent_lines(spark):
     rows += [(1, 52, "u", "Never mind."), (1, 53, "u", f"Never mind.\n{SIGNATURE}"), (1, 54, "u", f"> Never mind.\n> {SIGNATURE}")]
     got = ordered(spark, rows)
     assert [got[1, i, "u"].parent_turn for i in (50, 51, 54)] == [45, 0, 53]
+
+
+def chatter(seed, n=140):
+    """Messages of frequent and rare lines that quote lines, paragraphs and whole messages at some levels."""
+    rng = random.Random(seed)
+    lines = [f"Line {'very ' * (k % 4)}much heard {k}" for k in range(6)]
+    rows = []
+    for conv in (1, 2):
+        said = []
+        for turn in range(n):
+            own = rng.sample(lines, rng.randint(1, 3)) + [f"Only {turn % 50} says so."] * (turn % 3 == 0)
+            quoted = []
+            for depth in range(1, 1 + rng.randint(0, 2)):
+                pick = rng.sample(lines, rng.randint(1, 3)) if rng.random() < 0.6 or not said else rng.choice(said).split("\n")
+                quoted += [">" * depth + " " + x for x in pick]
+            said.append("\n".join(own) if turn % 4 else "\n\n".join(own))
+            rows.append((conv, turn, "u", "\n".join(quoted + [said[-1]])))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_frequent_texts_are_scored_like_rare_ones(spark, seed):
+    rows = chatter(seed)
+    assert by_spark(spark, rows) == by_sql(rows)
+    messages = spark.createDataFrame(rows, SCHEMA).withColumn("th", F.xxhash64("text"))
+    best = {}
+    for often in (0, 3, 10**6):
+        links = quotes.quote_links(messages.drop("role"), often)
+        order = F.struct("level", -F.col("words"), -F.col("first_words"), -F.col("parent_turn"))
+        best[often] = sorted(map(tuple, links.groupBy("conv_id", "turn").agg(F.min(order)).collect()))
+    assert best[0] == best[3] == best[10**6] and len(best[0]) > 80
+
+
+def test_two_frequent_lines_that_one_message_holds_together(spark):
+    one, other = "All stations stand by", "This is the control room of the north speaking"
+    rows = [(1, i, "u", one if i % 2 else other) for i in range(90)]
+    rows[60] = (1, 60, "u", f"{one}\nnow.\n{other}")
+    rows += [(1, 90, "u", f"> {one}\nYes?\n> {other}\nReady."), (1, 91, "u", f"> {one}\nYes?")]
+    got = ordered(spark, rows)
+    assert (got[1, 90, "u"].parent_turn, got[1, 91, "u"].parent_turn) == (60, 1)
+
+
+def test_very_long_message(spark):
+    text = "\n".join(f"> line {k}" for k in range(30000)) + "\nok"
+    got = ordered(spark, [(1, 0, "u", "line 29999"), (1, 1, "u", text), (1, 1, "u", text)])
+    assert got[1, 1, "u"].parent_turn == 0 and got[1, 1, "u"].body == "ok"
