@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from radiolake.llm.licenses import COPYRIGHT_LINE, EQUIVALENT, NOTICES
+from radiolake.llm.licenses import COPYRIGHT_LINE, DIGESTS, EQUIVALENT, NOTICES
 from radiolake.llm.quality import CHARS, CLASSES, COMMON_WORDS, N_WORDS
 from radiolake.llm.quotes import _ATTRIBUTION
 
@@ -11,30 +11,39 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _lines(column: str) -> str:
-    """Canonical lines of a text, as a list."""
+def _canonical(column: str) -> str:
+    """Canonical text with its line breaks."""
     out = f"regexp_replace(lower(coalesce({column}, '')), {_text(COPYRIGHT_LINE)}, '', 'g')"
     for pattern, plain in EQUIVALENT:
         out = f"regexp_replace({out}, {_text(pattern)}, {_text(plain.replace('$', chr(92)))}, 'g')"
-    out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
-    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+    return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+
+
+def _lines(canonical: str) -> str:
+    """Canonical lines of a text, as a list."""
+    return f"list_filter(list_transform(string_split({canonical}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
 
 
 def license_sql() -> str:
     known = ", ".join(f"({_text(i)}, {_text(t)})" for i, t in NOTICES)
+    whole = ", ".join(f"({_text(i)}, {_text(g)})" for i, g in DIGESTS)
     return f"""
 WITH k AS (
-  SELECT c, min(i) AS license_id
-  FROM (SELECT i, array_to_string({_lines('t')}, ' ') AS c FROM (VALUES {known}) AS v(i, t))
-  WHERE c <> '' GROUP BY c),
-d AS (SELECT DISTINCT doc_id, text, {_lines('text')} AS l FROM documents),
+  SELECT g, min(i) AS license_id
+  FROM (SELECT i, sha256(array_to_string({_lines(_canonical('t'))}, ' ')) AS g FROM (VALUES {known}) AS v(i, t)
+    UNION ALL SELECT * FROM (VALUES {whole}) AS v(i, g))
+  GROUP BY g),
+t AS (SELECT DISTINCT doc_id, text, {_canonical('text')} AS c FROM documents),
+d AS (SELECT doc_id, text, {_lines('c')} AS l,
+    list_filter(list_transform(regexp_split_to_array(c, '\\n *\\n'), lambda x: trim(x, ' ' || chr(10))), lambda x: contains(x, chr(10))) AS p FROM t),
 u AS (
-  SELECT doc_id, text, FALSE AS whole, unnest(list_distinct(l)) AS c FROM d
-  UNION ALL SELECT doc_id, text, TRUE, array_to_string(l, ' ') FROM d),
+  SELECT doc_id, text, 'line' AS kind, sha256(unnest(list_distinct(l))) AS g FROM d
+  UNION ALL SELECT doc_id, text, 'paragraph', sha256(regexp_replace(unnest(p), ' *\\n *', ' ', 'g')) FROM d
+  UNION ALL SELECT doc_id, text, 'whole', sha256(array_to_string(l, ' ')) FROM d WHERE len(l) > 0),
 m AS (
-  SELECT doc_id, text, max(license_id) FILTER (whole) AS whole_license,
-    array_to_string(list_sort(list(DISTINCT license_id)), ',') AS license_ids, count(DISTINCT c) FILTER (NOT whole) AS n_lines
-  FROM u JOIN k USING (c) GROUP BY doc_id, text)
+  SELECT doc_id, text, max(license_id) FILTER (kind = 'whole') AS whole_license,
+    array_to_string(list_sort(list(DISTINCT license_id)), ',') AS license_ids, count(DISTINCT g) FILTER (kind = 'line') AS n_lines
+  FROM u JOIN k USING (g) GROUP BY doc_id, text)
 SELECT d.doc_id, whole_license, coalesce(license_ids, '') AS license_ids, coalesce(n_lines, 0) AS n_lines
 FROM d LEFT JOIN m ON d.doc_id IS NOT DISTINCT FROM m.doc_id AND d.text IS NOT DISTINCT FROM m.text
 """

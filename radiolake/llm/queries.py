@@ -74,7 +74,7 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that each document, or a line of it, is by canonical digest."""
     docs = table(spark, sf_dir, "documents")
-    return licenses.scan(docs, licenses.known_notices(spark), small=True).select(
+    return licenses.scan(docs, licenses.known_digests(spark), small=True).select(
         "doc_id", "whole_license", F.array_join("license_ids", ",").alias("license_ids"), "n_lines"
     )
 
