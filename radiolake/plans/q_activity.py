@@ -145,7 +145,8 @@ def _(v):
     return A.decode_ranges(A.epochs(_detected(v)), 24000).select("channel_id", "epoch_id", "decode_start")
 
 
-# ---- envelope: each chunk's level as one 1 ms bucket of its channel
+# ---- envelope: each chunk's level as one 1 ms bucket of its channel; 1e-12 is added before the
+# logarithm, as in ``envelope``, so that a silent bucket is one of -120 dB
 
 WCFG = A.WindowConfig(
     merge_gap_sec=0.002, window_sec=0.030, overlap_sec=0.006, min_window_sec=0.004, pre_pad_sec=0.002, post_pad_sec=0.003,
@@ -156,7 +157,7 @@ RATE = 48000.0
 
 def _env(v):
     return v.chunks.select(
-        "channel_id", (F.col("seq") % 4096 + 1).alias("bucket"), (F.lit(10.0) * F.log10(F.col("value"))).alias("power_db")
+        "channel_id", (F.col("seq") % 4096 + 1).alias("bucket"), (F.lit(10.0) * F.log10(F.col("value") + 1e-12)).alias("power_db")
     )
 
 
@@ -165,15 +166,17 @@ def _captures(v):
 
 
 ENV_SQL = """
-  env AS (SELECT channel_id, seq % 4096 + 1 AS bucket, 10 * log10(value) AS p FROM v_chunks),
+  env AS (SELECT channel_id, seq % 4096 + 1 AS bucket, 10 * log10(value + 1e-12) AS p FROM v_chunks),
   srt AS (SELECT channel_id, list(p ORDER BY p) AS l, count(*) AS n FROM env GROUP BY 1),
-  pos AS (SELECT *, n * 0.2e0 + 0.5 AS x, n * 0.95e0 + 0.5 AS y FROM srt),
-  q AS (SELECT channel_id, n, l[CAST(floor(x) AS INT)] + (l[CAST(floor(x) AS INT) + 1] - l[CAST(floor(x) AS INT)]) * (x - floor(x)) AS floor_db,
-     l[CAST(floor(y) AS INT)] + (l[CAST(floor(y) AS INT) + 1] - l[CAST(floor(y) AS INT)]) * (y - floor(y)) AS top_db FROM pos),
+  pos AS (SELECT *, least(greatest(n * 0.2e0 + 0.5, 1), n) AS x, least(greatest(n * 0.95e0 + 0.5, 1), n) AS y FROM srt),
+  q AS (SELECT channel_id, n, l[CAST(floor(x) AS INT)] + (l[CAST(ceil(x) AS INT)] - l[CAST(floor(x) AS INT)]) * (x - floor(x)) AS floor_db,
+     l[CAST(floor(y) AS INT)] + (l[CAST(ceil(y) AS INT)] - l[CAST(floor(y) AS INT)]) * (y - floor(y)) AS top_db FROM pos),
   thr AS (SELECT *, greatest(floor_db + 8, floor_db + 0.35e0 * greatest(top_db - floor_db, 0)) AS t FROM q),
   act AS (SELECT env.*, p > t AS a, thr.t AS threshold_db FROM env JOIN thr USING (channel_id)),
   isl AS (SELECT *, bucket - row_number() OVER (PARTITION BY channel_id, a ORDER BY bucket) AS isl FROM act),
-  runs AS (SELECT channel_id, min(bucket) AS run_start, max(bucket) AS run_end, avg(p) AS mean_db, count(*) AS length FROM isl WHERE a GROUP BY channel_id, isl)"""
+  runs AS (SELECT channel_id, min(bucket) AS run_start, max(bucket) AS run_end, avg(p) AS mean_db, count(*) AS length FROM isl WHERE a GROUP BY channel_id, isl),
+  md AS (SELECT channel_id, count(*) AS buckets, CASE WHEN count(*) < 4 THEN 'short' WHEN count(*) FILTER (a) < 3 OR count(*) FILTER (a) / count(*) > 0.85e0
+     THEN 'continuous_or_uncertain' ELSE 'threshold' END AS cap_mode FROM act GROUP BY 1)"""
 
 
 @query(
@@ -214,17 +217,18 @@ WIN_SQL = (
     MERGE_SQL
     + """,
   tot AS (SELECT channel_id, count(*) * 48 + 20 AS total FROM v_chunks GROUP BY 1),
-  sp AS (SELECT channel_id, merged_start, merged_end, greatest(1, (merged_start - 1) * 48 + 1 - 96) AS s0, least(total, merged_end * 48 + 144) AS e0
-    FROM merged JOIN tot USING (channel_id)),
+  sp AS (SELECT channel_id, merged_start, merged_end, greatest(1, (merged_start - 1) * 48 + 1 - 96) AS s0, least(total, merged_end * 48 + 144) AS e0, 'active_run' AS mode
+      FROM merged JOIN tot USING (channel_id) JOIN md USING (channel_id) WHERE cap_mode = 'threshold'
+    UNION ALL SELECT channel_id, 1, CASE WHEN cap_mode = 'short' THEN 1 ELSE buckets END, 1, total, cap_mode FROM md JOIN tot USING (channel_id) WHERE cap_mode <> 'threshold'),
   cut AS (SELECT *, i + 1 AS split_index, s0 + i * 1152 AS s, least(e0, s0 + i * 1152 + 1439) AS e
-    FROM sp, LATERAL (SELECT unnest(range(0, 1 + greatest(0, CAST(ceil((e0 - s0 + 1 - 1440) / 1152) AS BIGINT)))) AS i)),
+    FROM sp, LATERAL (SELECT unnest(range(0, 1 + greatest(0, CAST(ceil((e0 - s0 + 1 - 1440) / 1152) AS BIGINT)))) AS i) WHERE e0 >= s0),
   tail AS (SELECT *, e - s + 1 < 192 AND split_index > 1 AS drop_me, lead(e - s + 1 < 192) OVER (PARTITION BY channel_id, merged_start ORDER BY split_index) AS absorbs FROM cut),
   win AS (SELECT channel_id, merged_start AS run_start, merged_end AS run_end, split_index, s AS start_sample,
-    CASE WHEN absorbs THEN e0 ELSE e END AS end_sample FROM tail WHERE NOT drop_me)"""
+    CASE WHEN absorbs THEN e0 ELSE e END AS end_sample, mode FROM tail WHERE NOT drop_me)"""
 )
 
 
-@query("act13_scan_windows", WIN_SQL + " SELECT *, 'active_run' AS mode FROM win")
+@query("act13_scan_windows", WIN_SQL + " SELECT * FROM win")
 def _(v):
     return A.scan_windows(_env(v), _captures(v), ["channel_id"], RATE, WCFG).select(
         "channel_id", "run_start", "run_end", "split_index", "start_sample", "end_sample", "mode"
@@ -270,11 +274,14 @@ def _(v):
     "act16_best_window",
     ENV_SQL
     + """, tot AS (SELECT channel_id, count(*) * 48 + 20 AS total FROM v_chunks GROUP BY 1),
-      b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY mean_db + 0.05e0 * length DESC, run_start) AS rn FROM runs) WHERE rn = 1),
+      b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY round(mean_db + 0.05e0 * length, 9) DESC, run_start) AS rn FROM runs) WHERE rn = 1),
       p AS (SELECT channel_id, total, greatest(1, (run_start - 1) * 48 + 1 - 48) AS s, least(total, run_end * 48 + 48) AS e FROM b JOIN tot USING (channel_id)),
       c AS (SELECT *, e - s + 1 > 288 AS long, greatest(1, CAST(round((s + e) / 2) AS BIGINT) - 144) AS s1 FROM p)
-      SELECT channel_id, 'bursty_active' AS mode, CASE WHEN long THEN s1 ELSE s END AS start_sample,
-        CASE WHEN long THEN least(total, s1 + 287) ELSE e END AS end_sample FROM c""",
+      SELECT channel_id, CASE WHEN cap_mode = 'threshold' THEN 'bursty_active' ELSE cap_mode END AS mode,
+        CASE WHEN cap_mode <> 'threshold' THEN 1 WHEN long THEN s1 ELSE s END AS start_sample,
+        CASE cap_mode WHEN 'short' THEN t.total WHEN 'continuous_or_uncertain' THEN least(t.total, 48000)
+          ELSE CASE WHEN long THEN least(t.total, s1 + 287) ELSE e END END AS end_sample
+      FROM tot AS t JOIN md USING (channel_id) LEFT JOIN c USING (channel_id)""",
 )
 def _(v):
     return A.best_window(_env(v), _captures(v), ["channel_id"], RATE, WCFG).select(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radiolake.functions.formats import fixed_text
+from radiolake.functions.formats import fixed_text, general_text
 from radiolake.operators import activity as A
 from radiolake.operators import conform as C
 from radiolake.operators import evidence as E
@@ -349,3 +349,35 @@ def test_parity_report_shows_both_sides(spark):
     b = spark.createDataFrame([(1, "x"), (None, "y"), (3, "z")], "k long, v string")
     got = {tuple(r) for r in C.parity_report(a, b, ["k", "v"]).collect()}
     assert got == {(1, "x", 2, 1, False), (None, "y", 1, 1, True), (2, "z", 1, 0, False), (3, "z", 0, 1, False)}
+
+
+def test_silent_and_missing_buckets_end_a_run(spark):
+    from types import SimpleNamespace
+
+    from radiolake.plans.q_activity import _env
+
+    rows = [(0, i, v) for i, v in enumerate([1.0, 50.0, 0.0, 50.0, 50.0])] + [(0, 7, 50.0)]
+    env = _env(SimpleNamespace(chunks=spark.createDataFrame(rows, "channel_id long, seq long, value double")))
+    assert env.where("bucket = 3").first()["power_db"] == pytest.approx(-120.0)
+    thr = spark.createDataFrame([(0, 10.0)], "channel_id long, threshold_db double")
+    runs = A.active_runs(env, thr, ["channel_id"]).collect()
+    assert sorted((r["run_start"], r["run_end"], r["length"]) for r in runs) == [(2, 2, 1), (4, 5, 2), (8, 8, 1)]
+
+
+def test_best_window_takes_the_first_of_equal_runs(spark):
+    # the same levels in two orders; their sums differ in the last digit
+    levels = [0.0] * 9 + [20.6, 20.2, 20.0] + [0.0] * 9 + [20.0, 20.2, 20.6] + [0.0] * 16
+    env = spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(levels)], "channel_id long, bucket long, power_db double").coalesce(1)
+    captures = spark.createDataFrame([(1, len(levels) * 48)], "channel_id long, sample_count long")
+    assert (20.0 + 20.2) + 20.6 > (20.6 + 20.2) + 20.0
+    best = A.best_window(env, captures, ["channel_id"], 48000.0, A.WindowConfig(active_pad_sec=0.0)).first()
+    assert (best["start_sample"], best["end_sample"]) == (9 * 48 + 1, 12 * 48)
+
+
+def test_general_text_is_exact(spark):
+    rng = np.random.default_rng(5)
+    ties = [1346.625, 1248.625, 1248.375, 1346.6255, 112500.5, 112501.5, 999999.5, 0.5, -1346.625, 1.0000005, 99999.95, 0.000123456789, 2.5e-5, 1.5e-7, 1234567.5]
+    values = ties + [float(x) for x in rng.integers(1, 8 * 10**6, 2000) / 8] + [float(f"{x:.7g}") for x in 10 ** rng.uniform(-6, 6, 2000)]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = df.select("x", general_text(F.col("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in got if r.t != ("%.0f" if r.x == int(r.x) else "%g") % r.x] == []
