@@ -31,19 +31,61 @@ def fixed_text(col: Column, digits: int, sign: bool = False) -> Column:
     return F.when(v.isNotNull(), F.concat(lead, whole, F.lit("."), part))
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _scaled(size: Column, ten: Column) -> Column:
+    """Whole number next to ``size`` * ``ten``, by the exact product; a true tie goes to the even one."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        """Parts of few enough bits that their products are exact."""
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    def rounded(s: Column) -> Column:
+        (a, b), (c, d) = (s["ah"], s["al"]), (s["bh"], s["bl"])
+        lost = ((a * c - s["p"]) + a * d + b * c) + b * d  # what the product lost by rounding
+        whole = F.floor(s["p"])
+        rest = s["p"] - whole
+        up = (rest > 0.5) | ((rest == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+        return whole + up.cast("bigint")
+
+    def split(s: Column) -> Column:
+        (a, b), (c, d) = halves(s["x"]), halves(s["t"])
+        return F.struct((s["x"] * s["t"]).alias("p"), a.alias("ah"), b.alias("al"), c.alias("bh"), d.alias("bl"))
+
+    return _let(_let(F.struct(size.alias("x"), ten.alias("t")), split), rounded)
+
+
 def general_text(col: Column) -> Column:
-    """Six significant digits, as printed by %g; whole numbers are printed in full."""
+    """Six significant digits of the number a double really holds, as printed by %g (a true tie
+    goes to the even digit); whole numbers are printed in full."""
     v = col.cast("double")
-    long = F.format_string("%.5e", v)
-    size = F.substring_index(long, "e", -1).cast("int")
+    size = F.abs(v)
 
     def bare(text: Column) -> Column:
         """Without zeros behind the decimal point."""
         return F.regexp_replace(F.regexp_replace(text, "([.][0-9]*?)0+$", "$1"), "[.]$", "")
 
-    out = F.concat(bare(F.substring_index(long, "e", 1)), F.lit("e"), F.substring_index(long, "e", -1))
-    for m in range(-4, 6):
-        out = F.when(size == m, bare(F.format_string(f"%.{5 - m}f", v))).otherwise(out)
+    def plain(s: Column) -> Column:
+        digits, m = s["n"].cast("string"), s["m"]
+        digits, m = F.substring(digits, 1, 6), F.when(s["n"] == 10**6, m + 1).otherwise(m)
+        below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -m - 1), digits)
+        text = F.when(m < 0, below).otherwise(F.concat(F.substring(digits, F.lit(1), m + 1), F.lit("."), F.substring(digits, m + 2, F.lit(6))))
+        power = F.concat(bare(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))), F.lit("e-"), F.lpad((-m).cast("string"), 2, "0"))
+        return F.when(m == 6, "1e+06").when(m < -4, power).otherwise(bare(text))
+
+    m, ten = F.lit(-17), F.lit(1e22)  # the greatest power of ten that a double holds
+    for k in range(-16, 6):
+        m, ten = F.when(size >= float(f"1e{k}"), k).otherwise(m), F.when(size >= float(f"1e{k}"), float(10 ** (5 - k))).otherwise(ten)
+    held = F.struct(_scaled(size, ten).alias("n"), m.alias("m"))
+    # fractions above and numbers below that range have no ties at six digits
+    long = F.format_string("%.5e", v)
+    long = F.concat(bare(F.substring_index(long, "e", 1)), F.lit("e"), F.substring_index(long, "e", -1))
+    sign = F.when(v < 0, "-").otherwise("")
+    out = F.when((size >= 1e-17) & (size < 1e6), F.concat(sign, _let(held, plain))).otherwise(long)
     return F.when(v == F.floor(v), F.format_string("%.0f", v)).otherwise(F.when(v.isNotNull(), out))
 
 
