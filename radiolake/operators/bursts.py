@@ -64,9 +64,11 @@ def limit_slots(slots: DataFrame, scope: list[str], limit: int | None = None, pe
     of them where both are None.
 
     The first limit never depends on the second, so both are plain ranks.  ``n_dropped``, where
-    a limit is given, is the number of slots of the scope that it leaves out."""
+    a limit is given, is the number of slots of the scope that it leaves out.  The slots are
+    written once, with the columns they come with, since they are counted and ranked."""
     if limit is None and per_training is None:
         return slots
+    slots = settle(slots)
     order = [
         F.col("is_complete").desc(), F.col("is_good").desc(), "error_fraction", "errors", "slot_start_bit", "bit_offset", "name",
     ]

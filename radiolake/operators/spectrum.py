@@ -721,9 +721,14 @@ def _template_errors(x: np.ndarray, word: np.ndarray) -> np.ndarray:
     return out
 
 
-def training_candidates(df: DataFrame, keys: list[str], bits: str = "bits") -> DataFrame:
+def training_candidates(
+    df: DataFrame, keys: list[str], bits: str = "bits", keep_bits: bool = False, dealt: bool = False
+) -> DataFrame:
     """Offsets where a sequence matches within a quarter of its bits and no neighbour
-    matches better, per text and sequence; ranked by errors (s), then offset (p)."""
+    matches better, per text and sequence; ranked by errors (s), then offset (p).
+
+    ``keep_bits`` adds the text as ``bits``, so that what reads it later needs no join back.
+    ``dealt`` says that the rows are spread over the tasks already."""
     words = {n: np.frombuffer(w.encode(), np.uint8) - 48 for n, w in TRAINING.items()}
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
 
@@ -732,6 +737,8 @@ def training_candidates(df: DataFrame, keys: list[str], bits: str = "bits") -> D
         x = (np.frombuffer("".join(part["_bits"]).encode(), np.uint8) - 48).reshape(len(part), size)
         for name, word in words.items():
             out = part[keys].assign(name=name, length=len(word))
+            if keep_bits:
+                out["bits"] = part["_bits"]
             if size < len(word):
                 yield out.assign(best_errors=len(word), best_offset=None, candidates=[[]] * len(part))
                 continue
@@ -750,7 +757,9 @@ def training_candidates(df: DataFrame, keys: list[str], bits: str = "bits") -> D
             for size, part in pdf.groupby(pdf["_bits"].str.len()):
                 yield from of_length(part.reset_index(drop=True), int(size))
 
-    return spread(df.select(*keys, F.col(bits).alias("_bits")), *keys).mapInPandas(run, f"{head}, {CANDIDATE_OUT}")
+    rows = df.select(*keys, F.col(bits).alias("_bits"))
+    out = f"{head}, {CANDIDATE_OUT}" + (", bits string" if keep_bits else "")
+    return (rows if dealt else spread(rows, *keys)).mapInPandas(run, out)
 
 
 def training_hits(df: DataFrame, keys: list[str], bits: str = "bits", most: int | None = None) -> DataFrame:

@@ -15,13 +15,13 @@ R6 = lambda c: F.round(c, 6)
 
 def _hits(v):
     """Training hits of each 256-bit text, placed 384 bits into that text written four times."""
-    rows = v.payload.select("seq", B.hex_to_bits(F.concat("hex", "hex2")).alias("b"))
-    hits = S.training_candidates(rows.withColumnRenamed("b", "bits"), ["seq"])
-    hits = hits.select("seq", "name", "length", F.explode("candidates").alias("c")).select(
+    rows = v.payload.select("seq", B.hex_to_bits(F.concat("hex", "hex2")).alias("bits"))
+    hits = S.training_candidates(rows, ["seq"], keep_bits=True, dealt=True)  # the view is spread by all its columns
+    return hits.select("seq", "name", "length", "bits", F.explode("candidates").alias("c")).select(
         "seq", "name", "length", (F.col("c.p") + 384).cast("bigint").alias("bit_offset"), F.col("c.s").cast("bigint").alias("errors"),
         (F.col("c.s") / F.col("length")).alias("error_fraction"), (F.col("c.s") / F.col("length") <= 0.18).alias("is_good"),
+        F.repeat("bits", 4).alias("bits"),
     )
-    return hits.join(rows.select("seq", F.repeat("b", 4).alias("bits")), "seq")
 
 
 _SLOTS = (
@@ -54,7 +54,9 @@ def _(v):
     SELECT seq // 16 AS capture, name, slot_start_bit, errors FROM r2 WHERE n2 <= 40""",
 )
 def _(v):
-    slots = U.slot_candidates(_hits(v)).withColumn("capture", F.floor(F.col("seq") / 16))
+    slots = U.slot_candidates(_hits(v)).select(
+        F.floor(F.col("seq") / 16).alias("capture"), "name", "slot_start_bit", "bit_offset", "errors", "error_fraction", "is_good", "is_complete"
+    )
     return U.limit_slots(slots, ["capture"], 40, 12).select("capture", "name", "slot_start_bit", "errors")
 
 
