@@ -104,3 +104,20 @@ def test_clashing_columns(spark):
         from radiolake.streaming.routing import interval_join_live
 
         interval_join_live(df, spans, ["channel_id"], "pos", "decode_start", "pos", 1.0, 1.0, 1.0)
+
+
+def test_route_counts_equal_the_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    tracks = []
+    for i in range(300):
+        a = rng.randrange(3000)
+        tracks.append((i % 2, 1000 - i, a, rng.choice([None, a, a + rng.randrange(20), a + rng.randrange(2500), a - 5])))
+    tracked = spark.createDataFrame(tracks, "channel_id long, track_id long, first_seq long, closed_seq long")
+    batches = spark.range(0, 3600).selectExpr("id % 3 AS channel_id", "id AS seq")
+    pairs = T.route(batches, tracked, ["channel_id"]).groupBy("channel_id", "seq")
+    want = pairs.agg(F.count(F.lit(1)).alias("tracks"), F.min("track_id").alias("oldest"))
+    for width in (8, 100):
+        got = T.route_counts(batches, tracked, ["channel_id"], width)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
