@@ -164,9 +164,9 @@ _BLOCK = (
 )
 
 
-def _blocks(v):
+def _blocks(classified):
     masks = F.when(F.col("k") % 3 == 0, "1110").when(F.col("k") % 3 == 1, "1").otherwise("10")
-    df = _classified(v).withColumn("valid_mask", F.substring(F.repeat(masks, F.lit(510)), 1, 510))
+    df = classified.withColumn("valid_mask", F.substring(F.repeat(masks, F.lit(510)), 1, 510))
     return U.payload_blocks(df)
 
 
@@ -177,17 +177,17 @@ def _blocks(v):
       CAST(valid_bits AS BIGINT) AS valid_bits, round(valid_bits / length, 6) AS valid_ratio, md5(substr(b, s, e - s + 1)) AS bits_md5 FROM pb""",
 )
 def _(v):
-    return _blocks(v).select(
+    return _blocks(_classified(v)).select(
         "seq", "block_index", "absolute_start_bit", "absolute_end_bit", "length", "valid_bits", R6("valid_ratio").alias("valid_ratio"),
         F.md5("block_bits").alias("bits_md5"),
     )
 
 
-def _routed(v):
+def _routed(classified):
     k = F.col("k")
     keep = ["seq", "channel_id", "k", "burst_name", "burst_type", "training_name", "slot_start_bit"]
     names = ["block_index", "block_name", "absolute_start_bit", "absolute_end_bit", "valid_bits", "length"]
-    both = _blocks(v).groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("blocks"))
+    both = _blocks(classified).groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("blocks"))
     return U.route_blocks(
         both.withColumns(
             {
@@ -218,7 +218,7 @@ _ROUTE = (
       ELSE 'channel decode failed' END AS status FROM ro""",
 )
 def _(v):
-    return _routed(v).select("seq", "block_name", "logical_channel", "attempted", "decode_ok", "status")
+    return _routed(_classified(v)).select("seq", "block_name", "logical_channel", "attempted", "decode_ok", "status")
 
 
 @query(
@@ -234,10 +234,11 @@ def _(v):
     k = F.col("k")
     null = F.lit(None).cast("bigint")
     timing = {"frame_number": 1 + k % 18, "slot_number": 1 + k % 4, "active_start_sec": F.lit(0.5)}
-    syncs = _classified(v).where("is_confirmed AND burst_name = 'DSB_sync'").withColumns(
+    classified = _classified(v)  # read twice, found once
+    syncs = classified.where("is_confirmed AND burst_name = 'DSB_sync'").withColumns(
         {"src": k % 9, "dst": null, "message": F.lit("SYNC"), "dmac_sync_ok": k % 8 != 0} | timing
     )
-    blocks = _routed(v).withColumns(
+    blocks = _routed(classified).withColumns(
         {
             "src": F.when(k % 3 == 0, k), "dst": null, "context_src": F.when(k % 4 != 3, 500 + k), "context_dst": null,
             "null_pdu": k % 6 == 0, "message": F.lit("DM-INFO"),

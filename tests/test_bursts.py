@@ -26,3 +26,14 @@ def test_limited_slots_are_found_once(spark):
     slots = U.slot_candidates(_hits(Views(spark, SF))).withColumn("capture", F.floor(F.col("seq") / 16))
     assert "MapInPandas" in _plan(slots)
     assert "MapInPandas" not in _plan(U.limit_slots(slots, ["capture"], 40, 12))
+
+
+def test_burst_events_classify_once(spark, monkeypatch):
+    from radiolake.plans import load_all
+    from radiolake.plans.catalog import QUERIES
+
+    load_all()
+    calls, real = [], U.classify_slots
+    monkeypatch.setattr(U, "classify_slots", lambda *a: calls.append(1) or real(*a))
+    QUERIES["bst7_burst_events"](spark, SF)
+    assert len(calls) == 1
