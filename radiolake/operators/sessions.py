@@ -508,9 +508,10 @@ def dpmr_calls(df: DataFrame, scope: list[str] = ("channel_id",), width: float =
     splits = run_blocks(
         needed, scope, ["seq"], dpmr_split_step, DPMR_FRESH, "seq long, opens boolean, src string, dst string", width
     )
-    rows = frames.drop("src", "dst").join(splits, [*scope, "seq"])
-    seq = F.col("seq")
-    rows = scan(rows, scope, "seq", [upto("_sid", "max", F.when(F.col("opens"), seq))], width)
+    # a call's number is found from the narrow rows; frames are joined to it once, and written once
+    # for the counts and lists that read them
+    splits = scan(settle(splits), scope, "seq", [upto("_sid", "max", F.when(F.col("opens"), F.col("seq")))], width)
+    rows = settle(frames.drop("src", "dst").join(splits.drop("opens"), [*scope, "seq"]))
     return _dpmr_summary(rows, scope)
 
 
@@ -527,6 +528,7 @@ def _dpmr_summary(rows: DataFrame, scope: list[str]) -> DataFrame:
         F.count_if(F.col("type") == "DPMR_VOICE").alias("voice_count"),
         F.sum(F.coalesce(F.size(usable), F.lit(0))).alias("cch_count"),
     )
+    calls = settle(calls)  # the newest one closes otherwise
     # distinct values in order of first sight: reduce to one row per value first
     numbers = {
         "communication_modes": "communication_mode",

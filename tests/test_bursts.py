@@ -37,3 +37,11 @@ def test_burst_events_classify_once(spark, monkeypatch):
     monkeypatch.setattr(U, "classify_slots", lambda *a: calls.append(1) or real(*a))
     QUERIES["bst7_burst_events"](spark, SF)
     assert len(calls) == 1
+
+
+def test_dpmr_lists_do_not_scan_again(spark):
+    from radiolake.plans import load_all
+    from radiolake.plans.catalog import QUERIES
+
+    load_all()
+    assert "Window" not in _plan(QUERIES["ses4_dpmr_calls"](spark, SF))
