@@ -165,9 +165,28 @@ def _captures(v):
     return v.chunks.groupBy("channel_id").agg((F.count(F.lit(1)) * 48 + 20).alias("sample_count"))
 
 
-ENV_SQL = """
+def _levels(v):
+    """One level per bucket, as ``envelope`` gives it: the mean power of the bucket's chunks in dB.
+    A power that is null, NaN, negative or infinite is no reading; a bucket without one has no level."""
+    power = F.when((F.col("value") >= 0) & (F.col("value") < float("inf")), F.col("value"))
+    power = v.chunks.groupBy("channel_id", _bucket().alias("bucket")).agg(F.avg(power).alias("_power"))
+    return A.settle(power.select("channel_id", "bucket", (F.lit(10.0) * F.log10(F.col("_power") + 1e-12)).alias("power_db")))
+
+
+def _bucket():
+    return F.col("seq") - F.col("channel_id") * 4096 + 1
+
+
+ENV_HEAD = """
   env AS (SELECT channel_id, seq % 4096 + 1 AS bucket, 10 * log10(value + 1e-12) AS p FROM v_chunks),
-  srt AS (SELECT channel_id, list(p ORDER BY p) AS l, count(*) AS n FROM env GROUP BY 1),
+  srt AS (SELECT channel_id, list(p ORDER BY p) AS l, count(*) AS n FROM env GROUP BY 1),"""
+
+LEVEL_HEAD = """
+  got AS (SELECT channel_id, seq - channel_id * 4096 + 1 AS bucket, CASE WHEN value >= 0 AND value < CAST('inf' AS DOUBLE) THEN value END AS power FROM v_chunks),
+  env AS (SELECT channel_id, bucket, 10 * log10(avg(power) + 1e-12) AS p FROM got GROUP BY 1, 2),
+  srt AS (SELECT channel_id, list(p ORDER BY p) AS l, count(*) AS n FROM env WHERE p IS NOT NULL GROUP BY 1),"""
+
+RUN_SQL = """
   pos AS (SELECT *, least(greatest(n * 0.2e0 + 0.5, 1), n) AS x, least(greatest(n * 0.95e0 + 0.5, 1), n) AS y FROM srt),
   q AS (SELECT channel_id, n, l[CAST(floor(x) AS INT)] + (l[CAST(ceil(x) AS INT)] - l[CAST(floor(x) AS INT)]) * (x - floor(x)) AS floor_db,
      l[CAST(floor(y) AS INT)] + (l[CAST(ceil(y) AS INT)] - l[CAST(floor(y) AS INT)]) * (y - floor(y)) AS top_db FROM pos),
@@ -178,6 +197,9 @@ ENV_SQL = """
   md AS (SELECT channel_id, count(*) AS buckets, CASE WHEN count(*) < 4 THEN 'short' WHEN count(*) FILTER (a) < 3 OR count(*) FILTER (a) / count(*) > 0.85e0
      THEN 'continuous_or_uncertain' ELSE 'threshold' END AS cap_mode FROM act GROUP BY 1)"""
 
+ENV_SQL = ENV_HEAD + RUN_SQL  # a row per chunk
+LEVEL_SQL = LEVEL_HEAD + RUN_SQL  # a row per bucket
+
 
 @query(
     "act10_thresholds",
@@ -190,10 +212,11 @@ def _(v):
     return out.select("channel_id", *[R6(c).alias(c) for c in ("floor_db", "top_db", "threshold_db", "active_ratio")])
 
 
-@query("act11_active_runs", ENV_SQL + " SELECT channel_id, run_start, run_end, length FROM runs")
+@query("act11_active_runs", LEVEL_SQL + " SELECT channel_id, run_start, run_end, length FROM runs")
 def _(v):
-    thr = A.activity_thresholds(_env(v), ["channel_id"], WCFG)
-    return A.active_runs(_env(v), thr, ["channel_id"]).select("channel_id", "run_start", "run_end", "length")
+    env = _levels(v)
+    thr = A.activity_thresholds(env, ["channel_id"], WCFG)
+    return A.active_runs(env, thr, ["channel_id"]).select("channel_id", "run_start", "run_end", "length")
 
 
 MERGE_SQL = (

@@ -1,6 +1,7 @@
 """A cross-section of the registered queries against their SQL; ``tests/oracle_check.py``
 runs all of them."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -45,3 +46,33 @@ def test_registry():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "closed_by" in df.columns
+
+
+def _agrees(spark, folder, rows, name):
+    """Write events of (event_id, value) as a data folder and compare a query over them with its SQL."""
+    from datetime import datetime
+
+    full = [(i, datetime(2024, 1, 1), 1, "view", x, '{"k": 1}') for i, x in rows]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(full, schema).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    ok, message = compare(spark, con, str(folder), name, entry.queries()[name], entry.oracle_sql()[name])
+    assert ok, message
+
+
+def _rows(spark, folder, name, *cols):
+    return sorted(tuple(r) for r in entry.queries()[name](spark, str(folder)).select(*cols).collect())
+
+
+# levels of a channel: quiet but for the stated buckets
+def _channel(loud, n=40, base=0):
+    return [(base + b - 1, 100.0 if b in loud else 1.0) for b in range(1, n + 1)]
+
+
+def test_active_runs_take_one_level_per_bucket(spark, tmp_path):
+    # bucket 5 comes three times, 9 twice; 20 to 23 hold no reading
+    rows = _channel({5, 6, 8, 30}) + [(4, 90.0), (4, 95.0), (8, 1.2)]
+    rows = [(i, {19: -1.0, 20: float("nan"), 21: None, 22: float("inf")}.get(i, x)) for i, x in rows]
+    _agrees(spark, tmp_path, rows, "act11_active_runs")
+    assert _rows(spark, tmp_path, "act11_active_runs", "run_start", "run_end", "length") == [(5, 6, 2), (8, 8, 1), (30, 30, 1)]
