@@ -220,7 +220,7 @@ def _(v):
 
 
 MERGE_SQL = (
-    ENV_SQL
+    LEVEL_SQL
     + """,
   m0 AS (SELECT *, coalesce(run_start - lag(run_end) OVER w - 1 > 2, TRUE) AS o FROM runs WINDOW w AS (PARTITION BY channel_id ORDER BY run_start)),
   m1 AS (SELECT *, sum(CAST(o AS BIGINT)) OVER (PARTITION BY channel_id ORDER BY run_start) AS g FROM m0),
@@ -230,8 +230,9 @@ MERGE_SQL = (
 
 @query("act12_merged_runs", MERGE_SQL + " SELECT * FROM merged")
 def _(v):
-    thr = A.activity_thresholds(_env(v), ["channel_id"], WCFG)
-    runs = A.active_runs(_env(v), thr, ["channel_id"])
+    env = _levels(v)
+    thr = A.activity_thresholds(env, ["channel_id"], WCFG)
+    runs = A.active_runs(env, thr, ["channel_id"])
     return A.merge_runs(runs, ["channel_id"], 2).select("channel_id", "merged_start", "merged_end", "run_count")
 
 
@@ -253,7 +254,7 @@ WIN_SQL = (
 
 @query("act13_scan_windows", WIN_SQL + " SELECT * FROM win")
 def _(v):
-    return A.scan_windows(_env(v), _captures(v), ["channel_id"], RATE, WCFG).select(
+    return A.scan_windows(_levels(v), _captures(v), ["channel_id"], RATE, WCFG).select(
         "channel_id", "run_start", "run_end", "split_index", "start_sample", "end_sample", "mode"
     )
 
@@ -286,8 +287,9 @@ def _(v):
       GROUP BY channel_id, start_sample, end_sample""",
 )
 def _(v):
-    wins = A.scan_windows(_env(v), _captures(v), ["channel_id"], RATE, WCFG)
-    return A.window_power(wins, _env(v), ["channel_id"], 48).select(
+    env = _levels(v)
+    wins = A.scan_windows(env, _captures(v), ["channel_id"], RATE, WCFG)
+    return A.window_power(wins, env, ["channel_id"], 48).select(
         "channel_id", "start_sample", "end_sample", R6("mean_power_db").alias("mean_power_db"),
         R6("peak_power_db").alias("peak_power_db"),
     )

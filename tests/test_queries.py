@@ -76,3 +76,11 @@ def test_active_runs_take_one_level_per_bucket(spark, tmp_path):
     rows = [(i, {19: -1.0, 20: float("nan"), 21: None, 22: float("inf")}.get(i, x)) for i, x in rows]
     _agrees(spark, tmp_path, rows, "act11_active_runs")
     assert _rows(spark, tmp_path, "act11_active_runs", "run_start", "run_end", "length") == [(5, 6, 2), (8, 8, 1), (30, 30, 1)]
+
+
+def test_merged_runs_of_shared_buckets(spark, tmp_path):
+    # every chunk twice: runs that start alike left their order, and so the merging, to chance
+    rows = _channel({5, 6, 9, 10, 14, 15, 30}, 60) * 2
+    _agrees(spark, tmp_path, rows, "act12_merged_runs")
+    got = _rows(spark, tmp_path, "act12_merged_runs", "merged_start", "merged_end", "run_count")
+    assert got == [(5, 10, 2), (14, 15, 1), (30, 30, 1)]
