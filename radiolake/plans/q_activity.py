@@ -177,6 +177,11 @@ def _bucket():
     return F.col("seq") - F.col("channel_id") * 4096 + 1
 
 
+def _spans(v):
+    """Captures that reach to their last bucket, also where buckets before it are missing."""
+    return v.chunks.groupBy("channel_id").agg((F.max(_bucket()) * 48 + 20).alias("sample_count"))
+
+
 ENV_HEAD = """
   env AS (SELECT channel_id, seq % 4096 + 1 AS bucket, 10 * log10(value + 1e-12) AS p FROM v_chunks),
   srt AS (SELECT channel_id, list(p ORDER BY p) AS l, count(*) AS n FROM env GROUP BY 1),"""
@@ -240,10 +245,11 @@ def _(v):
 WIN_SQL = (
     MERGE_SQL
     + """,
-  tot AS (SELECT channel_id, count(*) * 48 + 20 AS total FROM v_chunks GROUP BY 1),
+  tot AS (SELECT channel_id, max(bucket) * 48 + 20 AS total FROM env GROUP BY 1),
   sp AS (SELECT channel_id, merged_start, merged_end, greatest(1, (merged_start - 1) * 48 + 1 - 96) AS s0, least(total, merged_end * 48 + 144) AS e0, 'active_run' AS mode
       FROM merged JOIN tot USING (channel_id) JOIN md USING (channel_id) WHERE cap_mode = 'threshold'
-    UNION ALL SELECT channel_id, 1, CASE WHEN cap_mode = 'short' THEN 1 ELSE buckets END, 1, total, cap_mode FROM md JOIN tot USING (channel_id) WHERE cap_mode <> 'threshold'),
+    UNION ALL SELECT channel_id, 1, CASE WHEN cap_mode = 'continuous_or_uncertain' THEN buckets ELSE 1 END, 1, total, coalesce(cap_mode, 'short')
+      FROM tot LEFT JOIN md USING (channel_id) WHERE cap_mode IS DISTINCT FROM 'threshold'),
   cut AS (SELECT *, i + 1 AS split_index, s0 + i * 1152 AS s, least(e0, s0 + i * 1152 + 1439) AS e
     FROM sp, LATERAL (SELECT unnest(range(0, 1 + greatest(0, CAST(ceil((e0 - s0 + 1 - 1440) / 1152) AS BIGINT)))) AS i) WHERE e0 >= s0),
   tail AS (SELECT *, e - s + 1 < 192 AND split_index > 1 AS drop_me, lead(e - s + 1 < 192) OVER (PARTITION BY channel_id, merged_start ORDER BY split_index) AS absorbs FROM cut),
@@ -254,7 +260,7 @@ WIN_SQL = (
 
 @query("act13_scan_windows", WIN_SQL + " SELECT * FROM win")
 def _(v):
-    return A.scan_windows(_levels(v), _captures(v), ["channel_id"], RATE, WCFG).select(
+    return A.scan_windows(_levels(v), _spans(v), ["channel_id"], RATE, WCFG).select(
         "channel_id", "run_start", "run_end", "split_index", "start_sample", "end_sample", "mode"
     )
 
@@ -288,7 +294,7 @@ def _(v):
 )
 def _(v):
     env = _levels(v)
-    wins = A.scan_windows(env, _captures(v), ["channel_id"], RATE, WCFG)
+    wins = A.scan_windows(env, _spans(v), ["channel_id"], RATE, WCFG)
     return A.window_power(wins, env, ["channel_id"], 48).select(
         "channel_id", "start_sample", "end_sample", R6("mean_power_db").alias("mean_power_db"),
         R6("peak_power_db").alias("peak_power_db"),

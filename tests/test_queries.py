@@ -84,3 +84,15 @@ def test_merged_runs_of_shared_buckets(spark, tmp_path):
     _agrees(spark, tmp_path, rows, "act12_merged_runs")
     got = _rows(spark, tmp_path, "act12_merged_runs", "merged_start", "merged_end", "run_count")
     assert got == [(5, 10, 2), (14, 15, 1), (30, 30, 1)]
+
+
+def test_scan_windows_reach_late_buckets(spark, tmp_path):
+    # the second channel starts late and misses buckets, the third has no reading at all
+    rows = _channel({5, 6, 20}) + [r for r in _channel({205, 206, 240}, 250, 4096) if r[0] >= 4096 + 200 and r[0] != 4096 + 220]
+    _agrees(spark, tmp_path, rows + [(8192 + i, None) for i in range(5)], "act13_scan_windows")
+    got = _rows(spark, tmp_path, "act13_scan_windows", "channel_id", "run_start", "run_end", "start_sample", "end_sample", "mode")
+    assert got == [
+        (0, 5, 6, 97, 432, "active_run"), (0, 20, 20, 817, 1104, "active_run"),
+        (1, 205, 206, 9697, 10032, "active_run"), (1, 240, 240, 11377, 11664, "active_run"),
+        (2, 1, 1, 1, 260, "short"),
+    ]
