@@ -288,9 +288,9 @@ def _(v):
 @query(
     "act15_window_power",
     WIN_SQL
-    + """ SELECT channel_id, start_sample, end_sample, round(avg(p), 6) AS mean_power_db, round(max(p), 6) AS peak_power_db
-      FROM win JOIN env USING (channel_id) WHERE bucket BETWEEN floor((start_sample - 1) / 48) + 1 AND ceil(end_sample / 48)
-      GROUP BY channel_id, start_sample, end_sample""",
+    + """ SELECT win.channel_id, start_sample, end_sample, round(avg(p), 6) AS mean_power_db, round(max(p), 6) AS peak_power_db
+      FROM win LEFT JOIN env ON env.channel_id = win.channel_id AND bucket BETWEEN floor((start_sample - 1) / 48) + 1 AND ceil(end_sample / 48)
+      GROUP BY win.channel_id, run_start, split_index, start_sample, end_sample""",
 )
 def _(v):
     env = _levels(v)

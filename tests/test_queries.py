@@ -96,3 +96,11 @@ def test_scan_windows_reach_late_buckets(spark, tmp_path):
         (1, 205, 206, 9697, 10032, "active_run"), (1, 240, 240, 11377, 11664, "active_run"),
         (2, 1, 1, 1, 260, "short"),
     ]
+
+
+def test_windows_without_a_level_are_kept(spark, tmp_path):
+    # a quiet capture with nothing between its first ten buckets and its last ten
+    rows = [r for r in _channel({5}, 100) if not 10 <= r[0] < 90]
+    _agrees(spark, tmp_path, rows, "act15_window_power")
+    got = _rows(spark, tmp_path, "act15_window_power", "start_sample", "end_sample", "mean_power_db", "peak_power_db")
+    assert got == [(1, 1440, 2.0, 20.0), (1153, 2592, None, None), (2305, 3744, None, None), (3457, 4820, 0.0, 0.0)]
